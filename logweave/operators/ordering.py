@@ -45,3 +45,38 @@ def dense_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
                  bucket: Column, out: str = "line_no") -> DataFrame:
     """0-based position of each row inside its group (ties are not allowed)."""
     return exclusive_prefix(df, group_cols, order_cols, bucket, None, out)
+
+
+def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
+                 bucket: Column, weights: dict[str, Column], inclusive: bool = True) -> DataFrame:
+    """Several running sums at once with the same two-level bucket plan.
+    ``inclusive`` counts the current row too."""
+    g = list(group_cols)
+    names = list(weights)
+    t = df.withColumn("_bkt", bucket)
+    for n, w in weights.items():
+        t = t.withColumn(f"_w_{n}", w.cast("long"))
+    frame_end = Window.currentRow if inclusive else -1
+    inner = Window.partitionBy(*g, "_bkt").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, frame_end)
+    for n in names:
+        t = t.withColumn(f"_l_{n}", F.coalesce(F.sum(f"_w_{n}").over(inner), F.lit(0)))
+    totals = t.groupBy(*g, "_bkt").agg(*[F.sum(f"_w_{n}").alias(f"_t_{n}") for n in names])
+    outer = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*g, "_bkt", *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_b_{n}")
+                                         for n in names])
+    out = t.join(totals, [*g, "_bkt"])
+    for n in names:
+        out = out.withColumn(n, F.col(f"_b_{n}") + F.col(f"_l_{n}"))
+    drop = ["_bkt"] + [f"_{p}_{n}" for n in names for p in ("w", "l", "b")]
+    return out.drop(*drop)
+
+
+def neighbour(df: DataFrame, key_cols: Sequence[str], n_col: str, offset: int,
+              cols: Sequence[str], suffix: str) -> DataFrame:
+    """Attach columns of the row ``offset`` positions away in the same group
+    (``offset=-1`` is SQL ``lag``). Rows are addressed by their dense number,
+    so this is an equi-join on (key, n): a hot key spreads over many tasks."""
+    k = list(key_cols)
+    other = df.select(*k, (F.col(n_col) - F.lit(offset)).alias(n_col),
+                      *[F.col(c).alias(c + suffix) for c in cols])
+    return df.join(other, [*k, n_col], "left")

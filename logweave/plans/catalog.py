@@ -288,3 +288,365 @@ def q_dynamic_scores(spark, d):
     s = scoring.dynamic_scores(event_freq(spark, d), chi2_ops.learned_words(cache), cache)
     return s.select("log_id", F.col("rank").cast("int"), "template", "cnt", "first_idx", "dsig", "weight",
                     r6("score").alias("score"))
+
+
+# --------------------------------------------------------------------------
+# 2.9 / 2.10 event sequences and link quality (events table)
+# --------------------------------------------------------------------------
+
+from logweave.functions.text import linear_to_db  # noqa: E402
+from logweave.operators import quality, sequences, trace  # noqa: E402
+from logweave.operators.ordering import dense_number, running_sums  # noqa: E402
+
+def hour():
+    return F.date_trunc("hour", F.col("ts"))
+
+
+def _events(spark, d):
+    e = table(spark, d, "events")
+    return e.withColumn("k", logs._k(F.col("props")))
+
+
+def render_trace(spark, d):
+    """Typed radio events rendered as trace lines (family 1)."""
+    e = _events(spark, d)
+    t = trace.epoch_seconds_text(F.col("ts"))
+    u = F.col("user_id").cast("string")
+    k = F.col("k")
+
+    def head(layer, event):
+        return F.concat(F.lit("[" + layer.ljust(5) + "]["), t, F.lit("] " + event.ljust(12) + " | "))
+
+    line = (F.when(F.col("event_type") == "error",
+                   F.concat(head("MAC", "DL HARQ"), F.lit("RNTI "), u, F.lit(" | PID "), (k % 16).cast("string"),
+                            F.lit(" | NACK | Retx "), (k % 4).cast("string")))
+            .when(F.col("event_type") == "purchase",
+                  F.concat(head("MAC", "DL HARQ"), F.lit("RNTI "), u, F.lit(" | PID "), (k % 16).cast("string"),
+                           F.lit(" | ACK | Retx 0")))
+            .when(F.col("event_type") == "view",
+                  F.concat(head("PHY", "CQI FEEDBACK"), F.lit("RNTI "), u, F.lit(" | WB-CQI "), (k % 16).cast("string"),
+                           F.lit(" | MCS "), (k % 29).cast("string"), F.lit(" | RI 1")))
+            .when(F.col("event_type") == "click",
+                  F.concat(head("RLC", "TX PDU"), F.lit("RNTI "), u, F.lit(" | LCID 4 | "),
+                           (1000 + k).cast("string"), F.lit(" B")))
+            .otherwise(F.concat(head("RRC", "CONN EST"), F.lit("IMSI "), (100000 + F.col("user_id")).cast("string"),
+                                F.lit(" | Cell 1 | RNTI "), u)))
+    return e.select("event_id", "user_id", line.alias("line"))
+
+
+def _ts_us_sql(c="ts"):
+    return f"epoch_us({c})"
+
+
+def _head_sql(layer, event):
+    return (f"'[{layer.ljust(5)}][' || CAST({_ts_us_sql()} // 1000000 AS VARCHAR) || '.' || "
+            f"lpad(CAST({_ts_us_sql()} % 1000000 AS VARCHAR), 6, '0') || '] {event.ljust(12)} | '")
+
+
+K = S.k()
+TRACE_SQL = f"""
+SELECT event_id, user_id, CASE
+  WHEN event_type = 'error' THEN {_head_sql('MAC', 'DL HARQ')} || 'RNTI ' || CAST(user_id AS VARCHAR) || ' | PID ' || CAST({K} % 16 AS VARCHAR) || ' | NACK | Retx ' || CAST({K} % 4 AS VARCHAR)
+  WHEN event_type = 'purchase' THEN {_head_sql('MAC', 'DL HARQ')} || 'RNTI ' || CAST(user_id AS VARCHAR) || ' | PID ' || CAST({K} % 16 AS VARCHAR) || ' | ACK | Retx 0'
+  WHEN event_type = 'view' THEN {_head_sql('PHY', 'CQI FEEDBACK')} || 'RNTI ' || CAST(user_id AS VARCHAR) || ' | WB-CQI ' || CAST({K} % 16 AS VARCHAR) || ' | MCS ' || CAST({K} % 29 AS VARCHAR) || ' | RI 1'
+  WHEN event_type = 'click' THEN {_head_sql('RLC', 'TX PDU')} || 'RNTI ' || CAST(user_id AS VARCHAR) || ' | LCID 4 | ' || CAST(1000 + {K} AS VARCHAR) || ' B'
+  ELSE {_head_sql('RRC', 'CONN EST')} || 'IMSI ' || CAST(100000 + user_id AS VARCHAR) || ' | Cell 1 | RNTI ' || CAST(user_id AS VARCHAR) END AS line
+FROM events
+"""
+
+
+def _f(pattern):
+    return f"nullif(regexp_extract(rest, {S.q(pattern)}, 1), '')"
+
+
+PARSED_SQL = f"""
+SELECT event_id, user_id, line, layer, t, event,
+  {_f(r'\|\s*RNTI (\d+)')} AS rnti,
+  CAST({_f(r'\|\s*PID (\d+)')} AS INTEGER) AS harq_pid,
+  {_f(r'\|\s*(ACK|NACK)\s*(?:\||$)')} AS harq_fb,
+  CAST({_f(r'\|\s*Retx (\d+)')} AS INTEGER) AS retx,
+  CAST({_f(r'\|\s*WB-CQI (\d+)')} AS INTEGER) AS cqi,
+  CAST({_f(r'\|\s*MCS (\d+)')} AS INTEGER) AS mcs,
+  CAST({_f(r'\|\s*RI (\d+)')} AS INTEGER) AS ri,
+  CAST({_f(r'\|\s*LCID (\d+)')} AS INTEGER) AS lcid,
+  CAST({_f(r'\|\s*(\d+) B\s*(?:\||$)')} AS INTEGER) AS size_bytes,
+  CAST({_f(r'\|\s*IMSI (\d+)')} AS BIGINT) AS imsi,
+  CAST({_f(r'\|\s*Cell (\d+)')} AS INTEGER) AS cell
+FROM (SELECT *, regexp_extract(line, {S.q(trace.HEAD)}, 1) AS layer,
+             CAST(regexp_extract(line, {S.q(trace.HEAD)}, 2) AS DOUBLE) AS t,
+             trim(regexp_extract(regexp_extract(line, {S.q(trace.HEAD)}, 3), '^([^|]*)', 1)) AS event,
+             '|' || CASE WHEN strpos(regexp_extract(line, {S.q(trace.HEAD)}, 3), '|') > 0
+                    THEN substr(regexp_extract(line, {S.q(trace.HEAD)}, 3), strpos(regexp_extract(line, {S.q(trace.HEAD)}, 3), '|') + 1)
+                    ELSE regexp_extract(line, {S.q(trace.HEAD)}, 3) END AS rest
+      FROM ({TRACE_SQL}) tr) x
+"""
+
+
+def parsed_trace(spark, d):
+    return trace.parse_trace(render_trace(spark, d))
+
+
+PARSED_COLS = ["event_id", "user_id", "line", "layer", "t", "event", "rnti", "harq_pid", "harq_fb", "retx",
+               "cqi", "mcs", "ri", "lcid", "size_bytes", "imsi", "cell"]
+
+
+@query("parse_trace", f"SELECT * EXCLUDE (t), round(t, 6) AS t FROM ({PARSED_SQL}) p")
+def q_parse_trace(spark, d):
+    """trace lines -> typed records."""
+    p = parsed_trace(spark, d).select(*PARSED_COLS)
+    return p.withColumn("t", r6("t"))
+
+
+@query("trace_summary", f"""
+SELECT layer, event, CAST(count(*) AS BIGINT) AS n, round(min(t), 6) AS t_min, round(max(t), 6) AS t_max,
+       round(avg(mcs), 6) AS avg_mcs
+FROM ({PARSED_SQL}) p GROUP BY ROLLUP (layer, event)
+""")
+def q_trace_summary(spark, d):
+    """Q7: per layer/event counts and ranges with rollup."""
+    s = trace.trace_summary(parsed_trace(spark, d))
+    return s.select("layer", "event", "n", r6("t_min").alias("t_min"), r6("t_max").alias("t_max"),
+                    r6("avg_mcs").alias("avg_mcs"))
+
+
+@query("harq_by_process", f"""
+SELECT rnti, harq_pid, CAST(count(*) FILTER (WHERE harq_fb = 'ACK') AS BIGINT) AS acks,
+       CAST(count(*) FILTER (WHERE harq_fb = 'NACK') AS BIGINT) AS nacks, max(retx) AS max_retx
+FROM ({PARSED_SQL}) p WHERE harq_fb IN ('ACK', 'NACK') GROUP BY rnti, harq_pid
+""")
+def q_harq_by_process(spark, d):
+    """T5: HARQ outcome per (RNTI, process) from parsed trace records."""
+    return sequences.harq_by_process(parsed_trace(spark, d))
+
+
+@query("linear_to_db", "SELECT event_id, round(10 * log10(value), 2) AS value_db FROM events WHERE value > 0")
+def q_linear_to_db(spark, d):
+    """linear power to dB with two digits."""
+    e = table(spark, d, "events").where(F.col("value") > 0)
+    return e.select("event_id", linear_to_db(F.col("value")).alias("value_db"))
+
+
+@query("nack_streak", """
+WITH fb AS (SELECT user_id, ts, event_id, event_type FROM events WHERE event_type IN ('error', 'purchase')),
+g AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp
+      FROM fb),
+s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY user_id, grp ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS streak
+      FROM g)
+SELECT user_id, event_id, CAST(streak AS BIGINT) AS streak, streak >= 4 AS exhausted FROM s WHERE event_type = 'error'
+""")
+def q_nack_streak(spark, d):
+    """Consecutive-NACK counter per UE (error = NACK, purchase = ACK)."""
+    e = table(spark, d, "events")
+    s = sequences.nack_streak(e, "user_id", ["ts", "event_id"], hour(),
+                              F.col("event_type") == "error", F.col("event_type") == "purchase")
+    return s.select("user_id", "event_id", "streak", "exhausted")
+
+
+@query("packet_totals", """
+SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS sent,
+       CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS received,
+       CAST(count(*) FILTER (WHERE event_type = 'click') - count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS lost
+FROM events GROUP BY user_id
+""")
+def q_packet_totals(spark, d):
+    """T4: packets sent (click), received (view), lost per UE."""
+    e = table(spark, d, "events")
+    return sequences.packet_totals(e, "user_id", F.col("event_type") == "click", F.col("event_type") == "view")
+
+
+@query("stat_blocks", f"""
+WITH l AS ({S.EVENT_LINES}),
+b AS (SELECT log_id, line_no, sum(CASE WHEN clean LIKE '%CQI%' THEN 1 ELSE 0 END)
+        OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block_no,
+        clean LIKE '%CQI%' AS is_header FROM l)
+SELECT b.log_id, b.line_no, CAST(b.block_no AS BIGINT) AS block_no, h.line_no AS header_line
+FROM b LEFT JOIN (SELECT log_id, block_no, line_no FROM b WHERE is_header) h USING (log_id, block_no)
+""")
+def q_stat_blocks(spark, d):
+    """Every log line gets the latest statistics header at or before it."""
+    lines = event_lines(spark, d)
+    b = sequences.stat_blocks(lines, F.col("clean").contains("CQI"), F.floor(F.col("line_no") / 4096))
+    return b.select("log_id", "line_no", "block_no", "header_line")
+
+
+@query("frame_unwrap", """
+WITH f AS (SELECT user_id, event_id, ts, CAST((epoch_us(ts) // 10000) % 1024 AS BIGINT) AS frame FROM events),
+w AS (SELECT *, CASE WHEN frame < lag(frame) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS wrap FROM f),
+c AS (SELECT *, sum(wrap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wraps FROM w)
+SELECT user_id, event_id, frame, CAST(wraps AS BIGINT) AS wraps, CAST(frame + 1024 * wraps AS BIGINT) AS unwrapped FROM c
+""")
+def q_frame_unwrap(spark, d):
+    """System frame number (10 ms frames, modulo 1024) unwrapped per UE."""
+    e = table(spark, d, "events")
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    f = e.select("user_id", "event_id", "ts", (F.floor(us / 10000) % 1024).cast("long").alias("frame"))
+    u = sequences.frame_unwrap(f, "user_id", ["ts", "event_id"], hour())
+    return u.select("user_id", "event_id", "frame", "wraps", F.col("unwrapped").cast("long"))
+
+
+# ---- per-UE statistics (one block per 'view' report) ----------------------
+
+def ue_stats(spark, d):
+    e = _events(spark, d)
+    et = F.col("event_type")
+    k = F.col("k")
+    cum = running_sums(e, ["user_id"], ["ts", "event_id"], hour(), {
+        "rounds": F.lit(1),
+        "errors": (et == "error").cast("int"),
+        "retx2": ((et == "error") & (k % 4 >= 2)).cast("int"),
+        "retx3": ((et == "error") & (k % 4 == 3)).cast("int"),
+        "dtx": (et == "signup").cast("int"),
+        "blocks": (et == "view").cast("int"),
+    })
+    return cum.where(et == "view").select(
+        "user_id", "event_id", "ts", (F.col("blocks") - 1).alias("block_no"), "rounds", "errors", "retx2", "retx3",
+        "dtx", (-(80 + k % 40)).alias("rsrp"), (k % 16).alias("cqi"), (k % 29).alias("mcs"),
+        (k % 3).alias("mcs_table"))
+
+
+UE_STATS_SQL = f"""
+SELECT user_id, event_id, ts, block_no, rounds, errors, retx2, retx3, dtx, rsrp, cqi, mcs, mcs_table FROM (
+ SELECT user_id, event_id, ts, event_type,
+  sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER w - 1 AS block_no,
+  count(*) OVER w AS rounds,
+  sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS errors,
+  sum(CASE WHEN event_type = 'error' AND {K} % 4 >= 2 THEN 1 ELSE 0 END) OVER w AS retx2,
+  sum(CASE WHEN event_type = 'error' AND {K} % 4 = 3 THEN 1 ELSE 0 END) OVER w AS retx3,
+  sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER w AS dtx,
+  -(80 + {K} % 40) AS rsrp, {K} % 16 AS cqi, {K} % 29 AS mcs, {K} % 3 AS mcs_table
+ FROM events
+ WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x
+WHERE event_type = 'view'
+"""
+
+
+def ue_stat_lines(spark, d):
+    s = ue_stats(spark, d)
+    bler = F.format_string("%.5f", F.round(F.col("errors") / F.col("rounds"), 5))
+    line = F.concat(F.lit("UE "), F.col("user_id").cast("string"), F.lit(": dlsch_rounds "),
+                    F.concat_ws("/", *[F.col(c).cast("string") for c in ("rounds", "errors", "retx2", "retx3")]),
+                    F.lit(", dlsch_errors "), F.col("retx3").cast("string"), F.lit(", pucch0_DTX "),
+                    F.col("dtx").cast("string"), F.lit(", BLER "), bler, F.lit(" MCS ("),
+                    F.col("mcs_table").cast("string"), F.lit(") "), F.col("mcs").cast("string"))
+    return s.select("user_id", "block_no", line.alias("line"))
+
+
+@query("parse_ue_stats", f"""
+WITH s AS ({UE_STATS_SQL})
+SELECT user_id, CAST(block_no AS BIGINT) AS block_no, CAST(user_id AS VARCHAR) AS rnti,
+       [CAST(rounds AS BIGINT), CAST(errors AS BIGINT), CAST(retx2 AS BIGINT), CAST(retx3 AS BIGINT)] AS rounds,
+       CAST(retx3 AS BIGINT) AS errors, CAST(dtx AS BIGINT) AS dtx,
+       round(CAST(printf('%.5f', round(errors / rounds, 5)) AS DOUBLE), 6) AS bler, CAST(mcs_table AS INTEGER) AS mcs_table,
+       CAST(mcs AS INTEGER) AS mcs
+FROM s
+""")
+def q_parse_ue_stats(spark, d):
+    """render per-UE statistics lines from the events and parse them back."""
+    p = trace.parse_ue_stats(ue_stat_lines(spark, d))
+    return p.select("user_id", F.col("block_no").cast("long"), "rnti", "rounds", "errors", "dtx",
+                    r6("bler").alias("bler"), "mcs_table", "mcs")
+
+
+@query("counter_deltas", f"""
+WITH s AS ({UE_STATS_SQL}),
+p AS (SELECT *, lag(rounds) OVER w AS pr, lag(errors) OVER w AS pe FROM s WINDOW w AS (PARTITION BY user_id ORDER BY block_no))
+SELECT user_id, CAST(block_no AS BIGINT) AS block_no, CAST(rounds AS BIGINT) AS rounds, CAST(errors AS BIGINT) AS errors,
+  CAST(CASE WHEN pr IS NULL OR rounds < pr THEN rounds ELSE rounds - pr END AS BIGINT) AS d_rounds,
+  CAST(CASE WHEN pe IS NULL OR errors < pe THEN errors ELSE errors - pe END AS BIGINT) AS d_errors
+FROM p
+""")
+def q_counter_deltas(spark, d):
+    """Q1: per-block increments of cumulative counters, restart-aware."""
+    q = quality.counter_deltas(ue_stats(spark, d), "user_id", ["rounds", "errors"])
+    return q.select("user_id", F.col("block_no").cast("long"), F.col("rounds").cast("long"),
+                    F.col("errors").cast("long"), F.col("d_rounds").cast("long"), F.col("d_errors").cast("long"))
+
+
+@query("bler_moving_avg", f"""
+WITH s AS ({UE_STATS_SQL}),
+p AS (SELECT *, lag(rounds) OVER w AS pr, lag(errors) OVER w AS pe FROM s WINDOW w AS (PARTITION BY user_id ORDER BY block_no)),
+r AS (SELECT user_id, block_no,
+        (CASE WHEN pe IS NULL OR errors < pe THEN errors ELSE errors - pe END) /
+        (CASE WHEN pr IS NULL OR rounds < pr THEN rounds ELSE rounds - pr END) AS ratio,
+        errors / rounds AS bler_cum FROM p)
+SELECT user_id, CAST(block_no AS BIGINT) AS block_no, round(ratio, 6) AS ratio, round(bler_cum, 6) AS bler_cum,
+  round(avg(ratio) OVER (PARTITION BY user_id ORDER BY block_no ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS ratio_ma4
+FROM r
+""")
+def q_bler_moving_avg(spark, d):
+    """Q2: per-interval retransmission ratio and its 4-block moving average
+    next to the cumulative (printed) BLER."""
+    q = quality.counter_deltas(ue_stats(spark, d), "user_id", ["rounds", "errors"])
+    q = q.withColumn("ratio", F.col("d_errors") / F.col("d_rounds")).withColumn(
+        "bler_cum", F.col("errors") / F.col("rounds"))
+    m = quality.moving_average(q, "user_id", "block_no", "ratio", 4, "ratio_ma4")
+    return m.select("user_id", F.col("block_no").cast("long"), r6("ratio").alias("ratio"),
+                    r6("bler_cum").alias("bler_cum"), r6("ratio_ma4").alias("ratio_ma4"))
+
+
+@query("quality_bucket", f"""
+WITH s AS ({UE_STATS_SQL})
+SELECT CASE WHEN rsrp > -80 THEN 'good' WHEN rsrp < -95 THEN 'poor' ELSE 'fair' END AS bucket,
+       CAST(count(*) AS BIGINT) AS n_blocks, CAST(count(DISTINCT user_id) AS BIGINT) AS n_ues
+FROM s GROUP BY 1
+""")
+def q_quality_bucket(spark, d):
+    """Q3: RSRP quality bucket per statistics block."""
+    s = ue_stats(spark, d).withColumn("bucket", quality.quality_bucket(F.col("rsrp")))
+    return s.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_blocks"), F.countDistinct("user_id").alias("n_ues"))
+
+
+@query("event_impact", """
+WITH n AS (SELECT user_id, event_id, event_type, value,
+                  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
+SELECT e.user_id, e.event_id,
+  round(avg(CASE WHEN o.rn < e.rn THEN o.value END), 6) AS before_avg,
+  round(avg(CASE WHEN o.rn > e.rn THEN o.value END), 6) AS after_avg,
+  CAST(count(*) FILTER (WHERE o.rn < e.rn) AS BIGINT) AS n_before,
+  CAST(count(*) FILTER (WHERE o.rn > e.rn) AS BIGINT) AS n_after
+FROM n e JOIN n o ON o.user_id = e.user_id AND o.rn BETWEEN e.rn - 3 AND e.rn + 3 AND o.rn <> e.rn
+WHERE e.event_type = 'error'
+GROUP BY e.user_id, e.event_id
+""")
+def q_event_impact(spark, d):
+    """Q4: mean event value in the 3 events before vs after each error."""
+    e = table(spark, d, "events")
+    n = dense_number(e, ["user_id"], ["ts", "event_id"], hour(), out="n")
+    q = quality.event_impact(n, "user_id", "n", F.col("event_type") == "error", "value", 3)
+    return q.select("user_id", "event_id", r6("before_avg").alias("before_avg"), r6("after_avg").alias("after_avg"),
+                    "n_before", "n_after")
+
+
+@query("event_chain", """
+SELECT user_id, event_id, CAST(row_number() OVER w - 1 AS BIGINT) AS chain_no,
+       date_diff('microsecond', lag(ts) OVER w, ts) AS gap_us
+FROM events WHERE event_type = 'error'
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""")
+def q_event_chain(spark, d):
+    """Q5: ordered error chain per UE with the gap to the previous error."""
+    e = table(spark, d, "events").where(F.col("event_type") == "error")
+    c = quality.event_chain(e, "user_id", ["ts", "event_id"], hour())
+    return c.select("user_id", "event_id", "chain_no", "gap_us")
+
+
+@query("asof_metrics", f"""
+WITH s AS ({UE_STATS_SQL}),
+err AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'error')
+SELECT err.user_id, err.event_id, CAST(s.block_no AS BIGINT) AS block_no, s.rsrp, s.cqi
+FROM err ASOF LEFT JOIN s ON err.user_id = s.user_id AND err.ts >= s.ts
+""")
+def q_asof_metrics(spark, d):
+    """Q6: statistics block in force at each error (latest report at or
+    before it) - an as-of lookup done as running count + equi-join."""
+    e = _events(spark, d)
+    cum = running_sums(e, ["user_id"], ["ts", "event_id"], hour(),
+                       {"views": (F.col("event_type") == "view").cast("int")})
+    err = cum.where(F.col("event_type") == "error").select("user_id", "event_id", (F.col("views") - 1).alias("block_no"))
+    st = ue_stats(spark, d).select("user_id", "block_no", "rsrp", "cqi")
+    j = err.join(st, ["user_id", "block_no"], "left")
+    return j.select("user_id", "event_id",
+                    F.when(F.col("rsrp").isNotNull(), F.col("block_no")).cast("long").alias("block_no"),
+                    "rsrp", "cqi")
