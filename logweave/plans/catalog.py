@@ -650,3 +650,149 @@ def q_asof_metrics(spark, d):
     return j.select("user_id", "event_id",
                     F.when(F.col("rsrp").isNotNull(), F.col("block_no")).cast("long").alias("block_no"),
                     "rsrp", "cqi")
+
+
+# --------------------------------------------------------------------------
+# 2.6 clusters (supplied assignment: embeddings.label) and 2.7 retrieval
+# --------------------------------------------------------------------------
+
+from logweave.functions.text import whitespace_tokens  # noqa: E402,F401
+from logweave.operators import clusters as cl  # noqa: E402
+from logweave.operators import retrieval as rt  # noqa: E402
+
+
+def cluster_assignment(spark, d):
+    """Supplied clusters: embeddings.label; a vector's line is the first
+    non-empty line (cleaned) of the document with the same id."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("line_no"), F.col("label").alias("cluster"))
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").alias("line_no"),
+        clean_line(F.element_at(logs.split_lines(F.col("text")), 1)).alias("line"))
+    return e.join(docs, "line_no", "left").withColumn("line", F.coalesce("line", F.lit("")))
+
+
+ASSIGN_SQL = f"""
+SELECT e.vec_id AS line_no, e.label AS cluster,
+       coalesce({S.clean("list_filter(string_split(coalesce(d.text, ''), chr(10)), lambda x: x <> '')[1]")}, '') AS line
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
+"""
+
+REPORT_SQL = f"""
+WITH a AS ({ASSIGN_SQL}),
+sz AS (SELECT cluster, count(*) AS size, min(line_no) AS first_idx FROM a GROUP BY cluster),
+pl AS (SELECT cluster, line, count(*) AS line_cnt, min(line_no) AS line_first FROM a GROUP BY cluster, line),
+mj AS (SELECT cluster, line, line_cnt FROM (
+        SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY line_cnt DESC, line_first, line) AS r FROM pl) x WHERE r = 1)
+SELECT sz.cluster, CAST(sz.size AS BIGINT) AS size, CAST(sz.first_idx AS BIGINT) AS first_idx, mj.line,
+       CAST(mj.line_cnt AS BIGINT) AS line_cnt,
+       CAST(row_number() OVER (ORDER BY sz.size, sz.first_idx) AS INTEGER) AS rank
+FROM sz JOIN mj USING (cluster)
+"""
+
+
+@query("cluster_report", REPORT_SQL)
+def q_cluster_report(spark, d):
+    """All clusters smallest first with their majority line."""
+    r = cl.cluster_report(cluster_assignment(spark, d))
+    return r.select("cluster", "size", F.col("first_idx").cast("long"), "line", "line_cnt", "rank")
+
+
+@query("rare_clusters", f"SELECT rank, cluster, size FROM ({REPORT_SQL}) r WHERE rank <= 5")
+def q_rare_clusters(spark, d):
+    """The five smallest clusters."""
+    return cl.rare_clusters(cluster_assignment(spark, d)).select("rank", "cluster", "size")
+
+
+@query("cluster_majority", f"SELECT cluster, line, line_cnt FROM ({REPORT_SQL}) r")
+def q_cluster_majority(spark, d):
+    """Majority line per cluster (first-seen tie rule)."""
+    return cl.cluster_majority(cluster_assignment(spark, d)).select("cluster", "line", "line_cnt")
+
+
+@query("rare_cluster_events", f"SELECT rank, line, size FROM ({REPORT_SQL}) r WHERE rank <= 5")
+def q_rare_cluster_events(spark, d):
+    """Rare-cluster events as (majority line, size)."""
+    return cl.rare_clusters(cluster_assignment(spark, d)).select("rank", "line", "size")
+
+
+def _toks_sql(x):
+    return f"list_filter(regexp_split_to_array({S.strip(x)}, {S.q(S.WS + '+')}), lambda t: t <> '')"
+
+
+BM25_SQL = f"""
+WITH dt AS (SELECT doc_id, {_toks_sql("coalesce(text, '')")} AS toks FROM documents),
+n AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM dt),
+dfq AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(toks) AS term FROM dt) u GROUP BY term),
+raw AS (SELECT term, ln(n_docs - df + 0.5) - ln(df + 0.5) AS idf_raw FROM dfq, n),
+idf AS (SELECT term, CASE WHEN idf_raw < 0 THEN 0.25 * (SELECT avg(idf_raw) FROM raw) ELSE idf_raw END AS idf FROM raw),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM
+        (SELECT item_id AS query_id, unnest({_toks_sql("coalesce(text, '')")}) AS term FROM benchmark) u GROUP BY query_id, term),
+po AS (SELECT doc_id, dl, term, count(*) AS tf FROM
+        (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM dt) u
+       WHERE term IN (SELECT term FROM qt) GROUP BY doc_id, dl, term),
+sc AS (SELECT query_id, doc_id, sum(qtf * idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+       FROM qt JOIN idf USING (term) JOIN po USING (term), n GROUP BY query_id, doc_id),
+bm AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank,
+              doc_id, score FROM sc)
+SELECT * FROM bm WHERE rank <= 5
+"""
+
+
+def _unit_sql(v):
+    norm = f"sqrt(list_reduce(list_transform({v}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), lambda a, b: a + b))"
+    return f"list_transform({v}, lambda x: CASE WHEN {norm} > 0 THEN CAST(x AS DOUBLE) / {norm} ELSE 0.0 END)"
+
+
+COSINE_SQL = f"""
+WITH qu AS (SELECT b.item_id AS query_id, {_unit_sql('e.embedding')} AS u FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+cu AS (SELECT vec_id AS doc_id, {_unit_sql('embedding')} AS u FROM embeddings),
+p AS (SELECT query_id, doc_id, list_reduce(list_transform(generate_series(1, len(qu.u)), lambda i: qu.u[i] * cu.u[i]), lambda a, b: a + b) AS score
+      FROM qu, cu),
+cs AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank,
+              doc_id, score FROM p WHERE score >= 0.3)
+SELECT * FROM cs WHERE rank <= 5
+"""
+
+
+def bm25_hits(spark, d):
+    return rt.bm25_topk(table(spark, d, "documents"), table(spark, d, "benchmark"),
+                        qid_col="item_id", qtext_col="text")
+
+
+def cosine_hits(spark, d):
+    e = table(spark, d, "embeddings")
+    qv = table(spark, d, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select("item_id", "embedding")
+    return rt.cosine_topk(qv, e, qid_col="item_id", id_col="vec_id")
+
+
+@query("bm25_topk", f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({BM25_SQL}) b")
+def q_bm25_topk(spark, d):
+    """BM25 top 5 documents for every benchmark query."""
+    return bm25_hits(spark, d).select("query_id", "rank", "doc_id", r6("score").alias("score"))
+
+
+@query("cosine_topk", f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({COSINE_SQL}) c")
+def q_cosine_topk(spark, d):
+    """Exact cosine top 5 with threshold 0.3 (query vector = the item's embedding)."""
+    return cosine_hits(spark, d).select("query_id", "rank", "doc_id", r6("score").alias("score"))
+
+
+RRF_SQL = f"""
+WITH h AS (SELECT query_id, doc_id, rank, 0 AS src, 0.3 AS w FROM ({BM25_SQL}) b
+           UNION ALL SELECT query_id, doc_id, rank, 1 AS src, 0.7 AS w FROM ({COSINE_SQL}) c),
+k AS (SELECT h.*, coalesce(d.text, '') AS key FROM h JOIN documents d USING (doc_id)),
+f AS (SELECT query_id, key, sum(w / (60 + rank)) AS score, min(src * 1000 + rank) AS first_pos,
+             arg_min(doc_id, src * 1000 + rank) AS doc_id FROM k GROUP BY query_id, key)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first_pos) AS INTEGER) AS rank,
+       doc_id, score FROM f
+"""
+
+
+def rrf_hits(spark, d):
+    return rt.hybrid_rrf(bm25_hits(spark, d), cosine_hits(spark, d), table(spark, d, "documents"))
+
+
+@query("hybrid_rrf", f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({RRF_SQL}) r")
+def q_hybrid_rrf(spark, d):
+    """Weighted reciprocal-rank fusion of BM25 and vector hits."""
+    return rrf_hits(spark, d).select("query_id", "rank", "doc_id", r6("score").alias("score"))
