@@ -88,24 +88,24 @@ def linear_to_db(c, digits: int = 2) -> Column:
     return F.round(F.lit(10.0) * F.log10(_c(c)), digits)
 
 
+def fix_heading_line(line: Column) -> Column:
+    """F11 for one line: a line that starts with ``##`` is stripped and its
+    heading text (everything after the first space) decides the level by the
+    depth of its dotted number: 6 parts ``######``, 5 ``#####``, 4 ``####``,
+    3 ``###``; otherwise the stripped line is kept."""
+    s = py_strip(line)
+    pos = F.instr(s, " ")
+    heading = F.when(pos > 0, F.substring(s, pos + 1, 1 << 30)).otherwise(F.lit(""))
+    levelled = s
+    for parts, hashes in ((3, "###"), (4, "####"), (5, "#####"), (6, "######")):
+        pat = r"^\d+" + r"\.\d+" * (parts - 1)
+        levelled = F.when(heading.rlike(pat), F.concat(F.lit(hashes + " "), heading)).otherwise(levelled)
+    return F.when(line.startswith("##"), levelled).otherwise(line)
+
+
 def fix_headings(c) -> Column:
-    """re-level ``##`` headings by the depth of their dotted number.
-
-    A line that starts with ``##`` is stripped; its heading text (everything
-    after the first space) decides the level: 6 dotted parts ``######``,
-    5 ``#####``, 4 ``####``, 3 ``###``; otherwise the stripped line is kept.
-    """
-    def fix(line):
-        s = py_strip(line)
-        pos = F.instr(s, " ")
-        heading = F.when(pos > 0, F.substring(s, pos + 1, 1 << 30)).otherwise(F.lit(""))
-        levelled = s
-        for parts, hashes in ((3, "###"), (4, "####"), (5, "#####"), (6, "######")):
-            pat = r"^\d+" + r"\.\d+" * (parts - 1)
-            levelled = F.when(heading.rlike(pat), F.concat(F.lit(hashes + " "), heading)).otherwise(levelled)
-        return F.when(line.startswith("##"), levelled).otherwise(line)
-
-    return F.array_join(F.transform(F.split(_c(c), "\n", -1), fix), "\n")
+    """F11 over a whole markdown text (split on newlines, fixed, re-joined)."""
+    return F.array_join(F.transform(F.split(_c(c), "\n", -1), fix_heading_line), "\n")
 
 
 # The five XML entities, in the order a safe unescape applies them (&amp; last).

@@ -796,3 +796,193 @@ def rrf_hits(spark, d):
 def q_hybrid_rrf(spark, d):
     """Weighted reciprocal-rank fusion of BM25 and vector hits."""
     return rrf_hits(spark, d).select("query_id", "rank", "doc_id", r6("score").alias("score"))
+
+
+# --------------------------------------------------------------------------
+# corpus: markdown lines, heading repair, header sections, chunking, HTML
+# --------------------------------------------------------------------------
+
+from logweave.functions.text import fix_heading_line, unescape_html, unescape_xml  # noqa: E402
+from logweave.operators import chunking as ck  # noqa: E402
+
+
+def md_lines(spark, d):
+    """Conversations rendered as markdown files (one per conversation):
+    a title heading, then per turn a numbered ``##`` heading whose dotted
+    depth varies with the turn, the turn text, and a blank line."""
+    c = table(spark, d, "conversations")
+    src = F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit(".md"))
+    title = (c.select("conv_id").distinct()
+             .select(F.col("conv_id").alias("doc_id"), src.alias("source"), F.lit(0).cast("long").alias("ord"),
+                     F.concat(F.lit("## "), F.col("conv_id").cast("string"), F.lit(" Conversation "),
+                              F.col("conv_id").cast("string")).alias("line")))
+    base = (F.col("turn") + 1) * 100000
+    head = c.select(F.col("conv_id").alias("doc_id"), src.alias("source"), base.cast("long").alias("ord"),
+                    F.concat(F.lit("## "), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"),
+                             F.repeat(F.lit(".1"), (F.col("turn") % 4 + 1).cast("int")), F.lit(" "),
+                             F.col("role")).alias("line"))
+    body = (c.select(F.col("conv_id").alias("doc_id"), src.alias("source"), base.alias("_b"),
+                     F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("_p", "line"))
+            .select("doc_id", "source", (F.col("_b") + 1 + F.col("_p")).cast("long").alias("ord"), "line"))
+    gap = c.select(F.col("conv_id").alias("doc_id"), src.alias("source"), (base + 99999).cast("long").alias("ord"),
+                   F.lit("").alias("line"))
+    return title.unionByName(head).unionByName(body).unionByName(gap)
+
+
+MD_LINES_SQL = """
+SELECT DISTINCT conv_id AS doc_id, 'conv-' || CAST(conv_id AS VARCHAR) || '.md' AS source, CAST(0 AS BIGINT) AS ord,
+       '## ' || CAST(conv_id AS VARCHAR) || ' Conversation ' || CAST(conv_id AS VARCHAR) AS line FROM conversations
+UNION ALL
+SELECT conv_id, 'conv-' || CAST(conv_id AS VARCHAR) || '.md', CAST((turn + 1) * 100000 AS BIGINT),
+       '## ' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) || repeat('.1', CAST(turn % 4 + 1 AS INTEGER)) || ' ' || role
+FROM conversations
+UNION ALL
+SELECT conv_id, 'conv-' || CAST(conv_id AS VARCHAR) || '.md', CAST((turn + 1) * 100000 + pos AS BIGINT), l FROM (
+  SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
+         unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM conversations) x
+UNION ALL
+SELECT conv_id, 'conv-' || CAST(conv_id AS VARCHAR) || '.md', CAST((turn + 1) * 100000 + 99999 AS BIGINT), '' FROM conversations
+"""
+
+
+def _fix_heading_sql(x):
+    s = S.strip(x)
+    heading = f"(CASE WHEN strpos({s}, ' ') > 0 THEN substr({s}, strpos({s}, ' ') + 1) ELSE '' END)"
+    cases = []
+    for parts, hashes in ((6, "######"), (5, "#####"), (4, "####"), (3, "###")):
+        pat = r"^\d+" + r"\.\d+" * (parts - 1)
+        cases.append(f"WHEN regexp_matches({heading}, {S.q(pat)}) THEN '{hashes} ' || {heading}")
+    return f"(CASE WHEN starts_with({x}, '##') THEN (CASE {' '.join(cases)} ELSE {s} END) ELSE {x} END)"
+
+
+FIXED_MD_SQL = f"SELECT doc_id, source, ord, {_fix_heading_sql('line')} AS line FROM ({MD_LINES_SQL}) m"
+
+
+def fixed_md_lines(spark, d):
+    return md_lines(spark, d).withColumn("line", fix_heading_line(F.col("line")))
+
+
+@query("scan_corpus", f"SELECT doc_id, source, ord, line FROM ({MD_LINES_SQL}) m")
+def q_scan_corpus(spark, d):
+    """SRC3 (table binding): the markdown corpus as ordered lines per file."""
+    return md_lines(spark, d)
+
+
+@query("fix_headings", FIXED_MD_SQL)
+def q_fix_headings(spark, d):
+    """heading levels repaired from the dotted section numbers."""
+    return fixed_md_lines(spark, d)
+
+
+def _split_headers_sql(lines_sql):
+    lv = (2, 3, 4, 5, 6)
+    p_cols = ",\n".join(
+        f"max(CASE WHEN level = {v} THEN ord END) OVER upto AS p{v}, "
+        f"last_value(CASE WHEN level = {v} THEN hname END IGNORE NULLS) OVER upto AS n{v}" for v in lv)
+    h_cols = []
+    for v in lv:
+        sh = [f"p{j}" for j in lv if j < v]
+        newest = f"greatest({', '.join(sh)})" if len(sh) > 1 else (sh[0] if sh else "NULL")
+        h_cols.append(f"CASE WHEN p{v} IS NOT NULL AND ({newest} IS NULL OR p{v} > {newest}) THEN n{v} END AS h{v}")
+    hsel = ", ".join(h_cols)
+    depth = " + ".join(f"(CASE WHEN h{v} IS NOT NULL THEN 1 ELSE 0 END)" for v in lv)
+    hmax = ", ".join(f"arg_max(h{v}, ord) AS h{v}" for v in lv)
+    gmax = ", ".join(f"arg_max(h{v}, section) AS h{v}" for v in lv)
+    return f"""
+WITH a AS (SELECT doc_id, source, ord, {S.strip('line')} AS s FROM ({lines_sql}) l),
+b AS (SELECT *, CASE WHEN starts_with(s, '```') OR starts_with(s, '~~~') THEN 1 ELSE 0 END AS fence FROM a),
+c AS (SELECT *, (coalesce(sum(fence) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1)
+                OR fence = 1 AS in_code FROM b),
+d AS (SELECT *, CASE WHEN NOT in_code AND regexp_extract(s, '^(#{{2,6}})( |$)', 1) <> ''
+                     THEN length(regexp_extract(s, '^(#{{2,6}})( |$)', 1)) END AS level FROM c),
+e AS (SELECT *, CASE WHEN level IS NOT NULL THEN {S.strip('substr(s, level + 1)')} END AS hname FROM d),
+f AS (SELECT *, {p_cols},
+             sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER upto AS section
+      FROM e WINDOW upto AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, {hsel}, CASE WHEN s = '' AND NOT in_code THEN 1 ELSE 0 END AS blank FROM f),
+h AS (SELECT *, sum(blank) OVER (PARTITION BY doc_id, section ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS para FROM g),
+pa AS (SELECT doc_id, section, para, min(ord) AS o, string_agg(s, chr(10) ORDER BY ord) AS ptext, count(*) AS nl,
+              max(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) AS hdr
+       FROM h WHERE blank = 0 GROUP BY doc_id, section, para),
+se AS (SELECT doc_id, section, string_agg(ptext, '  ' || chr(10) ORDER BY o) AS text, sum(nl) AS lines, max(hdr) AS has_hdr
+       FROM pa GROUP BY doc_id, section),
+me AS (SELECT doc_id, section, first(source) AS source, {hmax} FROM h GROUP BY doc_id, section),
+sm AS (SELECT se.*, me.source, me.h2, me.h3, me.h4, me.h5, me.h6, {depth} AS depth FROM se JOIN me USING (doc_id, section)),
+mg AS (SELECT *, (lines = 1 AND has_hdr = 1) AND lead(depth) OVER sw > depth AND lead(section) OVER sw IS NOT NULL AS mrg
+       FROM sm WINDOW sw AS (PARTITION BY doc_id ORDER BY section)),
+gr AS (SELECT *, min(CASE WHEN NOT mrg THEN section END) OVER (PARTITION BY doc_id ORDER BY section
+                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS grp FROM mg)
+SELECT doc_id, first(source) AS source, CAST(grp AS BIGINT) AS chunk_seq, {gmax},
+       string_agg(text, '  ' || chr(10) ORDER BY section) AS text
+FROM gr GROUP BY doc_id, grp
+"""
+
+
+SPLIT_SQL = _split_headers_sql(FIXED_MD_SQL)
+
+
+def md_sections(spark, d):
+    return ck.split_headers(fixed_md_lines(spark, d))
+
+
+@query("split_headers", SPLIT_SQL)
+def q_split_headers(spark, d):
+    """Header sections with their Header 2..6 metadata."""
+    return md_sections(spark, d)
+
+
+@query("filter_sections", f"""
+SELECT * FROM ({SPLIT_SQL}) x
+WHERE lower({S.strip("coalesce(h2, '')")}) NOT IN (SELECT lower(t) FROM {S.values([(t,) for t in ck.BOILERPLATE_SECTIONS], ['t'])})
+""")
+def q_filter_sections(spark, d):
+    """boilerplate sections removed."""
+    return ck.filter_sections(md_sections(spark, d))
+
+
+def document_md_lines(spark, d):
+    docs = table(spark, d, "documents")
+    l = logs.lines_from_texts(docs, "doc_id", "doc_id", "text", policy="none")
+    return (l.join(docs.select(F.col("doc_id").cast("string").alias("log_id"), "source"), "log_id")
+            .select(F.col("seg").alias("doc_id"), "source", F.col("line_no").alias("ord"), F.col("raw").alias("line")))
+
+
+@query("chunk_fixed", """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS ord FROM documents),
+c AS (SELECT *, floor(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ord
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 5000) AS chunk_no FROM l)
+SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(count(*) AS BIGINT) AS n_lines,
+       string_agg(line, chr(10) ORDER BY ord) AS text
+FROM c GROUP BY doc_id, chunk_no
+""")
+def q_chunk_fixed(spark, d):
+    """R3 (SQL variant): documents packed into ~5000-character line windows."""
+    c = ck.chunk_fixed(document_md_lines(spark, d))
+    return c.select("doc_id", F.col("chunk_no").cast("long"), F.col("n_lines").cast("long"), "text")
+
+
+@query("chunk_corpus")
+def q_chunk_corpus(spark, d):
+    """Documents -> header sections -> boilerplate filter -> recursive
+    5000/500 character chunks (rows-only: the splitter is a per-row helper)."""
+    secs = ck.filter_sections(ck.split_headers(document_md_lines(spark, d)))
+    return ck.chunk_texts(secs, ["doc_id", "source", "chunk_seq", "h2", "h3"])
+
+
+@query("html_unescape", f"""
+SELECT page_id, {"html"} AS html FROM (SELECT page_id,
+  replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS html
+  FROM pages) p
+""")
+def q_html_unescape(spark, d):
+    """F10 (SQL variant): the five XML entities."""
+    p = table(spark, d, "pages")
+    return p.select("page_id", unescape_xml(F.col("html")).alias("html"))
+
+
+@query("html_unescape_full")
+def q_html_unescape_full(spark, d):
+    """full HTML entity table via an Arrow pandas_udf (rows-only)."""
+    p = table(spark, d, "pages")
+    return p.select("page_id", unescape_html(F.col("html")).alias("html"))

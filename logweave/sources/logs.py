@@ -25,6 +25,8 @@ def _keep(policy: str):
         return lambda x: x != F.lit("")
     if policy == "strip":
         return lambda x: ~is_blank(x)
+    if policy == "none":
+        return lambda x: F.lit(True)
     raise ValueError(f"unknown blank-line policy {policy!r}")
 
 
