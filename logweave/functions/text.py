@@ -29,7 +29,7 @@ WORD = r"\b([a-z]+)\b"
 # ---------------------------------------------------------------------------
 
 # Python's str.isspace() set, as a Java regex character class.
-WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Non-ASCII letters/digits: word characters for Python's Unicode \b, but not
 # for an ASCII regex engine. They are mapped to '0' before word extraction so
 # that e.g. 'réaux' yields no word on every engine (as in Python).

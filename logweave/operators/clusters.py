@@ -20,36 +20,39 @@ N_REPORTED = 5
 SEED = 42
 
 
-def cluster_sizes(assign: DataFrame, cluster: str = "cluster", pos: str = "line_no") -> DataFrame:
-    """Size and first position of every cluster."""
-    return assign.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.min(pos).alias("first_idx"))
+def cluster_sizes(assign: DataFrame, cluster: str = "cluster", pos: str = "line_no",
+                  keys: tuple[str, ...] = ()) -> DataFrame:
+    """Size and first position of every cluster (per ``keys``, e.g. a log)."""
+    return assign.groupBy(*keys, cluster).agg(F.count(F.lit(1)).alias("size"), F.min(pos).alias("first_idx"))
 
 
 def cluster_majority(assign: DataFrame, cluster: str = "cluster", line: str = "line",
-                     pos: str = "line_no") -> DataFrame:
+                     pos: str = "line_no", keys: tuple[str, ...] = ()) -> DataFrame:
     """Most frequent line per cluster; ties go to the line seen first.
     Two-step aggregate (counts per (cluster, line), then a top-1 per
     cluster over distinct lines) - ``mode()`` has no first-seen rule."""
-    per = assign.groupBy(cluster, line).agg(F.count(F.lit(1)).alias("line_cnt"), F.min(pos).alias("line_first"))
-    best = per.groupBy(cluster).agg(F.min(F.struct((-F.col("line_cnt")).alias("neg"), F.col("line_first").alias("f"),
+    per = assign.groupBy(*keys, cluster, line).agg(F.count(F.lit(1)).alias("line_cnt"),
+                                                   F.min(pos).alias("line_first"))
+    best = per.groupBy(*keys, cluster).agg(F.min(F.struct((-F.col("line_cnt")).alias("neg"), F.col("line_first").alias("f"),
                                                    F.col(line).alias("l"))).alias("_b"))
-    return best.select(cluster, F.col("_b.l").alias("line"), (-F.col("_b.neg")).alias("line_cnt"))
+    return best.select(*keys, cluster, F.col("_b.l").alias("line"), (-F.col("_b.neg")).alias("line_cnt"))
 
 
 def cluster_report(assign: DataFrame, cluster: str = "cluster", line: str = "line",
-                   pos: str = "line_no") -> DataFrame:
+                   pos: str = "line_no", keys: tuple[str, ...] = ()) -> DataFrame:
     """Every cluster, smallest first, with its majority line.
-    ``rank`` orders by size, then first appearance."""
-    sizes = cluster_sizes(assign, cluster, pos)
-    maj = cluster_majority(assign, cluster, line, pos)
-    w = Window.orderBy("size", "first_idx")  # one row per cluster: k rows
-    return sizes.join(maj, cluster).withColumn("rank", F.row_number().over(w))
+    ``rank`` orders by size, then first appearance. The window holds one
+    row per cluster (k rows per key), never lines."""
+    sizes = cluster_sizes(assign, cluster, pos, keys)
+    maj = cluster_majority(assign, cluster, line, pos, keys)
+    w = Window.partitionBy(*keys).orderBy("size", "first_idx") if keys else Window.orderBy("size", "first_idx")
+    return sizes.join(maj, [*keys, cluster]).withColumn("rank", F.row_number().over(w))
 
 
 def rare_clusters(assign: DataFrame, n: int = N_REPORTED, cluster: str = "cluster", line: str = "line",
-                  pos: str = "line_no") -> DataFrame:
+                  pos: str = "line_no", keys: tuple[str, ...] = ()) -> DataFrame:
     """The ``n`` smallest clusters as (majority line, size) events."""
-    return cluster_report(assign, cluster, line, pos).where(F.col("rank") <= n)
+    return cluster_report(assign, cluster, line, pos, keys).where(F.col("rank") <= n)
 
 
 def tfidf_vectors(lines: DataFrame, text_col: str = "clean", num_features: int = 1 << 12) -> DataFrame:

@@ -20,14 +20,14 @@ KEY = ["log_id", "n_tok", "first_key"]
 
 
 def tokens(clean_col="clean"):
-    c = F.col(clean_col) if isinstance(clean_col, str) else clean_col
+    c = F.coalesce(F.col(clean_col) if isinstance(clean_col, str) else clean_col, F.lit(""))
     return F.when(c == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(c, " "))
 
 
 def with_key(lines: DataFrame, clean_col: str = "clean") -> DataFrame:
     """Add ``tokens``, ``n_tok`` and ``first_key`` (the prefix-tree key)."""
     t = lines.withColumn("tokens", tokens(clean_col))
-    first = F.element_at(F.col("tokens"), 1)
+    first = F.coalesce(F.element_at(F.col("tokens"), 1), F.lit(""))
     return (t.withColumn("n_tok", F.size("tokens"))
             .withColumn("first_key",
                         F.when(F.col("n_tok") == 0, F.lit(""))

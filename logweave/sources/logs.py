@@ -68,7 +68,9 @@ def scan_text_logs(spark: SparkSession, path: str, policy: str = "empty") -> Dat
 
 def with_clean(lines: DataFrame) -> DataFrame:
     """F8 applied to ``raw``."""
-    return lines.withColumn("clean", clean_line(F.col("raw")))
+    # non-null input keeps the derived keys non-nullable, so the optimizer
+    # infers no IS NOT NULL filters that would copy the whole cleaning chain
+    return lines.withColumn("clean", clean_line(F.coalesce(F.col("raw"), F.lit(""))))
 
 
 def log_segments(lines: DataFrame, text_col: str = "clean") -> DataFrame:
@@ -118,7 +120,8 @@ def render_event_log(events: DataFrame) -> DataFrame:
     Deterministic: every field is taken from the row (``props.k`` drives the
     radio values). Output ``(log_id, ts, event_id, raw)``.
     """
-    k = _k(F.col("props"))
+    events = events.select("user_id", "ts", "event_id", "event_type", _k(F.col("props")).alias("_k"))
+    k = F.col("_k")
     u = _s(F.col("user_id"))
     esc = F.lit("\x1b")
     body = (
@@ -137,7 +140,7 @@ def render_event_log(events: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("UE "), u, F.lit(" "), F.coalesce(F.col("event_type"), F.lit("event"))))
     )
     return events.select(F.concat(F.lit("ue-"), u).alias("log_id"), "ts", "event_id",
-                         F.concat(esc, F.lit("[0m"), body).alias("raw"))
+                         F.coalesce(F.concat(esc, F.lit("[0m"), body), F.lit("")).alias("raw"))
 
 
 def event_log_lines(events: DataFrame) -> DataFrame:
