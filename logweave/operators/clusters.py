@@ -55,7 +55,7 @@ def rare_clusters(assign: DataFrame, n: int = N_REPORTED, cluster: str = "cluste
     return cluster_report(assign, cluster, line, pos, keys).where(F.col("rank") <= n)
 
 
-def tfidf_vectors(lines: DataFrame, text_col: str = "clean", num_features: int = 1 << 12) -> DataFrame:
+def tfidf_vectors(lines: DataFrame, text_col: str = "clean", num_features: int = 1 << 8) -> DataFrame:
     """C1 fallback embedding: hashed term frequencies -> IDF -> L2 normalise,
     fitted on distinct lines. Output adds ``features`` to each distinct line
     with its ``cnt``."""

@@ -120,14 +120,13 @@ def mine_positional(lines: DataFrame, clean_col: str = "clean") -> DataFrame:
 SIM_THRESHOLD = 0.4  # fixed value: similarity threshold of the reference miner
 
 
-def _drain_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential clustering of the distinct lines of one key group, in
-    first-appearance order. A line joins the most similar cluster when
-    (equal non-wildcard tokens / length) >= threshold (ties: more wildcards,
-    then older cluster), which then wildcards every differing position."""
-    pdf = pdf.sort_values("first_line", kind="stable")
+def _cluster_sequence(token_lists) -> list[list[str]]:
+    """Sequential similarity clustering of token lists (in the given order).
+    A list joins the most similar cluster when (equal non-wildcard tokens /
+    length) >= threshold (ties: more wildcards, then older cluster), which
+    then wildcards every differing position; otherwise it founds a cluster."""
     clusters: list[list[str]] = []
-    for toks in pdf["tokens"]:
+    for toks in token_lists:
         toks = list(toks)
         best, best_sim, best_params = -1, -1.0, -1
         for cid, tmpl in enumerate(clusters):
@@ -140,21 +139,69 @@ def _drain_group(pdf: pd.DataFrame) -> pd.DataFrame:
             clusters[best] = [a if a == b else WILDCARD for a, b in zip(clusters[best], toks)]
         else:
             clusters.append(toks)
+    return clusters
+
+
+CHUNK_LINES = 50000  # distinct lines clustered together in one task
+
+
+def _drain_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Level 1: cluster one chunk of a key group; emit each cluster's
+    template with the first line it absorbed (its age)."""
+    pdf = pdf.sort_values("first_line", kind="stable")
+    clusters: list[list[str]] = []
+    firsts: list[int] = []
+    for toks, first in zip(pdf["tokens"], pdf["first_line"]):
+        before = len(clusters)
+        clusters = _cluster_sequence_step(clusters, list(toks))
+        if len(clusters) > before:
+            firsts.append(int(first))
     row = pdf.iloc[0]
-    return pd.DataFrame({
-        "log_id": row["log_id"], "n_tok": row["n_tok"], "first_key": row["first_key"],
-        "cluster_id": list(range(len(clusters))),
-        "template": [" ".join(c) for c in clusters],
-    })
+    return pd.DataFrame({"log_id": row["log_id"], "n_tok": row["n_tok"], "first_key": row["first_key"],
+                         "tokens": [list(c) for c in clusters], "first_line": firsts})
+
+
+def _cluster_sequence_step(clusters: list[list[str]], toks: list[str]) -> list[list[str]]:
+    best, best_sim, best_params = -1, -1.0, -1
+    for cid, tmpl in enumerate(clusters):
+        eq = sum(1 for a, b in zip(tmpl, toks) if a != WILDCARD and a == b)
+        params = sum(1 for a in tmpl if a == WILDCARD)
+        sim = eq / len(toks) if toks else 1.0
+        if sim > best_sim or (sim == best_sim and params > best_params):
+            best, best_sim, best_params = cid, sim, params
+    if best >= 0 and best_sim >= SIM_THRESHOLD:
+        clusters[best] = [a if a == b else WILDCARD for a, b in zip(clusters[best], toks)]
+    else:
+        clusters.append(toks)
+    return clusters
+
+
+def _drain_merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Level 2: cluster the chunk templates of one key group in age order."""
+    pdf = pdf.sort_values("first_line", kind="stable")
+    clusters = _cluster_sequence(pdf["tokens"])
+    row = pdf.iloc[0]
+    return pd.DataFrame({"log_id": row["log_id"], "n_tok": row["n_tok"], "first_key": row["first_key"],
+                         "cluster_id": list(range(len(clusters))), "template": [" ".join(c) for c in clusters]})
 
 
-def drain_templates(lines: DataFrame, clean_col: str = "clean") -> DataFrame:
-    """Similarity-split templates per key.
+def drain_templates(lines: DataFrame, clean_col: str = "clean", chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Similarity-split templates per (log, key).
 
-    Lines are deduplicated first (hash aggregate), so a group holds distinct
-    lines only; each (log, key) group is clustered by ``applyInPandas``.
+    Lines are deduplicated first (hash aggregate). A key group is cut into
+    hash chunks of about ``chunk_lines`` distinct lines, so no task ever
+    holds an unbounded group; each chunk is clustered in first-appearance
+    order (level 1), then the chunk templates of the group - far fewer than
+    lines - are clustered again in age order (level 2). A group that fits in
+    one chunk gets exactly the sequential result.
     """
     keyed = with_key(lines, clean_col)
-    uniq = distinct_lines(keyed, clean_col).select(*KEY, "tokens", "first_line")
+    uniq = distinct_lines(keyed, clean_col)
+    sizes = uniq.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+    chunked = (uniq.join(sizes, KEY)
+               .withColumn("_chunk", F.pmod(F.xxhash64(clean_col), F.ceil(F.col("_n") / chunk_lines).cast("long")))
+               .select(*KEY, "_chunk", "tokens", "first_line"))
+    lvl1 = chunked.groupBy(*KEY, "_chunk").applyInPandas(
+        _drain_chunk, "log_id string, n_tok int, first_key string, tokens array<string>, first_line long")
     schema = "log_id string, n_tok int, first_key string, cluster_id int, template string"
-    return uniq.groupBy(*KEY).applyInPandas(_drain_group, schema)
+    return lvl1.groupBy(*KEY).applyInPandas(_drain_merge, schema)

@@ -1297,3 +1297,112 @@ def q_write_artifacts(spark, d):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/artifacts/{uuid.uuid4().hex}"
     md.write_artifacts(all_modes(spark, d), path)
     return spark.read.parquet(path)
+
+
+# --------------------------------------------------------------------------
+# Python-worker operators (rows-only checks) and the stream
+# --------------------------------------------------------------------------
+
+from logweave.functions.stem import stem_table  # noqa: E402
+from logweave.functions.text import words as words_of  # noqa: E402
+from logweave.streaming import nack_stream  # noqa: E402
+
+
+@shared(materialize=True)
+def drain_tm(spark, d):
+    return templates.drain_templates(event_lines(spark, d))
+
+
+@query("drain_templates")
+def q_drain_templates(spark, d):
+    """Similarity-split templates of the event log (applyInPandas per
+    bounded chunk of a key group)."""
+    return drain_tm(spark, d)
+
+
+@query("drain_freq")
+def q_drain_freq(spark, d):
+    """M2/M3/M4 over the M1b templates: every line matched to its best fully
+    matching template, then counted."""
+    m = templates.match_templates(event_lines(spark, d).select("log_id", "line_no", "clean"), drain_tm(spark, d))
+    return templates.template_freq(m)
+
+
+@query("stem_vocab")
+def q_stem_vocab(spark, d):
+    """Porter stems of every distinct word of the documents (the UDF
+    sees each distinct word once)."""
+    w = table(spark, d, "documents").select(F.explode(words_of(F.col("text"))).alias("word"))
+    return stem_table(w)
+
+
+@shared(materialize=True)
+def line_vectors(spark, d):
+    return cl.tfidf_vectors(event_lines(spark, d))
+
+
+@query("tfidf_vectors")
+def q_tfidf_vectors(spark, d):
+    """Hashed TF-IDF, L2-normalised, one vector per distinct line."""
+    from pyspark.ml.functions import vector_to_array
+    v = line_vectors(spark, d)
+    return v.select("clean", "cnt", "first_line", vector_to_array("features").alias("embedding"))
+
+
+@shared(materialize=True)
+def clustered_lines(spark, d):
+    return cl.cluster_lines(event_lines(spark, d), vectors=line_vectors(spark, d))
+
+
+@query("cluster_lines")
+def q_cluster_lines(spark, d):
+    """Bisecting k-means (k = 15) on distinct line vectors weighted by count."""
+    return clustered_lines(spark, d).select("log_id", "line_no", "clean", "cluster")
+
+
+@query("cluster_line_events")
+def q_cluster_line_events(spark, d):
+    """C8 with learned clusters: five smallest clusters per log."""
+    a = clustered_lines(spark, d).select("log_id", "line_no", F.col("clean").alias("line"), "cluster")
+    return cl.rare_clusters(a, keys=("log_id",))
+
+
+@query("project_2d")
+def q_project_2d(spark, d):
+    """2-D PCA projection table for plotting (x, y, text, line number, cluster)."""
+    return cl.project_2d(line_vectors(spark, d), clustered_lines(spark, d))
+
+
+@query("stream_nack_streak")
+def q_stream_nack_streak(spark, d):
+    """NACK streaks computed by a Structured Streaming job with keyed
+    state (availableNow over the events files); equals ``nack_streak``."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return nack_stream.run_available(spark, d, schema, file_glob="events.parquet")
+
+
+@query("list_sources")
+def q_list_sources(spark, d):
+    """SRC5: source files of a folder that are not markdown (binaryFile
+    listing without reading contents)."""
+    files = spark.read.format("binaryFile").load(d).drop("content")
+    return files.where(~F.col("path").rlike(r"\.md$")).select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+
+
+@query("load_labels", CACHE_SQL)
+def q_load_labels(spark, d):
+    """SRC4: the label cache written as JSON objects ``{template: label}``
+    (one bounded object per hash bucket) and read back."""
+    import uuid
+
+    from logweave.operators.labels import load_label_json
+    from logweave.session import ensure_checkpoint_dir
+
+    cache = label_cache(spark, d)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/labels/{uuid.uuid4().hex}"
+    buckets = max(1, -(-cache.count() // 5000))  # about 5000 labels per JSON object
+    (cache.withColumn("_b", F.pmod(F.xxhash64("template"), F.lit(buckets)))
+     .groupBy("_b").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("template", "label")))).alias("value"))
+     .repartition(buckets, "_b").select("value").write.text(path))
+    return load_label_json(spark, path)
