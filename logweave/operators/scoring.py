@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logweave.functions import literal_table
+
 from logweave.functions.stem import stem_table
 from logweave.functions.text import words
 from logweave.functions.vocab import (ANOMALOUS, WEIGHT_ANOMALOUS, WEIGHT_OTHER,
@@ -39,7 +41,7 @@ def static_significance(freq: DataFrame) -> DataFrame:
     spark = freq.sparkSession
     tw = template_words(freq)
     stems = stem_table(tw)
-    sig = spark.createDataFrame([(s,) for s in significant_stems()], "stem string")
+    sig = literal_table(spark, significant_stems(), "stem")
     hits = (tw.join(stems, "word").join(F.broadcast(sig), "stem", "left_semi")
             .groupBy("log_id", "template").agg(F.countDistinct("stem").alias("sig")))
     return (freq.join(hits, ["log_id", "template"], "left")

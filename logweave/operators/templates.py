@@ -45,19 +45,31 @@ def positional_templates(lines: DataFrame, clean_col: str = "clean") -> DataFram
     """One template per (log_id, n_tok, first_key).
 
     Output ``(log_id, n_tok, first_key, template, cnt, first_idx)``.
+
+    Single pass over the lines: distinct lines (partial+final aggregate),
+    then each distinct line explodes into its positions *plus one sentinel
+    position -1 that carries its count and first line*, so per-position
+    constancy and per-group statistics come out of the same aggregate and
+    the line pipeline is never evaluated twice.
     """
     keyed = with_key(lines, clean_col)
     uniq = distinct_lines(keyed, clean_col)
-    per_pos = (uniq.select(*KEY, F.posexplode("tokens").alias("pos", "tok"))
-               .groupBy(*KEY, "pos").agg(F.min("tok").alias("mn"), F.max("tok").alias("mx")))
-    tmpl = (per_pos.groupBy(*KEY)
+    items = F.concat(
+        F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("tok"))),
+        F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))))
+    per_pos = (uniq.select(*KEY, "cnt", "first_line", F.inline(items))
+               .withColumn("cnt", F.when(F.col("pos") < 0, F.col("cnt")))
+               .withColumn("first_line", F.when(F.col("pos") < 0, F.col("first_line")))
+               .groupBy(*KEY, "pos")
+               .agg(F.min("tok").alias("mn"), F.max("tok").alias("mx"),
+                    F.sum("cnt").alias("cnt"), F.min("first_line").alias("first_idx")))
+    tok = F.when(F.col("mn") == F.col("mx"), F.col("mn")).otherwise(F.lit(WILDCARD))
+    return (per_pos.groupBy(*KEY)
             .agg(F.array_join(F.transform(
-                F.array_sort(F.collect_list(F.struct(
-                    "pos", F.when(F.col("mn") == F.col("mx"), F.col("mn")).otherwise(F.lit(WILDCARD)).alias("t")))),
-                lambda s: s["t"]), " ").alias("template")))
-    stats = uniq.groupBy(*KEY).agg(F.sum("cnt").alias("cnt"), F.min("first_line").alias("first_idx"))
-    return (stats.join(tmpl, KEY, "left")
-            .select(*KEY, F.coalesce("template", F.lit("")).alias("template"), "cnt", "first_idx"))
+                F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", tok.alias("t"))))),
+                lambda x: x["t"]), " ").alias("template"),
+                F.max("cnt").alias("cnt"), F.max("first_idx").alias("first_idx"))
+            .select(*KEY, "template", F.col("cnt").cast("long").alias("cnt"), "first_idx"))
 
 
 def match_templates(lines: DataFrame, templates: DataFrame, clean_col: str = "clean") -> DataFrame:
@@ -107,10 +119,10 @@ def mine_positional(lines: DataFrame, clean_col: str = "clean") -> DataFrame:
     match pass reduces to an equi-join on the key (no per-line predicate).
     """
     tm = positional_templates(lines, clean_col)
-    n = lines.groupBy("log_id").agg(F.count(F.lit(1)).alias("n_lines"))
     freq = (tm.groupBy("log_id", "template")
             .agg(F.sum("cnt").alias("cnt"), F.min("first_idx").alias("first_idx")))
-    return freq.join(n, "log_id")
+    w = Window.partitionBy("log_id")  # one row per template of a log, not per line
+    return freq.withColumn("n_lines", F.sum("cnt").over(w))
 
 
 # ---------------------------------------------------------------------------

@@ -143,9 +143,11 @@ def q_clean_lines(spark, d):
 @query("positional_templates", S.positional(
     f"SELECT log_id, line_no, {S.clean('raw')} AS clean FROM ({S.DOC_LINES}) x"))
 def q_positional_templates(spark, d):
-    """M1a over the document logs."""
-    lines = logs.with_clean(doc_lines(spark, d))
-    t = templates.positional_templates(lines)
+    """M1a over the document logs. Lines carry ordinal keys (no per-line
+    join); only each template's first line is converted to a dense number."""
+    docs = table(spark, d, "documents")
+    lines = logs.with_clean(logs.document_lines(docs, dense=False))
+    t = logs.densify(templates.positional_templates(lines), "first_idx", logs.document_offsets(docs))
     return t.select("log_id", F.col("n_tok").cast("long"), "first_key", "template",
                     F.col("cnt").cast("long"), F.col("first_idx").cast("long"))
 

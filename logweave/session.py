@@ -27,6 +27,11 @@ def get_session(master: str | None = None, app: str = "logweave",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # text operators are CPU-heavy per shuffled byte (regex cleaning,
+        # token explode): do not let AQE merge a post-shuffle stage into one
+        # task just because its input is a few MB
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")

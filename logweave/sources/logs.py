@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.text import clean_line, is_blank
+from logweave.functions.text import WS, clean_line, is_blank
 from logweave.operators.ordering import dense_number, exclusive_prefix
 
 DOC_BUCKET = 4096  # documents per numbering bucket (bounds each window partition)
@@ -35,24 +35,65 @@ def split_lines(text_col, policy: str = "empty"):
     return F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n", -1), _keep(policy))
 
 
-def lines_from_texts(texts: DataFrame, log_col: str, order_col: str, text_col: str,
-                     policy: str = "empty") -> DataFrame:
-    """Explode many texts into numbered lines.
+def count_lines(text_col, policy: str = "empty"):
+    """Number of kept lines without building the line array (regex count)."""
+    t = F.coalesce(text_col, F.lit(""))
+    if policy == "empty":
+        return F.regexp_count(t, F.lit("[^\n]+"))
+    if policy == "strip":
+        return F.regexp_count(t, F.lit(f"[^\n]*[^\n{WS[1:-1]}][^\n]*"))
+    return F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+
+
+POS_BITS = 24  # ordinal key = seg * 2^24 + position (a segment holds < 16.7M lines)
+
+
+def segment_offsets(texts: DataFrame, log_col: str, order_col: str, text_col: str,
+                    policy: str = "empty") -> DataFrame:
+    """Per segment: number of kept lines and the dense number of its first
+    line within the log, ``(log_id, seg, n_lines, offset)``. Narrow table
+    (one row per segment), computed with the bucketed prefix sum."""
+    sizes = texts.select(F.coalesce(F.col(log_col).cast("string"), F.lit("unknown")).alias("log_id"),
+                         F.col(order_col).cast("long").alias("seg"),
+                         count_lines(F.col(text_col), policy).alias("n_lines"))
+    return exclusive_prefix(sizes, ["log_id"], ["seg"], bucket=F.floor(F.col("seg") / DOC_BUCKET),
+                            weight=F.col("n_lines"), out="offset")
 
-    ``texts`` holds one row per text segment; segments of a log are ordered by
-    the integer ``order_col`` (e.g. a document id). Output:
-    ``(log_id, seg, line_no, raw)``. Line numbers continue across segments.
+
+def lines_from_texts(texts: DataFrame, log_col: str, order_col: str, text_col: str,
+                     policy: str = "empty", dense: bool = True) -> DataFrame:
+    """Explode many texts into lines, ``(log_id, seg, line_no, raw)``.
+
+    Segments of a log (e.g. documents) are ordered by the integer
+    ``order_col``. With ``dense=True`` line numbers are 0-based and continue
+    across segments (this joins the narrow per-segment offsets onto the
+    lines). With ``dense=False`` ``line_no`` is the ordinal key
+    ``seg * 2^24 + position``: same order, no join, no shuffle of text;
+    operators that need a dense number for a few rows (e.g. a template's
+    first line) convert it later with ``densify``.
     """
     segs = texts.select(F.coalesce(F.col(log_col).cast("string"), F.lit("unknown")).alias("log_id"),
                         F.col(order_col).cast("long").alias("seg"),
                         split_lines(F.col(text_col), policy).alias("_lines"))
-    sizes = segs.select("log_id", "seg", F.size("_lines").alias("_n"))
-    offsets = exclusive_prefix(sizes, ["log_id"], ["seg"],
-                               bucket=F.floor(F.col("seg") / DOC_BUCKET),
-                               weight=F.col("_n"), out="_off").drop("_n")
+    if not dense:
+        return (segs.select("log_id", "seg", F.posexplode("_lines").alias("_pos", "raw"))
+                .select("log_id", "seg", (F.shiftleft(F.col("seg"), POS_BITS) + F.col("_pos")).alias("line_no"),
+                        "raw"))
+    offsets = segment_offsets(texts, log_col, order_col, text_col, policy).select("log_id", "seg", "offset")
     return (segs.join(offsets, ["log_id", "seg"])
-            .select("log_id", "seg", F.posexplode("_lines").alias("_pos", "raw"), "_off")
-            .select("log_id", "seg", (F.col("_off") + F.col("_pos")).alias("line_no"), "raw"))
+            .select("log_id", "seg", F.posexplode("_lines").alias("_pos", "raw"), "offset")
+            .select("log_id", "seg", (F.col("offset") + F.col("_pos")).alias("line_no"), "raw"))
+
+
+def densify(df: DataFrame, col: str, offsets: DataFrame) -> DataFrame:
+    """Turn ordinal keys in ``col`` (see ``lines_from_texts``) into dense
+    line numbers by an equi-join with the per-segment offsets; ``df`` is a
+    small per-template table, never the lines."""
+    mask = (1 << POS_BITS) - 1
+    t = df.withColumn("_seg", F.shiftright(F.col(col), POS_BITS)).withColumn("_pos", F.col(col).bitwiseAND(F.lit(mask)))
+    o = offsets.select("log_id", F.col("seg").alias("_seg"), F.col("offset").alias("_off"))
+    return (t.join(o, ["log_id", "_seg"], "left")
+            .withColumn(col, F.col("_off") + F.col("_pos")).drop("_seg", "_pos", "_off"))
 
 
 def scan_text_logs(spark: SparkSession, path: str, policy: str = "empty") -> DataFrame:
@@ -101,9 +142,13 @@ def with_fallback(main: DataFrame, secondary: DataFrame, key: str = "log_id",
 # Driver-table bindings
 # --------------------------------------------------------------------------
 
-def document_lines(documents: DataFrame, policy: str = "empty") -> DataFrame:
+def document_lines(documents: DataFrame, policy: str = "empty", dense: bool = True) -> DataFrame:
     """log_id = source, segments = documents in doc_id order."""
-    return lines_from_texts(documents, "source", "doc_id", "text", policy)
+    return lines_from_texts(documents, "source", "doc_id", "text", policy, dense)
+
+
+def document_offsets(documents: DataFrame, policy: str = "empty") -> DataFrame:
+    return segment_offsets(documents, "source", "doc_id", "text", policy)
 
 
 def _k(props):
