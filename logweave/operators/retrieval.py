@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.functions.text import whitespace_tokens
+from logweave.functions.text import WS, whitespace_tokens
 
 # fixed values: retriever parameters of the reference pipeline
 K1 = 1.5
@@ -30,7 +30,7 @@ MAX_BROADCAST_QUERIES = 20000  # query vectors shipped whole to every task
 def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Return ``(doc_tokens, term_idf)``; idf uses the whole vocabulary."""
     toks = docs.select(F.col(id_col).alias("doc_id"), whitespace_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    n_docs = toks.agg(F.count(F.lit(1))).scalar()
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()  # id-only scan, no tokenising
     dfreq = (toks.select(F.explode(F.array_distinct("tokens")).alias("term"))
              .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     raw = dfreq.withColumn("idf_raw", F.log(n_docs - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5)))
@@ -49,7 +49,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str =
     per-query top-k is a window group limit (partial top-k before shuffle).
     """
     toks, idf = bm25_index(docs, id_col, text_col)
-    avgdl = toks.agg(F.avg(F.size("tokens"))).scalar()
+    # mean document length from a regex count of tokens (no token arrays)
+    avgdl = docs.agg(F.avg(F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"[^{WS[1:-1]}]+")))).scalar()
     qterms = (queries.select(F.col(qid_col).alias("query_id"),
                              F.explode(whitespace_tokens(F.coalesce(F.col(qtext_col), F.lit("")))).alias("term"))
               .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
