@@ -1387,8 +1387,8 @@ def q_stream_nack_streak(spark, d):
 def q_list_sources(spark, d):
     """SRC5: source files of a folder that are not markdown (binaryFile
     listing without reading contents)."""
-    files = spark.read.format("binaryFile").load(d).drop("content")
-    return files.where(~F.col("path").rlike(r"\.md$")).select(
+    from logweave.sources.corpus import list_sources
+    return list_sources(spark, d).select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
 
 

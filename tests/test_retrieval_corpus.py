@@ -90,3 +90,20 @@ def test_entry_smoke(spark):
     assert df.count() > 0
     assert set(df.columns) == {"log_id", "rank", "template", "cnt", "first_idx", "sig", "score"}
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_scan_markdown_and_guards(spark, tmp_path):
+    import pytest
+
+    from logweave.sources.corpus import MissingInputError, require_paths, scan_markdown
+
+    (tmp_path / "a.md").write_text("## 5.1.1 X\ntext\n")
+    (tmp_path / "b.pdf").write_text("binary")
+    lines = scan_markdown(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r.line for r in lines] == ["## 5.1.1 X", "text", ""] and lines[0].source.endswith("a.md")
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    with pytest.raises(MissingInputError):
+        scan_markdown(spark, str(empty))
+    with pytest.raises(MissingInputError):
+        require_paths(str(tmp_path / "chunks"), str(tmp_path))
