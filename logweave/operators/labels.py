@@ -57,7 +57,7 @@ def upsert_labels(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def load_label_json(spark: SparkSession, path: str) -> DataFrame:
     """SRC4: a JSON object ``{template: label}`` per file -> rows."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("template", "label"))
 
 

@@ -20,7 +20,7 @@ def scan_markdown(spark: SparkSession, folder: str) -> DataFrame:
     depends on input splits. Fails when the folder holds no markdown file.
     """
     require_paths(folder)
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    files = (spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
              .select(F.col("_metadata.file_path").alias("source"), F.col("value")))
     if files.isEmpty():
         raise MissingInputError(f"no markdown files found in {folder}")

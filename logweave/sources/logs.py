@@ -100,7 +100,7 @@ def scan_text_logs(spark: SparkSession, path: str, policy: str = "empty") -> Dat
     """SRC1 for real log files: one row per file (``wholetext``), log_id = file
     name without extension. Splitting happens in the row, so a file's line
     order never depends on how Spark splits input."""
-    raw = (spark.read.option("wholetext", True).text(path)
+    raw = (spark.read.text(path, wholetext=True)
            .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("log_id"),
                    F.col("value")))
     lines = raw.select("log_id", F.posexplode(split_lines(F.col("value"), policy)).alias("line_no", "raw"))
