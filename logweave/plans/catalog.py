@@ -1194,7 +1194,7 @@ def q_cache_reuse(spark, d):
     """SNK5/P6: the translated query is computed once per log (cache miss
     path: nothing cached yet) and shared by modes 3, 6, 9 and 12."""
     tq = translated_queries(spark, d).select("log_id", F.col("translated").alias("query"))
-    empty = tq.limit(0)
+    empty = tq.where(F.lit(False))  # first run: nothing cached yet
     shared = md.reuse_or_compute(empty, tq)
     return shared.select("log_id", F.explode(F.array(*[F.lit(m) for m in (3, 6, 9, 12)])).alias("mode"), "query")
 
