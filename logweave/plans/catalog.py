@@ -479,7 +479,7 @@ def q_linear_to_db(spark, d):
     return e.select("event_id", linear_to_db(F.col("value")).alias("value_db"))
 
 
-@query("nack_streak", """
+NACK_SQL = """
 WITH fb AS (SELECT user_id, ts, event_id, event_type FROM events WHERE event_type IN ('error', 'purchase')),
 g AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)
                  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp
@@ -488,7 +488,10 @@ s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
                  OVER (PARTITION BY user_id, grp ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS streak
       FROM g)
 SELECT user_id, event_id, CAST(streak AS BIGINT) AS streak, streak >= 4 AS exhausted FROM s WHERE event_type = 'error'
-""")
+"""
+
+
+@query("nack_streak", NACK_SQL)
 def q_nack_streak(spark, d):
     """Consecutive-NACK counter per UE (error = NACK, purchase = ACK)."""
     e = table(spark, d, "events")
@@ -1238,7 +1241,40 @@ def q_chunk_listing(spark, d):
     return md.chunk_listing(mode_hits(spark, d))
 
 
-@query("build_prompts")
+def _tpl_sql(template: str) -> tuple[str, str]:
+    head, tail = template.split("{log}")
+    parts, rest = [], tail
+    while rest:
+        cand = [(rest.find(k), k) for k in ("{events}", "{context}") if rest.find(k) >= 0]
+        if not cand:
+            parts.append(S.q(rest))
+            break
+        i, k = min(cand)
+        parts.append(S.q(rest[:i]))
+        parts.append("coalesce(events_text, '')" if k == "{events}" else "coalesce(context, '')")
+        rest = rest[i + len(k):]
+    return S.q(head), " || ".join(parts)
+
+
+def _prompts_sql() -> str:
+    cases_h, cases_t = [], []
+    for kind, ctx, tpl in (("baseline", True, md.PROMPT_BASELINE_CONTEXT), ("baseline", False, md.PROMPT_BASELINE),
+                           ("rca", True, md.PROMPT_RCA_CONTEXT), ("rca", False, md.PROMPT_RCA)):
+        h, t = _tpl_sql(tpl)
+        cond = f"prompt = '{kind}' AND retrieval {'<>' if ctx else '='} 'none'"
+        cases_h.append(f"WHEN {cond} THEN {h}")
+        cases_t.append(f"WHEN {cond} THEN {t}")
+    ctx_sql = f"""SELECT split_part(query_id, '#', 1) AS log_id, CAST(split_part(query_id, '#', 2) AS INTEGER) AS mode,
+       string_agg('[Source: ' || source || ' | Section: ' || h2 || ' / ' || h3 || ']' || chr(10) || text,
+                  chr(10) || chr(10) ORDER BY rank) AS context
+FROM ({MODE_HITS_SQL}) h GROUP BY query_id"""
+    return f"""
+SELECT am.log_id, am.mode, CASE {' '.join(cases_h)} END AS prompt_head, CASE {' '.join(cases_t)} END AS prompt_tail
+FROM ({MODES_SQL}) am LEFT JOIN ({ctx_sql}) cx ON cx.log_id = am.log_id AND cx.mode = am.mode
+"""
+
+
+@query("build_prompts", _prompts_sql())
 def q_build_prompts(spark, d):
     """prompt head/tail per (log, mode) around the segmented log text."""
     am = all_modes(spark, d)
@@ -1288,7 +1324,7 @@ def q_log_text_fallback(spark, d):
     return out.select("log_id", "seg", "text")
 
 
-@query("write_artifacts")
+@query("write_artifacts", MODES_SQL)
 def q_write_artifacts(spark, d):
     """SNK4: write every (log, mode) row partitioned by log and mode into the
     shared checkpoint folder and read it back (rows-only check)."""
@@ -1375,7 +1411,7 @@ def q_project_2d(spark, d):
     return cl.project_2d(line_vectors(spark, d), clustered_lines(spark, d))
 
 
-@query("stream_nack_streak")
+@query("stream_nack_streak", NACK_SQL)
 def q_stream_nack_streak(spark, d):
     """NACK streaks computed by a Structured Streaming job with keyed
     state (availableNow over the events files); equals ``nack_streak``."""
