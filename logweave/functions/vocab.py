@@ -29,7 +29,7 @@ WEIGHT_OTHER = 0.01
 # out the classifier's instructions (allocation failures, out-of-memory,
 # unexpected drops, radio link failures, sync loss, invalid parameters,
 # timeouts, forced aborts); otherwise NORMAL (the instructions' default).
-ANOMALY_RULE = r"fail|out of memory|unexpected|drop|rlf|radio link|loss|lost|invalid|timeout|timed out|abort|nack"
+ANOMALY_RULE = r"fail|out of memory|unexpected|drop|rlf|radio link|loss|lost|invalid|timeout|timed out|abort"
 
 
 def significant_stems() -> list[str]:

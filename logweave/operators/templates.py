@@ -118,11 +118,22 @@ def mine_positional(lines: DataFrame, clean_col: str = "clean") -> DataFrame:
     With M1a each line's template is the template of its own key, so the
     match pass reduces to an equi-join on the key (no per-line predicate).
     """
+    return with_line_counts(template_counts(lines, clean_col))
+
+
+def template_counts(lines: DataFrame, clean_col: str = "clean") -> DataFrame:
+    """M1a -> M4/M5 without N: ``(log_id, template, cnt, first_idx)``."""
     tm = positional_templates(lines, clean_col)
-    freq = (tm.groupBy("log_id", "template")
+    return (tm.groupBy("log_id", "template")
             .agg(F.sum("cnt").alias("cnt"), F.min("first_idx").alias("first_idx")))
-    w = Window.partitionBy("log_id")  # one row per template of a log, not per line
-    return freq.withColumn("n_lines", F.sum("cnt").over(w))
+
+
+def with_line_counts(freq: DataFrame) -> DataFrame:
+    """Add N (lines per log) = sum of template counts: a partial+final
+    aggregate to one row per log, joined back - no window over a log.
+    Best applied to a materialized frequency table (it is read twice)."""
+    n = freq.groupBy("log_id").agg(F.sum("cnt").alias("n_lines"))
+    return freq.join(n, "log_id")
 
 
 # ---------------------------------------------------------------------------

@@ -83,9 +83,14 @@ def event_lines(spark, d):
     return logs.with_clean(logs.event_log_lines(table(spark, d, "events")))
 
 
+@shared(materialize=True)
+def event_counts(spark, d):
+    return templates.template_counts(event_lines(spark, d))
+
+
 @shared(materialize=True)
 def event_freq(spark, d):
-    return templates.mine_positional(event_lines(spark, d))
+    return templates.with_line_counts(event_counts(spark, d))
 
 
 @shared
