@@ -1449,3 +1449,30 @@ def q_load_labels(spark, d):
      .groupBy("_b").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("template", "label")))).alias("value"))
      .repartition(buckets, "_b").select("value").write.text(path))
     return load_label_json(spark, path)
+
+
+@query("embed_chunks")
+def q_embed_chunks(spark, d):
+    """R4 + SNK2/SNK3: chunk the documents, embed every chunk (hashed TF-IDF,
+    L2-normalised, cosine space), persist chunks and vectors as parquet in
+    the shared folder and return the vector table read back."""
+    import uuid
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    from logweave.session import ensure_checkpoint_dir
+
+    chunks = q_chunk_corpus(spark, d).withColumn(
+        "chunk_id", F.xxhash64("doc_id", "chunk_seq", "piece"))
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index/{uuid.uuid4().hex}"
+    chunks.write.parquet(f"{base}/chunks")
+    stored = spark.read.parquet(f"{base}/chunks").withColumn("tokens", whitespace_tokens(F.col("text")))
+    pipe = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="tf", numFeatures=1 << 12),
+                            IDF(inputCol="tf", outputCol="tfidf"),
+                            Normalizer(inputCol="tfidf", outputCol="unit")])
+    vec = pipe.fit(stored).transform(stored).select(
+        "chunk_id", vector_to_array("unit", "float32").alias("embedding"))
+    vec.write.parquet(f"{base}/vectors")
+    return spark.read.parquet(f"{base}/vectors")
