@@ -80,7 +80,9 @@ def words(c) -> Column:
 
 def whitespace_tokens(c) -> Column:
     """Python ``s.split()`` (no empty tokens)."""
-    return F.filter(F.split(py_strip(c), rf"{WS}+"), lambda t: t != F.lit(""))
+    # leading/trailing separators only produce empty tokens, which the filter
+    # drops, so no separate strip pass over the text is needed
+    return F.filter(F.split(_c(c), rf"{WS}+"), lambda t: t != F.lit(""))
 
 
 def linear_to_db(c, digits: int = 2) -> Column:

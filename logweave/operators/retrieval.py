@@ -31,7 +31,7 @@ def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Return ``(doc_tokens, term_idf)``; idf uses the whole vocabulary."""
     toks = docs.select(F.col(id_col).alias("doc_id"), whitespace_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
     n_docs = docs.agg(F.count(F.lit(1))).scalar()  # id-only scan, no tokenising
-    dfreq = (toks.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    dfreq = (toks.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where(F.col("term").isNotNull())
              .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     raw = dfreq.withColumn("idf_raw", F.log(n_docs - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5)))
     mean_idf = raw.agg(F.avg("idf_raw")).scalar()
@@ -55,7 +55,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str =
                              F.explode(whitespace_tokens(F.coalesce(F.col(qtext_col), F.lit("")))).alias("term"))
               .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     vocab = qterms.select("term").distinct()
-    postings = (toks.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    postings = (toks.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+                .where(F.col("term").isNotNull())
                 .join(vocab, "term", "left_semi")
                 .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     tf = F.col("tf")

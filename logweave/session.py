@@ -17,6 +17,9 @@ def get_session(master: str | None = None, app: str = "logweave",
     settings below, which are safe at any scale (AQE on, skew join on).
     """
     builder = SparkSession.builder.appName(app)
+    if os.environ.get("LOGWEAVE_EVENT_LOG"):
+        builder = (builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.compress", "false")
+                   .config("spark.eventLog.dir", os.environ["LOGWEAVE_EVENT_LOG"]))
     if master:
         builder = builder.master(master)
         if master.startswith("local"):

@@ -76,12 +76,16 @@ def lines_from_texts(texts: DataFrame, log_col: str, order_col: str, text_col: s
                         F.col(order_col).cast("long").alias("seg"),
                         split_lines(F.col(text_col), policy).alias("_lines"))
     if not dense:
-        return (segs.select("log_id", "seg", F.posexplode("_lines").alias("_pos", "raw"))
+        # *_outer generators: Spark infers no "size(array) > 0" filter for them,
+        # which it would push into the scan and so split every text twice
+        return (segs.select("log_id", "seg", F.posexplode_outer("_lines").alias("_pos", "raw"))
+                .where(F.col("raw").isNotNull())
                 .select("log_id", "seg", (F.shiftleft(F.col("seg"), POS_BITS) + F.col("_pos")).alias("line_no"),
                         "raw"))
     offsets = segment_offsets(texts, log_col, order_col, text_col, policy).select("log_id", "seg", "offset")
     return (segs.join(offsets, ["log_id", "seg"])
-            .select("log_id", "seg", F.posexplode("_lines").alias("_pos", "raw"), "offset")
+            .select("log_id", "seg", F.posexplode_outer("_lines").alias("_pos", "raw"), "offset")
+            .where(F.col("raw").isNotNull())
             .select("log_id", "seg", (F.col("offset") + F.col("_pos")).alias("line_no"), "raw"))
 
 
