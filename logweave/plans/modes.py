@@ -103,7 +103,11 @@ def chunk_listing(hits: DataFrame, key: str = "query_id") -> DataFrame:
 def validate_external_events(events: DataFrame, lines: DataFrame, text_col: str = "line") -> DataFrame:
     """P5: flag every externally supplied event line that does not occur
     verbatim in its log (semi join on (log_id, text))."""
-    present = lines.select("log_id", F.col("clean").alias(text_col)).distinct().withColumn("_hit", F.lit(True))
+    wanted = events.select("log_id", text_col).distinct()
+    # filter the (large) line table by the (small) event table before any
+    # de-duplication, so only matching lines are shuffled
+    present = (lines.select("log_id", F.col("clean").alias(text_col)).join(wanted, ["log_id", text_col], "left_semi")
+               .distinct().withColumn("_hit", F.lit(True)))
     return (events.join(present, ["log_id", text_col], "left")
             .withColumn("exists", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit"))
 
