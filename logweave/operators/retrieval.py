@@ -28,33 +28,40 @@ MAX_BROADCAST_QUERIES = 20000  # query vectors shipped whole to every task
 
 
 def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Return ``(doc_tokens, term_idf)``; idf uses the whole vocabulary."""
-    toks = docs.select(F.col(id_col).alias("doc_id"), whitespace_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()  # id-only scan, no tokenising
-    dfreq = (toks.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where(F.col("term").isNotNull())
-             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    """Corpus statistics that do not depend on the queries:
+    ``term_idf(term, idf)`` over the whole vocabulary (negative idf floored
+    to 0.25 x mean idf) and a one-row ``stats(n_docs, avgdl)``. Build once
+    per corpus (and persist) - every query batch reuses them."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"),
+                     F.avg(F.regexp_count(text, F.lit(f"[^{WS[1:-1]}]+"))).alias("avgdl"))
+    n_docs = stats.select("n_docs").scalar()
+    dfreq = (docs.select(F.explode_outer(F.array_distinct(whitespace_tokens(text))).alias("term"))
+             .where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     raw = dfreq.withColumn("idf_raw", F.log(n_docs - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5)))
     mean_idf = raw.agg(F.avg("idf_raw")).scalar()
     idf = raw.select("term", F.when(F.col("idf_raw") < 0, F.lit(EPSILON) * mean_idf)
                      .otherwise(F.col("idf_raw")).alias("idf"))
-    return toks, idf
+    return idf, stats
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "doc_id",
-              text_col: str = "text", qid_col: str = "query_id", qtext_col: str = "query") -> DataFrame:
+              text_col: str = "text", qid_col: str = "query_id", qtext_col: str = "query",
+              index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``(query_id, rank, doc_id, score)`` for every query at once.
 
     Postings are built only for terms that occur in some query (semi-join),
-    document lengths come from a narrow per-document projection, and the
-    per-query top-k is a window group limit (partial top-k before shuffle).
+    in one tokenisation pass; ``index`` (from ``bm25_index``) supplies idf
+    and corpus statistics, built here when not given. The per-query top-k is
+    a window group limit (partial top-k before the shuffle).
     """
-    toks, idf = bm25_index(docs, id_col, text_col)
-    # mean document length from a regex count of tokens (no token arrays)
-    avgdl = docs.agg(F.avg(F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"[^{WS[1:-1]}]+")))).scalar()
+    idf, stats = index if index is not None else bm25_index(docs, id_col, text_col)
+    avgdl = stats.select("avgdl").scalar()
     qterms = (queries.select(F.col(qid_col).alias("query_id"),
                              F.explode(whitespace_tokens(F.coalesce(F.col(qtext_col), F.lit("")))).alias("term"))
               .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     vocab = qterms.select("term").distinct()
+    toks = docs.select(F.col(id_col).alias("doc_id"), whitespace_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
     postings = (toks.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
                 .where(F.col("term").isNotNull())
                 .join(vocab, "term", "left_semi")

@@ -8,6 +8,7 @@ column carries the same alias on both sides.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,7 @@ def shared(fn=None, *, materialize: bool = False):
         key = (fn.__name__, id(spark), d)
         if key not in _MEMO:
             df = fn(spark, d)
-            if materialize:
+            if materialize and not os.environ.get("LOGWEAVE_NO_MATERIALIZE"):
                 from logweave.session import cut_lineage
                 df = cut_lineage(df)
             _MEMO[key] = df
@@ -825,7 +826,18 @@ SELECT * FROM cs WHERE rank <= 5
 @shared(materialize=True)
 def bm25_hits(spark, d):
     return rt.bm25_topk(table(spark, d, "documents"), table(spark, d, "benchmark"),
-                        qid_col="item_id", qtext_col="text")
+                        qid_col="item_id", qtext_col="text", index=doc_index(spark, d))
+
+
+@shared
+def doc_index(spark, d):
+    """BM25 corpus statistics of the documents, persisted once and shared by
+    every query batch (benchmark items, per-mode retrieval queries)."""
+    idf, stats = rt.bm25_index(table(spark, d, "documents"))
+    if os.environ.get("LOGWEAVE_NO_MATERIALIZE"):
+        return idf, stats
+    from logweave.session import cut_lineage
+    return cut_lineage(idf), cut_lineage(stats)
 
 
 @shared(materialize=True)
@@ -1213,7 +1225,7 @@ def mode_hits(spark, d):
     am = all_modes(spark, d).where(F.col("rag_query").isNotNull())
     qs = am.select(F.concat(F.col("log_id"), F.lit("#"), F.col("mode").cast("string")).alias("query_id"),
                    F.col("rag_query").alias("query"))
-    hits = rt.bm25_topk(table(spark, d, "documents"), qs)
+    hits = rt.bm25_topk(table(spark, d, "documents"), qs, index=doc_index(spark, d))
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source"),
                                                F.lit("").alias("h2"), F.lit("").alias("h3"), "text")
     return hits.join(docs, "doc_id")
