@@ -84,14 +84,14 @@ def event_lines(spark, d):
     return logs.with_clean(logs.event_log_lines(table(spark, d, "events")))
 
 
-@shared(materialize=True)
-def event_counts(spark, d):
-    return templates.template_counts(event_lines(spark, d))
-
-
 @shared(materialize=True)
 def event_freq(spark, d):
-    return templates.with_line_counts(event_counts(spark, d))
+    """Template frequencies of the event log. N per log is the event count of
+    the device (one rendered line per event) - a narrow aggregate of the
+    events table, so the line pipeline is evaluated once."""
+    n = (table(spark, d, "events").groupBy(F.concat(F.lit("ue-"), F.col("user_id").cast("string")).alias("log_id"))
+         .agg(F.count(F.lit(1)).alias("n_lines")))
+    return templates.template_counts(event_lines(spark, d)).join(n, "log_id")
 
 
 @shared
