@@ -37,7 +37,7 @@ def moving_average(df: DataFrame, key: str, n_col: str, value: str, width: int,
         t = neighbour(t, [key], n_col, -lag, [value], f"_m{lag}")
         parts.append(F.col(f"{value}_m{lag}"))
     parts.append(F.col(value))
-    total = parts[0].cast("double") if False else F.coalesce(parts[0], F.lit(0.0))
+    total = F.coalesce(parts[0], F.lit(0.0))
     for p in parts[1:]:
         total = total + F.coalesce(p, F.lit(0.0))
     cnt = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in parts), F.lit(0))

@@ -144,24 +144,10 @@ SIM_THRESHOLD = 0.4  # fixed value: similarity threshold of the reference miner
 
 
 def _cluster_sequence(token_lists) -> list[list[str]]:
-    """Sequential similarity clustering of token lists (in the given order).
-    A list joins the most similar cluster when (equal non-wildcard tokens /
-    length) >= threshold (ties: more wildcards, then older cluster), which
-    then wildcards every differing position; otherwise it founds a cluster."""
+    """Sequential similarity clustering of token lists (in the given order)."""
     clusters: list[list[str]] = []
     for toks in token_lists:
-        toks = list(toks)
-        best, best_sim, best_params = -1, -1.0, -1
-        for cid, tmpl in enumerate(clusters):
-            eq = sum(1 for a, b in zip(tmpl, toks) if a != WILDCARD and a == b)
-            params = sum(1 for a in tmpl if a == WILDCARD)
-            sim = eq / len(toks) if toks else 1.0
-            if sim > best_sim or (sim == best_sim and params > best_params):
-                best, best_sim, best_params = cid, sim, params
-        if best >= 0 and best_sim >= SIM_THRESHOLD:
-            clusters[best] = [a if a == b else WILDCARD for a, b in zip(clusters[best], toks)]
-        else:
-            clusters.append(toks)
+        clusters = _cluster_sequence_step(clusters, list(toks))
     return clusters
 
 
@@ -185,6 +171,10 @@ def _drain_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cluster_sequence_step(clusters: list[list[str]], toks: list[str]) -> list[list[str]]:
+    """Add one token list: it joins the most similar cluster when (equal
+    non-wildcard tokens / length) >= threshold (ties: more wildcards, then
+    older cluster), which then wildcards every differing position; otherwise
+    it founds a new cluster."""
     best, best_sim, best_params = -1, -1.0, -1
     for cid, tmpl in enumerate(clusters):
         eq = sum(1 for a, b in zip(tmpl, toks) if a != WILDCARD and a == b)
