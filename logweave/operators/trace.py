@@ -36,7 +36,14 @@ def parse_trace(lines: DataFrame, col: str = "line") -> DataFrame:
         F.regexp_extract(line, HEAD, 2).cast("double").alias("t"),
         F.trim(F.regexp_extract(body, r"^([^|]*)", 1)).alias("event"),
         _field(rest, r"\|\s*RNTI (\d+)").alias("rnti"),
-        _field(rest, r"\|\s*PID (\d+)").cast("int").alias("harq_pid"),
+        F.coalesce(_field(rest, r"\|\s*PID (\d+)"), _field(rest, r"\|\s*HARQ (\d+)")).cast("int").alias("harq_pid"),
+        _field(rest, r"\|\s*Frame (\d+)").cast("int").alias("frame"),
+        _field(rest, r"\bSub (\d+)").cast("int").alias("subframe"),
+        _field(rest, r"\bSlot (\d+)").cast("int").alias("slot"),
+        _field(rest, r"\|\s*TBS (\d+)").cast("int").alias("tbs"),
+        _field(rest, r"\|\s*SINR (-?[0-9]+(?:\.[0-9]+)?)").cast("double").alias("sinr_db"),
+        _field(rest, r"\|\s*RSRP (-?[0-9]+(?:\.[0-9]+)?)").cast("double").alias("rsrp_dbm"),
+        _field(rest, r"\|\s*RSRQ (-?[0-9]+(?:\.[0-9]+)?)").cast("double").alias("rsrq_db"),
         _field(rest, r"\|\s*(ACK|NACK)\s*(?:\||$)").alias("harq_fb"),
         _field(rest, r"\|\s*Retx (\d+)").cast("int").alias("retx"),
         _field(rest, r"\|\s*WB-CQI (\d+)").cast("int").alias("cqi"),

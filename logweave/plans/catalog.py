@@ -420,7 +420,14 @@ def _f(pattern):
 PARSED_SQL = f"""
 SELECT event_id, user_id, line, layer, t, event,
   {_f(r'\|\s*RNTI (\d+)')} AS rnti,
-  CAST({_f(r'\|\s*PID (\d+)')} AS INTEGER) AS harq_pid,
+  CAST(coalesce({_f(r'\|\s*PID (\d+)')}, {_f(r'\|\s*HARQ (\d+)')}) AS INTEGER) AS harq_pid,
+  CAST({_f(r'\|\s*Frame (\d+)')} AS INTEGER) AS frame,
+  CAST({_f(r'\bSub (\d+)')} AS INTEGER) AS subframe,
+  CAST({_f(r'\bSlot (\d+)')} AS INTEGER) AS slot,
+  CAST({_f(r'\|\s*TBS (\d+)')} AS INTEGER) AS tbs,
+  CAST({_f(r'\|\s*SINR (-?[0-9]+(?:\.[0-9]+)?)')} AS DOUBLE) AS sinr_db,
+  CAST({_f(r'\|\s*RSRP (-?[0-9]+(?:\.[0-9]+)?)')} AS DOUBLE) AS rsrp_dbm,
+  CAST({_f(r'\|\s*RSRQ (-?[0-9]+(?:\.[0-9]+)?)')} AS DOUBLE) AS rsrq_db,
   {_f(r'\|\s*(ACK|NACK)\s*(?:\||$)')} AS harq_fb,
   CAST({_f(r'\|\s*Retx (\d+)')} AS INTEGER) AS retx,
   CAST({_f(r'\|\s*WB-CQI (\d+)')} AS INTEGER) AS cqi,
@@ -445,8 +452,9 @@ def parsed_trace(spark, d):
     return trace.parse_trace(render_trace(spark, d))
 
 
-PARSED_COLS = ["event_id", "user_id", "line", "layer", "t", "event", "rnti", "harq_pid", "harq_fb", "retx",
-               "cqi", "mcs", "ri", "lcid", "size_bytes", "imsi", "cell"]
+PARSED_COLS = ["event_id", "user_id", "line", "layer", "t", "event", "rnti", "harq_pid", "frame", "subframe", "slot",
+               "tbs", "sinr_db", "rsrp_dbm", "rsrq_db", "harq_fb", "retx", "cqi", "mcs", "ri", "lcid", "size_bytes",
+               "imsi", "cell"]
 
 
 @query("parse_trace", f"SELECT * EXCLUDE (t), round(t, 6) AS t FROM ({PARSED_SQL}) p")
