@@ -63,17 +63,74 @@ def trace_summary(records: DataFrame) -> DataFrame:
                  F.avg("mcs").alias("avg_mcs")))
 
 
-UE_STATS = (r"^UE (\d+): dlsch_rounds (\d+)/(\d+)/(\d+)/(\d+), dlsch_errors (\d+), "
-            r"pucch0_DTX (\d+), BLER ([0-9.]+) MCS \((\d+)\) (\d+)$")
+# Periodic per-UE statistics block (record family 2), one pattern per line
+# kind, applied to cleaned lines (whitespace already collapsed).
+UE_PATTERNS = {
+    "sync": r"^UE RNTI (\w+) CU-UE-ID (\d+) (in-sync|out-of-sync) PH (-?\d+) dB PCMAX (-?\d+) dBm, "
+            r"average RSRP (-?\d+) \((\d+) meas\)",
+    "ulri": r"^UE (\w+): UL-RI (\d+), TPMI (\d+)",
+    "dl": r"^UE (\w+): dlsch_rounds (\d+)/(\d+)/(\d+)/(\d+), dlsch_errors (\d+), pucch0_DTX (\d+), "
+          r"BLER ([0-9.]+) MCS \((\d+)\) (\d+)",
+    "ul": r"^UE (\w+): ulsch_rounds (\d+)/(\d+)/(\d+)/(\d+), ulsch_errors (\d+), ulsch_DTX (\d+), "
+          r"BLER ([0-9.]+) MCS \((\d+)\) (\d+)",
+    "mac": r"^UE (\w+): MAC: TX (\d+) RX (\d+) bytes",
+    "lcid": r"^UE (\w+): LCID (\d+): TX (\d+) RX (\d+) bytes",
+}
+
+
+def _g(c, kind: str, i: int, typ: str | None = None):
+    v = F.regexp_extract(c, UE_PATTERNS[kind], i)
+    v = F.when(c.rlike(UE_PATTERNS[kind]), v)
+    return v.cast(typ) if typ else v
 
 
 def parse_ue_stats(lines: DataFrame, col: str = "line") -> DataFrame:
-    """periodic per-UE downlink statistics line -> typed columns."""
+    """every line of a periodic statistics block -> one typed row.
+
+    ``kind`` is sync / ulri / dl / ul / mac / lcid; fields that a kind does
+    not carry are null. RNTI is kept as lower-case text without ``0x``.
+    """
     c = F.col(col)
-    g = [F.regexp_extract(c, UE_STATS, i) for i in range(1, 11)]
-    ok = c.rlike(UE_STATS)
-    return lines.where(ok).select(
-        "*", g[0].alias("rnti"),
-        F.array(*[x.cast("long") for x in g[1:5]]).alias("rounds"),
-        g[5].cast("long").alias("errors"), g[6].cast("long").alias("dtx"),
-        g[7].cast("double").alias("bler"), g[8].cast("int").alias("mcs_table"), g[9].cast("int").alias("mcs"))
+    kind = F.lit(None).cast("string")
+    for k in reversed(list(UE_PATTERNS)):
+        kind = F.when(c.rlike(UE_PATTERNS[k]), F.lit(k)).otherwise(kind)
+    rnti = F.coalesce(*[_g(c, k, 1) for k in UE_PATTERNS])
+    sched = {k: [_g(c, k, i) for i in range(2, 11)] for k in ("dl", "ul")}
+
+    def pick(i, typ):
+        return F.coalesce(sched["dl"][i], sched["ul"][i]).cast(typ)
+
+    rounds = F.when(F.col("kind").isin("dl", "ul"), F.array(*[pick(i, "long") for i in range(4)]))
+    return (lines.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
+        "*", F.regexp_replace(F.lower(rnti), "^0x", "").alias("rnti"),
+        _g(c, "sync", 2, "int").alias("cu_ue_id"), (_g(c, "sync", 3) == "in-sync").alias("sync"),
+        _g(c, "sync", 4, "int").alias("ph_db"), _g(c, "sync", 5, "int").alias("pcmax_dbm"),
+        _g(c, "sync", 6, "int").alias("rsrp_dbm"), _g(c, "sync", 7, "int").alias("rsrp_meas"),
+        _g(c, "ulri", 2, "int").alias("ul_ri"), _g(c, "ulri", 3, "int").alias("tpmi"),
+        rounds.alias("rounds"), pick(4, "long").alias("errors"), pick(5, "long").alias("dtx"),
+        pick(6, "double").alias("bler"), pick(7, "int").alias("mcs_table"), pick(8, "int").alias("mcs"),
+        _g(c, "lcid", 2, "int").alias("lcid"),
+        F.coalesce(_g(c, "mac", 2, "long"), _g(c, "lcid", 3, "long")).alias("tx_bytes"),
+        F.coalesce(_g(c, "mac", 3, "long"), _g(c, "lcid", 4, "long")).alias("rx_bytes")))
+
+
+def ue_stat_records(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """Assemble one ``ue_stats`` record per (``keys``..., rnti) from parsed
+    lines: sync fields, uplink rank, ``dl``/``ul`` structs, MAC bytes and a
+    map LCID -> bytes. Groups are one UE in one block (a handful of lines)."""
+    def first(kind, col):
+        return F.max(F.when(F.col("kind") == kind, F.col(col)))
+
+    def sched(kind):
+        return F.struct(*[first(kind, c).alias(c) for c in ("rounds", "errors", "dtx", "bler", "mcs_table", "mcs")])
+
+    return parsed.groupBy(*keys, "rnti").agg(
+        first("sync", "cu_ue_id").alias("cu_ue_id"), first("sync", "sync").alias("sync"),
+        first("sync", "ph_db").alias("ph_db"), first("sync", "pcmax_dbm").alias("pcmax_dbm"),
+        first("sync", "rsrp_dbm").alias("rsrp_dbm"), first("sync", "rsrp_meas").alias("rsrp_meas"),
+        first("ulri", "ul_ri").alias("ul_ri"), first("ulri", "tpmi").alias("tpmi"),
+        sched("dl").alias("dl"), sched("ul").alias("ul"),
+        F.struct(first("mac", "tx_bytes").alias("tx"), first("mac", "rx_bytes").alias("rx")).alias("mac"),
+        F.map_from_entries(F.filter(F.collect_list(F.when(F.col("kind") == "lcid", F.struct(
+            "lcid", F.struct(F.col("tx_bytes").alias("tx"), F.col("rx_bytes").alias("rx"))))), lambda x: x.isNotNull()))
+        .alias("lcid_bytes"))

@@ -615,7 +615,7 @@ FROM s
 """)
 def q_parse_ue_stats(spark, d):
     """render per-UE statistics lines from the events and parse them back."""
-    p = trace.parse_ue_stats(ue_stat_lines(spark, d))
+    p = trace.parse_ue_stats(ue_stat_lines(spark, d)).where(F.col("kind") == "dl")
     return p.select("user_id", F.col("block_no").cast("long"), "rnti", "rounds", "errors", "dtx",
                     r6("bler").alias("bler"), "mcs_table", "mcs")
 
