@@ -64,8 +64,10 @@ def load_label_json(spark: SparkSession, path: str) -> DataFrame:
 def labels_from_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Driver binding: a labelled document's text stands for a template;
     ``toxic = 1`` -> ANOMALOUS."""
+    lab = F.when(F.col("toxic") == 1, F.lit(ANOMALOUS)).otherwise(F.lit(NORMAL))
+    # a text that occurs in several labelled documents takes the label of the
+    # lowest doc_id (deterministic, like the first key of a JSON object)
     return (labels.join(documents.select("doc_id", "text"), "doc_id")
-            .select(F.col("text").alias("template"),
-                    F.when(F.col("toxic") == 1, F.lit(ANOMALOUS)).otherwise(F.lit(NORMAL)).alias("label"))
-            .where(F.col("template").isNotNull())
-            .dropDuplicates(["template"]))
+            .where(F.col("text").isNotNull())
+            .groupBy(F.col("text").alias("template"))
+            .agg(F.min_by(lab, F.col("doc_id")).alias("label")))
