@@ -52,14 +52,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     The setting is read from the session; only when it is unset (local tests)
     a private scratch folder is created and registered.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
+    try:
+        sc = spark.sparkContext
+        path = path or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - remote (Connect) session: only the SQL conf is visible
+        sc = None
     if not path:
         path = tempfile.mkdtemp(prefix="logweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
 
 
