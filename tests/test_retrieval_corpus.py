@@ -107,3 +107,27 @@ def test_scan_markdown_and_guards(spark, tmp_path):
         scan_markdown(spark, str(empty))
     with pytest.raises(MissingInputError):
         require_paths(str(tmp_path / "chunks"), str(tmp_path))
+
+
+def test_analyze_log_files_end_to_end(spark, tmp_path):
+    from logweave.plans.runbook import analyze_log_files
+
+    logs_dir = tmp_path / "logs"
+    logs_dir.mkdir()
+    body = []
+    for i in range(30):
+        body.append(f"\x1b[0m[NR_MAC]   UE {i % 3} CQI  {i % 4} MCS (1) {i % 5}")
+        if i % 10 == 9:
+            body.append(f"{i}.1s [MAC] NR HARQ NACK #{i} for RNTI=1 ProcessID={i % 16} dropped")
+    (logs_dir / "du.txt").write_text("\n".join(body) + "\n")
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "spec.md").write_text("## 5.4.1 HARQ operation\nNACK handling and retransmission dropped\n\n"
+                                  "## Foreword\nboilerplate\n## 5.2 CQI\nCQI reporting\n")
+    out = analyze_log_files(spark, str(logs_dir), str(docs))
+    top = out["static_scores"].orderBy("rank").first()
+    assert "NACK" in top.template
+    assert out["modes"].count() == 13
+    assert out["chunks"].where("h2 = 'Foreword'").count() == 0
+    prompts = {r.mode: r for r in out["prompts"].collect()}
+    assert len(prompts) == 13 and "FIVE ANOMALOUS EVENTS DETECTED" in prompts[5].prompt_tail
