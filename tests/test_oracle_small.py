@@ -33,3 +33,26 @@ def test_query_matches_oracle(spark, duck, name):
     got = E.queries()[name](spark, SF).toPandas()
     want = duck.sql(E.oracle_sql()[name]).df()
     assert rows(got) == rows(want)
+
+
+def test_rows_only_queries_against_brute_force(spark):
+    """Rows-only queries checked against plain Python on the small fixture."""
+    import html
+
+    import pandas as pd
+
+    import __spark_entry__ as E
+    from logweave.functions.stem import porter_stem
+
+    q = E.queries()
+    pages = pd.read_parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.html for r in q["html_unescape_full"](spark, SF).collect()}
+    assert got == {p: html.unescape(h) for p, h in zip(pages.page_id, pages.html)}
+    stems = q["stem_vocab"](spark, SF).collect()
+    assert stems and all(r.stem == porter_stem(r.word) for r in stems)
+    chunks = q["chunk_corpus"](spark, SF).collect()
+    assert chunks and all(len(r.text) <= 5000 for r in chunks)
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    words_in = {w for t in docs.text.fillna("") for w in t.split()}
+    words_out = {w for r in chunks for w in r.text.split()}
+    assert words_out <= words_in and len(words_out) >= 0.99 * len(words_in)
