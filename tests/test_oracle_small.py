@@ -56,3 +56,26 @@ def test_rows_only_queries_against_brute_force(spark):
     words_in = {w for t in docs.text.fillna("") for w in t.split()}
     words_out = {w for r in chunks for w in r.text.split()}
     assert words_out <= words_in and len(words_out) >= 0.99 * len(words_in)
+
+
+def test_drain_templates_equal_sequential_python(spark):
+    """M1b on the small event log equals a sequential single-process run
+    (every key group fits one chunk, so the result must be exact)."""
+    import __spark_entry__ as E
+    from logweave.operators.templates import _cluster_sequence
+    from logweave.plans import catalog
+
+    lines = catalog.event_lines(spark, SF).select("log_id", "line_no", "clean").toPandas()
+    want = set()
+    groups: dict = {}
+    for r in lines.sort_values(["log_id", "line_no"]).itertuples():
+        toks = r.clean.split(" ") if r.clean else []
+        first = toks[0] if toks else ""
+        key = (r.log_id, len(toks), "<*>" if any(ch.isdigit() for ch in first) else first)
+        g = groups.setdefault(key, {})
+        g.setdefault(r.clean, toks)
+    for key, g in groups.items():
+        for tmpl in _cluster_sequence(list(g.values())):
+            want.add((key[0], " ".join(tmpl)))
+    got = {(r.log_id, r.template) for r in E.queries()["drain_templates"](spark, SF).collect()}
+    assert got == want
