@@ -79,3 +79,20 @@ def test_drain_templates_equal_sequential_python(spark):
             want.add((key[0], " ".join(tmpl)))
     got = {(r.log_id, r.template) for r in E.queries()["drain_templates"](spark, SF).collect()}
     assert got == want
+
+
+def test_rows_only_vectors_and_listing(spark):
+    import math
+
+    import __spark_entry__ as E
+
+    q = E.queries()
+    names = sorted(r.name for r in q["list_sources"](spark, SF).collect())
+    assert names == sorted(f for f in os.listdir(SF) if not f.endswith(".md"))
+    for name in ("tfidf_vectors", "embed_chunks"):
+        for r in q[name](spark, SF).collect():
+            norm = math.sqrt(sum(x * x for x in r.embedding))
+            assert norm == 0.0 or abs(norm - 1.0) < 1e-4
+    cl = q["cluster_lines"](spark, SF)
+    assert cl.count() == q["clean_lines"](spark, SF).count()
+    assert cl.select("cluster").distinct().count() <= 15
