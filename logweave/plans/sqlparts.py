@@ -106,7 +106,7 @@ def values(rows, cols) -> str:
 
 
 def stop_values() -> str:
-    return values([(w,) for w in stop_words("english")], ["word"])
+    return values([(w,) for w in stop_words()], ["word"])
 
 
 def sig_values() -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,8 +51,9 @@ def get_session(master: str | None = None, app: str = "logweave",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    The setting is read from the session; only when it is unset (local tests)
-    a private scratch folder is created and registered.
+    The setting is read from the session; only in local mode, where the
+    driver is the only executor, an unset one gets a private scratch folder.
+    On a cluster an unset folder is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -60,6 +63,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - remote (Connect) session: only the SQL conf is visible
         sc = None
     if not path:
+        master = sc.master if sc is not None else ""
+        if not (master == "local" or master.startswith("local[")):
+            # a folder of this machine is of no use to executors elsewhere
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="logweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None:
@@ -67,13 +74,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their Python
+    workers then import it from wherever the driver was started."""
+    remote = not hasattr(spark, "_jsparkSession")
+    app = "connect" if remote else spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="logweave-code-"), "logweave.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    if remote:
+        spark.addArtifacts(archive, pyfile=True)
+    else:
+        spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize ``df`` as a parquet table in the shared checkpoint folder
     and continue from it. One computation (an RDD checkpoint would compute
     twice without a cache); the table is on shared storage, so a lost
     executor re-reads it instead of recomputing the lineage."""
-    import uuid
-
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
