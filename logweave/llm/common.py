@@ -40,8 +40,11 @@ def text_of(column: str = "text") -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words of a text, as an array."""
-    return F.array_remove(F.split(text, r"[ \t\n\x0B\f\r]+"), "")
+    """The words of a text, as an array. (Splitting at one character is much
+    cheaper than at a class of them.)"""
+    for c in SPACES[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.common import text_of
-from logweave.llm.vec import mix, pieces
+from logweave.llm.vec import pieces
 
 Q = 8
 EDIT_RATE = 0.1
@@ -40,8 +40,9 @@ EDIT_RATE = 0.1
 BLOCK_BYTES = 4 << 20
 #: Characters of documents that are scanned at a time.
 STEP = 1 << 20
-#: Shared q-grams that are counted at a time.
+#: Shared q-grams that are counted, and alignments that are made at a time.
 PAIRS = 4 << 20
+CASES = 512
 HITS = "doc_id bigint, item_id bigint, start bigint, stop bigint, edits int"
 _BASE = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
 
@@ -59,15 +60,16 @@ def gram_hashes(code: np.ndarray, q: int) -> np.ndarray:
     n = len(code) - q + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    h, have, power = mix(code.astype(np.uint64)), 1, _BASE[:1]
+    char = code.astype(np.uint64)
+    h, have, power = char, 1, _BASE[:1]
     while have * 2 <= q:  # runs of 2, 4, 8, ... characters
         h = h[:-have] * power + h[have:]
         power, have = power * power, have * 2
     out, at = h[:n].copy(), have
     while at < q:  # the rest character by character
-        out = out * _BASE + mix(code[at:at + n].astype(np.uint64))
+        out = out * _BASE + char[at:at + n]
         at += 1
-    return mix(out)
+    return out * _BASE
 
 
 def budget(m: int, q: int = Q, rate: float = EDIT_RATE) -> int:
@@ -75,30 +77,61 @@ def budget(m: int, q: int = Q, rate: float = EDIT_RATE) -> int:
     return 0 if m < 2 * q else min(int(rate * m), (m - q) // q)
 
 
-def distance(item: np.ndarray, part: np.ndarray, k: int, low: int, high: int) -> tuple[int, int, int]:
-    """The least edits between the item and any stretch of ``part``, with the
-    stretch, over alignments on the diagonals ``low .. high`` (place in the
-    part minus place in the item); more than ``k`` means none was found."""
-    far = np.int64(1 << 40)
-    width = high - low + 1
-    step = np.arange(width, dtype=np.int64)
-    # costs carry their start in the low bits: the least cost, then the first start
-    one = np.int64(1 << 24)
-    column = low + step
-    row = np.where((column >= 0) & (column <= len(part)), column, far)
-    for i in range(1, len(item) + 1):
-        column = low + step + i  # characters of the part used on each diagonal
-        inside = (column >= 1) & (column <= len(part))
-        char = part[np.clip(column - 1, 0, max(0, len(part) - 1))] if len(part) else np.zeros(width, np.uint32)
-        new = np.where(inside, row + one * ((char != item[i - 1]) | ~inside), far)
-        new[:-1] = np.minimum(new[:-1], row[1:] + one)  # a character of the item without one in the part
-        new = np.minimum.accumulate(new - step * one) + step * one  # a character of the part without one in the item
-        row = np.where((column >= 0) & (column <= len(part)), new, far)
-        if int(row.min()) >> 24 > k:
-            return k + 1, 0, 0
-    best = int(row.argmin())
-    value = int(row[best])
-    return value >> 24, value & 0xFFFFFF, low + best + len(item)
+def alignments(code: np.ndarray, items: list[np.ndarray], low: np.ndarray, width: np.ndarray, begin: np.ndarray,
+               end: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(edits, start, stop)`` for many cases at once: the least edits between
+    all of an item and a stretch of ``code[begin:end]``, over alignments on the
+    ``width`` diagonals from ``low`` on (place in the code minus place in the
+    item). Edits above ``k`` mean that there is none.
+
+    One step for each character of an item, for all cases and diagonals; cases
+    leave when they are through or have no cost within ``k``."""
+    n_cases = len(items)
+    far, one = np.int64(1 << 40), np.int64(1 << 24)  # a cost has its first diagonal in the low bits
+    length = np.array([len(x) for x in items], dtype=np.int64)
+    letters = np.zeros((n_cases, int(length.max(initial=0))), dtype=np.uint32)
+    for c, x in enumerate(items):
+        letters[c, :len(x)] = x
+    edits, start, stop = k + 1, np.zeros(n_cases, dtype=np.int64), np.zeros(n_cases, dtype=np.int64)
+    step = np.arange(int(width.max(initial=0)), dtype=np.int64)
+    case = np.arange(n_cases)
+    at = low[:, None] + step
+    used = (at >= begin[:, None]) & (at <= end[:, None]) & (step < width[:, None])
+    row = np.where(used, step, far)
+    i = 0
+    while len(case):
+        i += 1
+        at = at + 1
+        char = code[np.clip(at - 1, 0, len(code) - 1)]
+        new = row + one * (char != letters[case, i - 1][:, None])
+        new[at <= begin[case][:, None]] = far
+        np.minimum(new[:, :-1], row[:, 1:] + one, out=new[:, :-1])  # the item's character has no partner
+        new = np.minimum.accumulate(new - step * one, axis=1) + step * one  # characters of the code have none
+        outside = (at < begin[case][:, None]) | (at > end[case][:, None]) | (step >= width[case][:, None])
+        new[outside] = far
+        row = new
+        least = row.min(axis=1)
+        dead = (least >> 24) > k[case]
+        through = length[case] == i
+        good = np.flatnonzero(through & ~dead)
+        if len(good):
+            best = row[good].argmin(axis=1)
+            edits[case[good]] = least[good] >> 24
+            start[case[good]] = low[case[good]] + (least[good] & 0xFFFFFF)
+            stop[case[good]] = low[case[good]] + best + i
+        stay = ~(dead | through)
+        if not stay.all():
+            case, row, at = case[stay], row[stay], at[stay]
+    return edits, start, stop
+
+
+def _find(part: np.ndarray, item: bytes) -> int:
+    """The first place of the item in ``part``, -1 if it isn't there."""
+    raw, at = part.tobytes(), -1
+    while (at := raw.find(item, at + 1)) >= 0:
+        if at % 4 == 0:
+            return at // 4
+    return -1
 
 
 class Items:
@@ -110,6 +143,7 @@ class Items:
         self.ids = [i for i, _ in texts]
         self.texts = [t for _, t in texts]
         self.codes = [codes(t) for t in self.texts]
+        self.raw = [c.tobytes() for c in self.codes]
         self.k = np.array([budget(len(c), q, rate) for c in self.codes], dtype=np.int64)
         by_q: dict[int, list[int]] = {}
         for n, c in enumerate(self.codes):
@@ -131,8 +165,9 @@ class Items:
         seen[keys >> np.uint64(42)] = True
         return seen, keys, np.append(first, len(h)), item[order], place[order]
 
-    def bands(self, code: np.ndarray) -> Iterator[tuple[int, int]]:
-        """``(item, band)`` wherever enough q-grams are shared."""
+    def bands(self, code: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """``(item, first, last)`` wherever a band, or each of some bands next
+        to each other, shares enough q-grams."""
         for size, seen, keys, first, item, place in self.tables:
             h = gram_hashes(code, size)
             at = np.flatnonzero(seen[h >> np.uint64(42)])
@@ -147,35 +182,46 @@ class Items:
                 own, each = n[a:b], int(n[a:b].sum())
                 entry = np.repeat(first[slot[a:b]] - np.cumsum(own) + own, own) + np.arange(each)
                 who = item[entry]
-                band = (np.repeat(at[a:b], own) - place[entry] + self.most) // (self.k[who] + 1)
-                keyed = np.concatenate((who * span + band, who * span + np.maximum(band - 1, 0)))
-                part, times = np.unique(keyed, return_counts=True)
+                half = (np.repeat(at[a:b], own) - place[entry] + self.most) // (self.k[who] + 1)
+                part, times = np.unique(who * span + half, return_counts=True)
                 found, back = np.unique(np.concatenate((found, part)), return_inverse=True)
                 count = np.bincount(back, np.concatenate((count, times)), len(found)).astype(np.int64)
-            good = count >= self.bound[found // span]
-            yield from ((int(x // span), int(x % span)) for x in found[good])
+            # a band is two halves, the second of one the first of the next
+            after = np.searchsorted(found, found + 1)
+            both = count + np.where(np.append(found, -1)[after] == found + 1, np.append(count, 0)[after], 0)
+            found = found[both >= self.bound[found // span]]
+            for own in np.split(found, np.flatnonzero(np.diff(found) > 1) + 1) if len(found) else ():
+                yield int(own[0] // span), int(own[0] % span), int(own[-1] % span)
 
     def hits(self, code: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """``(text, item, start, stop, edits)``: the best alignment of each
         item in each text that it occurs in. ``offsets``: where the texts
         begin in ``code``, which has a 0 after each."""
+        cases: list[tuple[int, int, int, int, int, int]] = []
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for who, band in self.bands(code):
-            k, item = int(self.k[who]), self.codes[who]
+        for who, band, last in self.bands(code):
+            k, m = int(self.k[who]), len(self.codes[who])
             low = band * (k + 1) - self.most
-            high = low + 2 * (k + 1) - 1
+            high = (last + 2) * (k + 1) - self.most - 1
             # a band may touch a few neighbouring texts
             a = int(np.searchsorted(offsets, max(0, low), side="right")) - 1
-            b = int(np.searchsorted(offsets, high + len(item), side="right")) - 1
+            b = int(np.searchsorted(offsets, high + m, side="right")) - 1
             for text in range(max(0, a), min(b, len(offsets) - 2) + 1):
                 begin, end = int(offsets[text]), int(offsets[text + 1]) - 1
-                cut, stop = max(begin, low), min(end, high + len(item))
-                if stop - cut < len(item) - k:
+                cut, stop = max(begin, low), min(end, high + m)
+                if stop - cut < m - k:
                     continue
-                d, s, e = distance(item, code[cut:stop], k, low - cut, high - cut)
-                one = (d, cut + s - begin, cut + e - begin)
-                if d <= k and one < best.get((text, who), (k + 1,)):
-                    best[text, who] = one
+                if (same := _find(code[cut:stop], self.raw[who])) >= 0:
+                    best[text, who] = min((0, cut + same - begin, cut + same - begin + m), best.get((text, who), (k + 1,)))
+                else:
+                    cases.append((text, who, low, high - low + 1, begin, end))
+        for a in range(0, len(cases), CASES):
+            text, who, low, width, begin, end = np.array(cases[a:a + CASES], dtype=np.int64).T
+            k = self.k[who]
+            found = alignments(code, [self.codes[w] for w in who], low, width, begin, end, k)
+            for t, w, x, d, s, e, most in zip(*(v.tolist() for v in (text, who, begin, *found, k))):
+                if d <= most and (d, s - x) < best.get((t, w), (most + 1,)):
+                    best[t, w] = (d, s - x, e - x)
         for (text, who), (d, s, e) in sorted(best.items()):
             yield text, who, s, e, d
 

@@ -7,18 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import decontam, host_rules, jaccard, mixing, sharding, sql
+from logweave.llm import decontam, host_rules, htmltext, jaccard, mixing, records, sharding, sql
 from logweave.llm.common import read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
 
 
-def query(fn: Callable[[SparkSession, str], DataFrame], oracle: str | None = None):
+def query(fn: Callable[[SparkSession, str], DataFrame]):
     LLM_QUERIES[fn.__name__] = fn
     return fn
 
 
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text."""
+    out = htmltext.extracted(read(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return out.select("page.page_id", "page.url", "text", "n_chars")
+
+
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
@@ -43,6 +50,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's record as read back from the files."""
+    import public_tokenizers
+
+    index = records.write_and_index(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate class and its links."""
