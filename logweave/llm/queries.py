@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import decontam, host_rules, htmltext, jaccard, mixing, records, sharding, sql
+from logweave.llm import decontam, host_rules, htmltext, jaccard, langid, lm, mixing, quotes, records, sharding, sql
 from logweave.llm.common import read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_ORACLE["op2_mixing"] = sql.MIXING
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score under the model of the training part."""
+    out = lm.scored(read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its place in the shuffled shards."""
@@ -50,6 +57,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, with its place in its thread."""
+    out = quotes.threaded(read(spark, sf_dir, "conversations"))
+    return out.select("message.conv_id", "message.turn", "message.role", F.col("own_text").alias("text"), "n_quoted_lines",
+                      "parent_turn", "root_turn", "depth")
+
+
 @query
 def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's record as read back from the files."""
@@ -73,3 +88,10 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_ORACLE["op9_host_rules"] = sql.HOST_RULES
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its language."""
+    out = langid.identified(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"), carry=["page_id", "url"])
+    return out.select("page.page_id", "page.url", "lang", F.round("probability", 6).alias("probability"), "text_lang", "declared", "host")

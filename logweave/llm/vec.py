@@ -134,3 +134,14 @@ def pieces(bounds: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + step, side="right")) - 1)
         yield a, b
         a = b
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and the place of each value among them (as
+    ``np.unique``, but only the distinct ones are sorted)."""
+    coded = pa.array(values).dictionary_encode()
+    found = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(found)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[coded.indices.to_numpy(zero_copy_only=False)]
