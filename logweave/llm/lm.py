@@ -16,8 +16,8 @@ model:
 
 1. Documents are dealt into blocks by a hash of their id. A block counts its
    bigrams and sends each shard, once for each distinct bigram, the hashes and
-   the counts in training documents (a very frequent word costs a block no
-   more than a rare one).
+   the counts in training documents (a very frequent bigram costs a block
+   no more than a rare one).
 2. A shard sums the counts of all blocks, builds its part of the trie, writes
    it, and looks up each block's bigrams in it by successor search. It returns
    the codes, and the exact counts of the context words.
@@ -50,14 +50,15 @@ from logweave.llm.trie import Trie, restored
 from logweave.llm.vec import distinct, flat, mix, word_bounds, word_hashes
 
 DISCOUNT = 0.75
-#: Bytes of text in a block, and texts for which a shard counts.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text in a block; bytes of all text for each shard.
+BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 START, END = np.uint64(1), np.uint64(2)  # no word's hash in practice
 HELD_OUT = 1
 
 
 def squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def packed(arrays: list[np.ndarray]) -> bytes:
@@ -72,6 +73,18 @@ def unpacked(data: bytes, n: int) -> list[np.ndarray]:
     return [np.load(source) for _ in range(n)]
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The upper six bytes of hashes: enough to tell the successors of one
+    context apart."""
+    return np.ascontiguousarray((hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def long(parts: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(parts), 8), dtype=np.uint8)
+    out[:, :6] = parts
+    return out.view("<u8").ravel()
+
+
 class Block:
     """The tokens of some documents, as ranks of their distinct words, and
     the distinct bigrams among them, sorted by shard and context."""
@@ -90,19 +103,21 @@ class Block:
         # contexts of one shard stand together
         self.shard = (mix(vocabulary) % np.uint64(n_shards)).astype(np.int64)
         order = np.argsort(self.shard, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        del hashes, inner
         self.token = rank[at[:total]]
         self.vocabulary, self.shard = vocabulary[order], self.shard[order]
         before = np.empty_like(self.token)
         before[1:] = self.token[:-1]
         before[self.bounds[:-1]] = rank[at[total]]
         size = len(vocabulary)
-        keys, self.bigram = distinct(before * size + self.token)
-        self.context, self.word = keys // size, keys % size
-        weight = np.repeat(training.astype(np.int64), n)
-        self.bigram_count = np.bincount(self.bigram, weight, len(keys)).astype(np.int64)
-        self.word_count = np.bincount(self.token, weight, size).astype(np.int64)
+        keys, self.bigram = distinct(before.astype(np.int64) * size + self.token)
+        del before
+        self.context, self.word = (keys // size).astype(np.int32), (keys % size).astype(np.int32)
+        train = np.repeat(training, n)
+        self.bigram_count = np.bincount(self.bigram[train], minlength=len(keys)).astype(np.uint32)
+        self.word_count = np.bincount(self.token[train], minlength=size).astype(np.uint32)
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
         """``(shard, payload)``: for each context its hash, count as a word and
@@ -114,7 +129,7 @@ class Block:
         for i, s in enumerate(shards):
             c, b = slice(first[i], first[i + 1]), slice(cut[i], cut[i + 1])
             yield int(s), packed([self.vocabulary[c], self.word_count[c], degree[c].astype(np.uint32),
-                                  self.vocabulary[self.word[b]], self.bigram_count[b].astype(np.uint32)])
+                                  short(self.vocabulary[self.word[b]]), self.bigram_count[b]])
 
     def answers(self, payloads: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(counts of the words, weights of the contexts, values of the
@@ -124,40 +139,43 @@ class Block:
         return counts, restored(weights), restored(values)
 
 
-def counted(messages: list[tuple[int, list[np.ndarray]]], discount: float) -> tuple[Trie, int, int, Iterator[tuple[int, bytes]]]:
-    """A shard: ``(trie, N, V, answers by block)``."""
+def counted(messages: list[tuple[int, list[np.ndarray]]], discount: float) -> tuple[bytes, int, int, Iterator[tuple[int, bytes]]]:
+    """A shard: ``(trie in bytes, N, V, answers by block)``."""
     hashes = np.concatenate([m[0] for _, m in messages])
     contexts, at = distinct(hashes)
     counts = np.bincount(at, np.concatenate([m[1] for _, m in messages]), len(contexts)).astype(np.int64)
-    of = np.repeat(at, np.concatenate([m[2] for _, m in messages]))
-    words, w = distinct(np.concatenate([m[3] for _, m in messages]))
+    of = np.repeat(at.astype(np.int64), np.concatenate([m[2] for _, m in messages]))
+    words, w = distinct(long(np.concatenate([m[3] for _, m in messages])))
     keys, slot = distinct(of * max(1, len(words)) + w)
+    del of, w
     times = np.bincount(slot, np.concatenate([m[4] for _, m in messages]), len(keys))
+    del slot
     keys, times = keys[times > 0], times[times > 0]  # those of training documents
     c = keys // max(1, len(words))
     total, kinds = np.bincount(c, times, len(contexts)), np.bincount(c, minlength=len(contexts))
     weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
     trie = Trie.of(contexts[c], words[keys % max(1, len(words))], (times - discount) / total[c], contexts, weight)
     is_word = contexts != START
+    data = trie.to_bytes()
 
     def answers() -> Iterator[tuple[int, bytes]]:
-        query = Trie.at(np.frombuffer(trie.to_bytes(), dtype=np.uint8))
+        query = Trie.at(np.frombuffer(data, dtype=np.uint8))
         for block, (v, _, degree, word, _) in messages:
             context = np.repeat(v, degree)
-            values, _ = query.find(context, word)
+            values, _ = query.find(context, long(word))
             _, weights = query.find(v, np.full(len(v), END))
             yield block, packed([counts[np.searchsorted(contexts, v)], weights, values])
 
-    return trie, int(counts[is_word].sum()), int((counts[is_word] > 0).sum()), answers()
+    return data, int(counts[is_word].sum()), int((counts[is_word] > 0).sum()), answers()
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, discount: float = DISCOUNT,
-           block_bytes: int = BLOCK_BYTES) -> DataFrame:
+           block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``(doc, held_out, n_tokens, n_known, train_tokens, base_score, score)``;
     ``doc`` holds the columns ``carry`` (all, if None)."""
     number = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(5))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    n_blocks = n_shards = max(1, -(-total // block_bytes))
+    n_blocks, n_shards = max(1, -(-total // block_bytes)), max(1, -(-total // shard_bytes))
     place = F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key))
     rows = docs.select(row_of(docs if carry is None else docs.select(*carry)), (number == HELD_OUT).alias("held_out"),
                        text_of(text).alias("text"), F.pmod(place, F.lit(n_blocks)).cast("int").alias("block"))
@@ -198,7 +216,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list
         messages = [(b, unpacked(p, 5)) for b, p in order]
         trie, n, v, answers = counted(messages, discount)
         shard = table["shard"][0].as_py()
-        found = [(None, trie.to_bytes()), *answers]
+        found = [(None, trie), *answers]
         return pa.table({"shard": pa.array([shard] * len(found), pa.int32()), "block": pa.array([b for b, _ in found], pa.int32()),
                          "n": pa.array([n] + [0] * (len(found) - 1), pa.int64()), "v": pa.array([v] + [0] * (len(found) - 1), pa.int64()),
                          "payload": pa.array([p for _, p in found], pa.binary())})

@@ -142,6 +142,6 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     coded = pa.array(values).dictionary_encode()
     found = coded.dictionary.to_numpy(zero_copy_only=False)
     order = np.argsort(found)
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     return found[order], rank[coded.indices.to_numpy(zero_copy_only=False)]
