@@ -201,7 +201,7 @@ class Items:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for who, band, last in self.bands(code):
             k, m = int(self.k[who]), len(self.codes[who])
-            low = band * (k + 1) - self.most
+            low = (band - 1) * (k + 1) - self.most  # the half before may share no q-gram and still be on the way
             high = (last + 2) * (k + 1) - self.most - 1
             # a band may touch a few neighbouring texts
             a = int(np.searchsorted(offsets, max(0, low), side="right")) - 1
