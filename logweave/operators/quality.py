@@ -52,20 +52,20 @@ def quality_bucket(rsrp: Column) -> Column:
 
 def event_impact(numbered: DataFrame, key: str, n_col: str, is_event: Column, value: str,
                  k: int = 3) -> DataFrame:
-    """Q4: mean ``value`` in the k rows before vs after each key event.
-    Each event fans out to 2k neighbour addresses (bounded), joined on
-    (key, n)."""
+    """Q4: mean ``value`` in the k rows before vs after each key event; an
+    event without neighbours stays, with null means and counts of 0. Each event
+    fans out to 2k neighbour addresses (bounded), joined on (key, n)."""
     ev = numbered.where(is_event).select(key, "event_id", n_col)
     offs = F.array(*[F.lit(d) for d in list(range(-k, 0)) + list(range(1, k + 1))])
     probe = ev.select(key, "event_id", F.explode(offs).alias("_d"), (F.col(n_col)).alias("_n0"))
     probe = probe.withColumn(n_col, F.col("_n0") + F.col("_d"))
-    vals = numbered.select(key, n_col, F.col(value).alias("_v"))
-    j = probe.join(vals, [key, n_col])
+    vals = numbered.select(key, n_col, F.col(value).alias("_v"), F.lit(True).alias("_met"))
+    j = probe.join(vals, [key, n_col], "left")
     return (j.groupBy(key, "event_id")
             .agg(F.avg(F.when(F.col("_d") < 0, F.col("_v"))).alias("before_avg"),
                  F.avg(F.when(F.col("_d") > 0, F.col("_v"))).alias("after_avg"),
-                 F.count_if(F.col("_d") < 0).alias("n_before"),
-                 F.count_if(F.col("_d") > 0).alias("n_after")))
+                 F.count_if(F.col("_met") & (F.col("_d") < 0)).alias("n_before"),
+                 F.count_if(F.col("_met") & (F.col("_d") > 0)).alias("n_after")))
 
 
 def event_chain(events: DataFrame, key: str, order_cols: list[str], bucket: Column, ts: str = "ts") -> DataFrame:

@@ -33,26 +33,26 @@ def parse_trace(lines: DataFrame, col: str = "line") -> DataFrame:
     return lines.select(
         "*",
         F.regexp_extract(line, HEAD, 1).alias("layer"),
-        F.regexp_extract(line, HEAD, 2).cast("double").alias("t"),
+        F.regexp_extract(line, HEAD, 2).try_cast("double").alias("t"),
         F.trim(F.regexp_extract(body, r"^([^|]*)", 1)).alias("event"),
         _field(rest, r"\|\s*RNTI (\d+)").alias("rnti"),
-        F.coalesce(_field(rest, r"\|\s*PID (\d+)"), _field(rest, r"\|\s*HARQ (\d+)")).cast("int").alias("harq_pid"),
-        _field(rest, r"\|\s*Frame (\d+)").cast("int").alias("frame"),
-        _field(rest, r"\bSub (\d+)").cast("int").alias("subframe"),
-        _field(rest, r"\bSlot (\d+)").cast("int").alias("slot"),
-        _field(rest, r"\|\s*TBS (\d+)").cast("int").alias("tbs"),
-        _field(rest, r"\|\s*SINR (-?[0-9]+(?:\.[0-9]+)?)").cast("double").alias("sinr_db"),
-        _field(rest, r"\|\s*RSRP (-?[0-9]+(?:\.[0-9]+)?)").cast("double").alias("rsrp_dbm"),
-        _field(rest, r"\|\s*RSRQ (-?[0-9]+(?:\.[0-9]+)?)").cast("double").alias("rsrq_db"),
+        F.coalesce(_field(rest, r"\|\s*PID (\d+)"), _field(rest, r"\|\s*HARQ (\d+)")).try_cast("int").alias("harq_pid"),
+        _field(rest, r"\|\s*Frame (\d+)").try_cast("int").alias("frame"),
+        _field(rest, r"\bSub (\d+)").try_cast("int").alias("subframe"),
+        _field(rest, r"\bSlot (\d+)").try_cast("int").alias("slot"),
+        _field(rest, r"\|\s*TBS (\d+)").try_cast("int").alias("tbs"),
+        _field(rest, r"\|\s*SINR (-?[0-9]+(?:\.[0-9]+)?)").try_cast("double").alias("sinr_db"),
+        _field(rest, r"\|\s*RSRP (-?[0-9]+(?:\.[0-9]+)?)").try_cast("double").alias("rsrp_dbm"),
+        _field(rest, r"\|\s*RSRQ (-?[0-9]+(?:\.[0-9]+)?)").try_cast("double").alias("rsrq_db"),
         _field(rest, r"\|\s*(ACK|NACK)\s*(?:\||$)").alias("harq_fb"),
-        _field(rest, r"\|\s*Retx (\d+)").cast("int").alias("retx"),
-        _field(rest, r"\|\s*WB-CQI (\d+)").cast("int").alias("cqi"),
-        _field(rest, r"\|\s*MCS (\d+)").cast("int").alias("mcs"),
-        _field(rest, r"\|\s*RI (\d+)").cast("int").alias("ri"),
-        _field(rest, r"\|\s*LCID (\d+)").cast("int").alias("lcid"),
-        _field(rest, r"\|\s*(\d+) B\s*(?:\||$)").cast("int").alias("size_bytes"),
-        _field(rest, r"\|\s*IMSI (\d+)").cast("long").alias("imsi"),
-        _field(rest, r"\|\s*Cell (\d+)").cast("int").alias("cell"),
+        _field(rest, r"\|\s*Retx (\d+)").try_cast("int").alias("retx"),
+        _field(rest, r"\|\s*WB-CQI (\d+)").try_cast("int").alias("cqi"),
+        _field(rest, r"\|\s*MCS (\d+)").try_cast("int").alias("mcs"),
+        _field(rest, r"\|\s*RI (\d+)").try_cast("int").alias("ri"),
+        _field(rest, r"\|\s*LCID (\d+)").try_cast("int").alias("lcid"),
+        _field(rest, r"\|\s*(\d+) B\s*(?:\||$)").try_cast("int").alias("size_bytes"),
+        _field(rest, r"\|\s*IMSI (\d+)").try_cast("long").alias("imsi"),
+        _field(rest, r"\|\s*Cell (\d+)").try_cast("int").alias("cell"),
     )
 
 

@@ -53,7 +53,7 @@ def shared(fn=None, *, materialize: bool = False):
         return lambda f: shared(f, materialize=materialize)
 
     def wrapper(spark, d):
-        key = (fn.__name__, id(spark), d)
+        key = (fn.__name__, spark, d)
         if key not in _MEMO:
             df = fn(spark, d)
             if materialize and not os.environ.get("LOGWEAVE_NO_MATERIALIZE"):
@@ -677,7 +677,7 @@ SELECT e.user_id, e.event_id,
   round(avg(CASE WHEN o.rn > e.rn THEN o.value END), 6) AS after_avg,
   CAST(count(*) FILTER (WHERE o.rn < e.rn) AS BIGINT) AS n_before,
   CAST(count(*) FILTER (WHERE o.rn > e.rn) AS BIGINT) AS n_after
-FROM n e JOIN n o ON o.user_id = e.user_id AND o.rn BETWEEN e.rn - 3 AND e.rn + 3 AND o.rn <> e.rn
+FROM n e LEFT JOIN n o ON o.user_id = e.user_id AND o.rn BETWEEN e.rn - 3 AND e.rn + 3 AND o.rn <> e.rn
 WHERE e.event_type = 'error'
 GROUP BY e.user_id, e.event_id
 """)
@@ -704,16 +704,18 @@ def q_event_chain(spark, d):
 
 
 @query("asof_metrics", f"""
-WITH s AS ({UE_STATS_SQL}),
+WITH a AS ({UE_STATS_SQL}),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY block_no DESC) AS tie FROM a) x WHERE tie = 1),
 err AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'error')
 SELECT err.user_id, err.event_id, CAST(s.block_no AS BIGINT) AS block_no, s.rsrp, s.cqi
 FROM err ASOF LEFT JOIN s ON err.user_id = s.user_id AND err.ts >= s.ts
 """)
 def q_asof_metrics(spark, d):
     """Q6: statistics block in force at each error (latest report at or
-    before it) - an as-of lookup done as running count + equi-join."""
-    e = _events(spark, d)
-    cum = running_sums(e, ["user_id"], ["ts", "event_id"], hour(),
+    before it; of reports with one time stamp the last) - an as-of lookup done
+    as running count + equi-join. At equal time stamps reports count first."""
+    e = _events(spark, d).withColumn("_late", (F.col("event_type") != "view").cast("int"))
+    cum = running_sums(e, ["user_id"], ["ts", "_late", "event_id"], hour(),
                        {"views": (F.col("event_type") == "view").cast("int")})
     err = cum.where(F.col("event_type") == "error").select("user_id", "event_id", (F.col("views") - 1).alias("block_no"))
     st = ue_stats(spark, d).select("user_id", "block_no", "rsrp", "cqi")
@@ -739,7 +741,7 @@ def cluster_assignment(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("line_no"), F.col("label").alias("cluster"))
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("line_no"),
-        clean_line(F.element_at(logs.split_lines(F.col("text")), 1)).alias("line"))
+        clean_line(F.get(logs.split_lines(F.col("text")), F.lit(0))).alias("line"))
     return e.join(docs, "line_no", "left").withColumn("line", F.coalesce("line", F.lit("")))
 
 

@@ -109,8 +109,4 @@ def stop_values() -> str:
     return values([(w,) for w in stop_words()], ["word"])
 
 
-def sig_values() -> str:
-    return values([(s,) for s in significant_stems()], ["stem"])
-
-
 ANOMALY_RE = ANOMALY_RULE

@@ -32,12 +32,15 @@ def test_cosine_threshold(spark):
     assert got == [(1, 1.0), (3, 0.7071)]
 
 
-def test_recursive_split_bounds_and_overlap():
+def test_pieces_are_bounded_and_cover_the_text():
     text = "\n\n".join(("para %d " % i) + " ".join(f"word{j}" for j in range(300)) for i in range(6))
-    pieces = chunking.recursive_split(text, 1000, 100)
+    pieces = chunking.bounded_pieces(text, 1000, 100)
     assert all(len(p) <= 1000 for p in pieces) and len(pieces) > 6
     joined = " ".join(pieces)
     assert all(f"word{j}" in joined for j in range(300))
+    assert [w for p in chunking.bounded_pieces(text, 1000, 0) for w in p.split()] == text.split()
+    assert "".join(chunking.bounded_pieces("x" * 2500, 1000, 100)) == "x" * 2500 and chunking.bounded_pieces(" \n", 10, 2) == []
+    assert chunking.bounded_pieces("a b c", 1, 0) == ["a", "b", "c"]
     # neighbours share words (overlap)
     assert any(set(pieces[i].split()[-5:]) & set(pieces[i + 1].split()[:20]) for i in range(len(pieces) - 1))
 
