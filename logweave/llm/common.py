@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from logweave.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
-__all__ = ["bounded_broadcast", "cut_lineage", "let", "read", "row_of", "scratch", "ship_package", "text_of", "words"]
+__all__ = ["BATCH_ROWS", "bounded_broadcast", "cut_lineage", "let", "read", "row_of", "scratch", "ship_package", "small_batches", "text_of", "words"]
 
 #: White space as the query contracts define it: a word is ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
 #: Largest side that is broadcast explicitly; beyond it the same join shuffles.
 BROADCAST_BYTES = 64 << 20
+#: Largest Arrow batch between the JVM and a Python worker, in rows and bytes (a longer row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's limits of an Arrow batch to ``BATCH_ROWS`` and
+    ``BATCH_BYTES``: the JVM and the Python worker of every running task hold
+    some batches each, outside the heap. The limits are read when a query
+    runs, so they stay; they change no result."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the cluster shares."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import text_of
+from logweave.llm.common import small_batches, text_of
 from logweave.llm.vec import pieces
 
 Q = 8
@@ -250,6 +250,7 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     """``(doc_id, item_id, start, stop, edits)``: each item that a document
     holds, with its best place in the document's plain text."""
     spark = docs.sparkSession
+    small_batches(docs)
     out = None
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
     for block in blocks(items, item_key, item_text, block_bytes):
@@ -274,6 +275,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
           rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that hold no item, in one narrow pass for each block."""
     spark, schema = docs.sparkSession, docs.schema
+    small_batches(docs)
     at = docs.columns.index(text)
     for block in blocks(items, item_key, item_text, block_bytes):
         sent = spark.sparkContext.broadcast(block)

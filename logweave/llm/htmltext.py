@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.common import row_of
+from logweave.llm.common import row_of, small_batches
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -218,6 +218,7 @@ def main_text(page: str | None) -> str:
 def extracted(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:
     """``(page, text, n_chars)``; ``page`` holds the columns ``carry`` (all,
     if None)."""
+    small_batches(pages)
     rows = pages.select(row_of(pages if carry is None else pages.select(*carry), "page"), F.col(html).alias("html"))
     schema = T.StructType([rows.schema["page"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 

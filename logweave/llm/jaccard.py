@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.common import bounded_broadcast, cut_lineage, row_of
+from logweave.llm.common import BATCH_ROWS, bounded_broadcast, cut_lineage, row_of, small_batches
 from logweave.llm.vec import flat, flat_bytes, mix, pieces, windows, word_bounds, word_hashes
 
 SHINGLE = 5
@@ -106,6 +106,7 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list
     ``docs`` with a number of its own, the number of its shingles, the key of
     its word sequence (null if it has no word) and its signature; ``doc`` has
     the columns ``carry``, or all but the text. One narrow pass over the texts."""
+    small_batches(docs)
     bands = n_bands(threshold, recall)
     rows = docs.select(row_of(docs.drop(text).withColumn(key, F.col(key)) if carry is None else docs.select(*carry)), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     schema = T.StructType([*rows.schema.fields, T.StructField("n", T.IntegerType()), T.StructField("seq", T.BinaryType()),
@@ -204,13 +205,13 @@ def needed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = np.zeros(run.n, dtype=bool)
         for left, right in run.pairs():
             use[left] = use[right] = True
-        yield from run.table.filter(pa.array(use)).to_batches()
+        yield from run.table.filter(pa.array(use)).to_batches(max_chunksize=BATCH_ROWS)
 
 
 def verified_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """For each text of a task with verified links their number, and the first
     text of its linked group within the task."""
-    for run in runs(batches, 64 << 20):
+    for run in runs(batches, 8 << 20):  # the codes of its shingles take some ten times as much
         column = run.table["shingles"].combine_chunks()
         raw, at = flat_bytes(column)
         start, values = at // 8, raw.view(np.uint64)

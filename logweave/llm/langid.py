@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.common import cut_lineage, row_of
+from logweave.llm.common import cut_lineage, row_of, small_batches
 from logweave.llm.htmltext import blocks, main_text
 from logweave.llm.vec import mix
 
@@ -65,6 +65,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fitted(docs: DataFrame, lang: str = "lang", text: str = "text", batch: int = 500) -> tuple[list[str], np.ndarray]:
     """``(languages, log probabilities by language and bucket)`` from all
     documents with a language; counts are summed in tasks, then by Spark."""
+    small_batches(docs)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut_lineage, scratch, text_of
+from logweave.llm.common import cut_lineage, scratch, small_batches, text_of
 
 END_ID = 2
 #: Bytes of text that go to a file.
@@ -178,6 +178,7 @@ def encoder_of(vocabulary: str, end_id: int) -> WordEncoder:
 def write_records(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text: str = "text",
                   end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
     """Write the files below ``path``."""
+    small_batches(docs)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text_of(text).alias("text"))
     order = [F.col("doc_id"), F.col("tie")]

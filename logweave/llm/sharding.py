@@ -16,13 +16,15 @@ their names, pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.common import cut_lineage, row_of, text_of
+from logweave.llm.common import BATCH_ROWS, cut_lineage, row_of, small_batches, text_of
 
 N_SHARDS = 16
 #: Bytes of text that a bucket holds on average.
@@ -44,20 +46,22 @@ def shuffled_buckets(docs: DataFrame, text: str = "text", key: str = "doc_id", s
     """``(doc, size, bucket, pos)``: every record with its bucket and its
     place in the shuffled bucket."""
     size = F.octet_length(text_of(text)).cast("bigint") + 1
+    small_batches(docs)
     total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     n_buckets = max(n_shards, -(-total // bucket_bytes))
     place = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id()))
     rows = docs.select(row_of(docs), size.alias("size"), F.pmod(F.xxhash64(F.lit(seed), place), F.lit(n_buckets)).alias("bucket"),
                        F.xxhash64(F.lit(seed + 1), place, F.col(text)).alias("tie"))
 
-    def shuffle(bucket: pa.Table) -> pa.Table:
+    def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = pa.Table.from_batches(list(batches))
         # a fixed order first: the result doesn't depend on the order of arrival
         tie = bucket["tie"].to_numpy()
         fixed = np.argsort(tie, kind="stable")
         at = int(bucket["bucket"][0].as_py()) if len(tie) else 0
         order = fixed[fisher_yates(len(tie), np.random.default_rng([seed, at]))]
         out = bucket.select(["doc", "size", "bucket"]).take(pa.array(order))
-        return out.append_column("pos", pa.array(np.arange(len(order), dtype=np.int64)))
+        yield from out.append_column("pos", pa.array(np.arange(len(order), dtype=np.int64))).to_batches(max_chunksize=BATCH_ROWS)
 
     schema = T.StructType([*rows.schema.fields[:3], T.StructField("pos", T.LongType())])
     return rows.groupBy("bucket").applyInArrow(shuffle, schema)
