@@ -897,6 +897,9 @@ def q_hybrid_rrf(spark, d):
 from logweave.functions.text import fix_heading_line, unescape_html, unescape_xml  # noqa: E402
 from logweave.operators import chunking as ck  # noqa: E402
 
+#: Order keys of a turn's lines: a text below 2 GB has fewer than 2^31 of them.
+MD_TURN = 1 << 32
+
 
 @shared
 def md_lines(spark, d):
@@ -909,7 +912,7 @@ def md_lines(spark, d):
              .select(F.col("conv_id").alias("doc_id"), src.alias("source"), F.lit(0).cast("long").alias("ord"),
                      F.concat(F.lit("## "), F.col("conv_id").cast("string"), F.lit(" Conversation "),
                               F.col("conv_id").cast("string")).alias("line")))
-    base = (F.col("turn") + 1) * 100000
+    base = (F.col("turn") + 1).cast("long") * MD_TURN
     head = c.select(F.col("conv_id").alias("doc_id"), src.alias("source"), base.cast("long").alias("ord"),
                     F.concat(F.lit("## "), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"),
                              F.repeat(F.lit(".1"), (F.col("turn") % 4 + 1).cast("int")), F.lit(" "),
@@ -917,24 +920,24 @@ def md_lines(spark, d):
     body = (c.select(F.col("conv_id").alias("doc_id"), src.alias("source"), base.alias("_b"),
                      F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("_p", "line"))
             .select("doc_id", "source", (F.col("_b") + 1 + F.col("_p")).cast("long").alias("ord"), "line"))
-    gap = c.select(F.col("conv_id").alias("doc_id"), src.alias("source"), (base + 99999).cast("long").alias("ord"),
+    gap = c.select(F.col("conv_id").alias("doc_id"), src.alias("source"), (base + (MD_TURN - 1)).cast("long").alias("ord"),
                    F.lit("").alias("line"))
     return title.unionByName(head).unionByName(body).unionByName(gap)
 
 
-MD_LINES_SQL = """
+MD_LINES_SQL = f"""
 SELECT DISTINCT conv_id AS doc_id, 'conv-' || CAST(conv_id AS VARCHAR) || '.md' AS source, CAST(0 AS BIGINT) AS ord,
        '## ' || CAST(conv_id AS VARCHAR) || ' Conversation ' || CAST(conv_id AS VARCHAR) AS line FROM conversations
 UNION ALL
-SELECT conv_id, 'conv-' || CAST(conv_id AS VARCHAR) || '.md', CAST((turn + 1) * 100000 AS BIGINT),
+SELECT conv_id, 'conv-' || CAST(conv_id AS VARCHAR) || '.md', CAST(turn + 1 AS BIGINT) * {MD_TURN},
        '## ' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) || repeat('.1', CAST(turn % 4 + 1 AS INTEGER)) || ' ' || role
 FROM conversations
 UNION ALL
-SELECT conv_id, 'conv-' || CAST(conv_id AS VARCHAR) || '.md', CAST((turn + 1) * 100000 + pos AS BIGINT), l FROM (
+SELECT conv_id, 'conv-' || CAST(conv_id AS VARCHAR) || '.md', CAST(turn + 1 AS BIGINT) * {MD_TURN} + pos, l FROM (
   SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
          unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM conversations) x
 UNION ALL
-SELECT conv_id, 'conv-' || CAST(conv_id AS VARCHAR) || '.md', CAST((turn + 1) * 100000 + 99999 AS BIGINT), '' FROM conversations
+SELECT conv_id, 'conv-' || CAST(conv_id AS VARCHAR) || '.md', CAST(turn + 1 AS BIGINT) * {MD_TURN} + {MD_TURN - 1}, '' FROM conversations
 """
 
 
