@@ -252,10 +252,16 @@ def by_task(tasks: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(u, root)`` for the nodes of an undirected graph ``(u, v)`` of longs:
     the least node of its component, for every node but that one. Rounds of
-    large-star and small-star steps, each a written table; the number of rounds
-    grows with the logarithm of the longest path."""
+    large-star and small-star steps, each a written table, until every u has one
+    v and no v is a u; the number of rounds grows with the logarithm of the
+    longest path."""
+
+    def open_(stars: DataFrame) -> bool:
+        chained = stars.join(stars.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        return not chained.isEmpty() or not stars.groupBy("u").count().where("count > 1").isEmpty()
+
     stars = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    while not stars.join(stars.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+    while open_(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = cut_lineage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

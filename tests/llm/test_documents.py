@@ -182,6 +182,16 @@ def test_jaccard_join(spark, docs, monkeypatch):
     assert {r.doc_id for r in stays.collect()} == {w[1] for w in want}
 
 
+@pytest.mark.parametrize("edges", [[(5, 1), (5, 2)], [(10, 1), (10, 5), (11, 2), (11, 5)], [(1, 1)], [(4, 3), (3, 2), (2, 1), (9, 8)]])
+def test_linked_groups(spark, edges):
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        for u, v in edges:
+            least[u] = least[v] = min(least[u], least[v])
+    got = jaccard.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+    assert sorted(map(tuple, got)) == sorted((u, root) for u, root in least.items() if u != root)
+
+
 def test_bands_reach_the_recall():
     b = jaccard.n_bands()
     assert 1 - (1 - 0.8 ** jaccard.ROWS) ** b >= jaccard.RECALL > 1 - (1 - 0.8 ** jaccard.ROWS) ** (b - 1)
