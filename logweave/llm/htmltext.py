@@ -4,10 +4,12 @@ A page is cut into blocks (runs of text between block-level tags). Each block
 lies on a path of tags from the root. Text length, punctuation and link text
 are summed for each path; a path's score is its text per block, times one plus
 its punctuation per block, times the square of its share of text outside
-links. The scores are smoothed along the page with a Gaussian, and fused with
-the scores of the container (the deepest element that holds most of the score
-of the page). The blocks of paths in the container whose fused score reaches a
-share of the page's mean score, weighted by text, are the main text.
+links. The scores are smoothed along the page with a Gaussian. The container
+is the deepest element that holds most of the score of the page. All of its
+blocks are the main text, but for blocks of links; the threshold, a share of
+the page's mean score weighted by text, only decides on whole elements within
+a container outside an ``article``; paragraphs, headings, lists, tables, quotes
+and the like belong to the element around them.
 
 Elements that never hold an article (menus, forms, scripts and so on) and
 elements whose class, id or role names such a part are left out beforehand.
@@ -24,6 +26,7 @@ import html as entities
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -58,6 +61,11 @@ PUNCTUATION = re.compile(r"[.,;:!?、。，！？…]")
 SMOOTHING = 1.0
 CONTAINER_SHARE = 0.7
 THRESHOLD = 0.1
+#: A block is one of links if so much of its text, and of its path's, is.
+LINK_SHARE = 2 / 3
+#: Parts of an article's text; an element of these is never the container.
+PARTS = HEADINGS | frozenset("p ul ol li dl dt dd table caption colgroup thead tbody tfoot tr td th pre blockquote figure figcaption "
+                             "address details summary hgroup".split())
 
 
 class Block(NamedTuple):
@@ -191,6 +199,11 @@ def scores(found: list[Block]) -> list[float]:
     return out
 
 
+def home(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path of the element that a block's part of the text belongs to."""
+    return path[:next((i for i, t in enumerate(path) if t in PARTS), len(path))]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, one a line."""
     found = blocks(page or "")
@@ -205,14 +218,31 @@ def main_text(page: str | None) -> str:
         for n in range(len(path) + 1):
             held[path[:n]] = held.get(path[:n], 0) + x
     container = max((p for p, x in held.items() if x >= CONTAINER_SHARE * total), key=lambda p: (len(p), held[p]))
-    inside = [b.path[:len(container)] == container for b in found]
+    homes = [home(b.path) for b in found]
+    depth = len(container)
+    inside = [b.path[:depth] == container for b in found]
     chars = sum(len(b.text) for b, i in zip(found, inside) if i)
-    mean = sum(x for x, i in zip(mass, inside) if i) / max(1, chars)
+    least = THRESHOLD * sum(x for x, i in zip(mass, inside) if i) / max(1, chars)
+    level = [next((t for t in b.path if t in HEADINGS), "") for b in found]
+
+    # link shares: of all paragraphs of a path, of each run of other blocks (a list of links may have the path of one of text)
+    runs = list(accumulate((a.path != b.path for a, b in pairwise(found)), initial=0))
+    groups = [(b.path, 0 if b.path[-1:] == ("p",) else r) for b, r in zip(found, runs)]
+    shares: dict[tuple, list[int]] = {}
+    best: dict[tuple[str, ...], float] = {}
+    for b, g, h, s in zip(found, groups, homes, score):
+        sums = shares.setdefault(g, [0, 0])
+        sums[0] += min(b.linked, len(b.text))
+        sums[1] += len(b.text)
+        best[h] = max(best.get(h, 0), s)
 
-    def fused(b: Block, s: float) -> float:
-        return max(s, 0.5 * mean) if b.path and b.path[-1] in HEADINGS else s
+    def kept(b: Block, g: tuple, h: tuple[str, ...], s: float, heading: str, within: bool) -> bool:
+        links, n = shares[g]
+        if not heading and links >= LINK_SHARE * n and b.linked >= LINK_SHARE * len(b.text):
+            return False
+        return within and (bool(heading) or h == container or "article" in h or best[h] >= least)
 
-    return "\n".join(b.text for b, s, i in zip(found, score, inside) if i and fused(b, s) >= THRESHOLD * mean)
+    return "\n".join(b.text for b, g, h, s, x, i in zip(found, groups, homes, score, level, inside) if kept(b, g, h, s, x, i))
 
 
 def extracted(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:

@@ -28,6 +28,22 @@ def test_main_text(name):
     assert htmltext.main_text(page) == "\n".join(want)
 
 
+LONG = ["Words of a paragraph, one of some length; and then more, and more. " * 6 for _ in range(6)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in LONG)
+TEXTS = [x.strip() for x in LONG]
+ITEMS = [f"item {i} without any mark" for i in range(8)]
+NAV = "<nav><a href=/>Home</a></nav><div><ul><li><a href=1>One page</a><li><a href=2>Two pages</a></ul></div>"
+
+
+@pytest.mark.parametrize("box", ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<main><article>{}</article></main>"])
+@pytest.mark.parametrize("part", ["<ul>{}</ul>:<li>{}</li>", "<table>{}</table>:<tr><td>{}</td></tr>", "<dl>{}</dl>:<dd>{}</dd>", "{}:<pre>{}</pre>",
+                                  "{}:<figure><figcaption>{}</figcaption></figure>", "<div><ol>{}</ol></div>:<li>{}</li>"])
+def test_lists_and_tables_stay_whole(box, part):
+    whole, item = part.split(":")
+    page = f"<body>{NAV}" + box.format(f"<h1>Head</h1>{PARAGRAPHS}" + whole.format("".join(map(item.format, ITEMS))) + PARAGRAPHS) + "</body>"
+    assert htmltext.main_text(page).split("\n") == ["Head", *TEXTS, *ITEMS, *TEXTS]
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<html><body></body></html>", "<script>", "</p></div>", "<!--", "<p title='"])
 def test_main_text_of_nothing(page):
     assert htmltext.main_text(page) in ("", "<")
