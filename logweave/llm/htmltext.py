@@ -5,11 +5,13 @@ lies on a path of tags from the root. Text length, punctuation and link text
 are summed for each path; a path's score is its text per block, times one plus
 its punctuation per block, times the square of its share of text outside
 links. The scores are smoothed along the page with a Gaussian. The container
-is the deepest element that holds most of the score of the page. All of its
+is the deepest element that holds most of the score of the page; paragraphs,
+headings, lists, tables, quotes and the like belong to the element around them,
+and the descent stops at an ``article`` or ``main``. All of the container's
 blocks are the main text, but for blocks of links; the threshold, a share of
-the page's mean score weighted by text, only decides on whole elements within
-a container outside an ``article``; paragraphs, headings, lists, tables, quotes
-and the like belong to the element around them.
+the page's mean score weighted by text, only decides on whole elements outside
+an ``article``, within the container or beside it under the element that holds
+the headline, and on paragraphs that stand further out.
 
 Elements that never hold an article (menus, forms, scripts and so on) and
 elements whose class, id or role names such a part are left out beforehand.
@@ -66,6 +68,7 @@ LINK_SHARE = 2 / 3
 #: Parts of an article's text; an element of these is never the container.
 PARTS = HEADINGS | frozenset("p ul ol li dl dt dd table caption colgroup thead tbody tfoot tr td th pre blockquote figure figcaption "
                              "address details summary hgroup".split())
+ARTICLES = frozenset(("article", "main"))
 
 
 class Block(NamedTuple):
@@ -212,19 +215,28 @@ def main_text(page: str | None) -> str:
     score = scores(found)
     mass = [s * len(b.text) for s, b in zip(score, found)]
     total = sum(mass)
+    homes = [home(b.path) for b in found]
     held: dict[tuple[str, ...], float] = {}
-    for b, x in zip(found, mass):
-        path = b.path[:-1] if b.path and (b.path[-1] == "p" or b.path[-1] in HEADINGS) else b.path
+    for path, x in zip(homes, mass):
         for n in range(len(path) + 1):
             held[path[:n]] = held.get(path[:n], 0) + x
     container = max((p for p, x in held.items() if x >= CONTAINER_SHARE * total), key=lambda p: (len(p), held[p]))
-    homes = [home(b.path) for b in found]
+    container = container[:next((i + 1 for i, t in enumerate(container) if t in ARTICLES), len(container))]
+    named = bool(container) and container[-1] in ARTICLES
     depth = len(container)
-    inside = [b.path[:depth] == container for b in found]
+    inside = [h[:depth] == container for h in homes]
     chars = sum(len(b.text) for b, i in zip(found, inside) if i)
     least = THRESHOLD * sum(x for x, i in zip(mass, inside) if i) / max(1, chars)
     level = [next((t for t in b.path if t in HEADINGS), "") for b in found]
 
+    # the headline: an article's own first of all, otherwise the page's greatest
+    around = container
+    if any(level) and not (named and any(x for x, i in zip(level, inside) if i)):
+        top = min(filter(None, level))
+        heads = [h for h, x in zip(homes, level) if x == top]
+        while not any(h[:len(around)] == around for h in heads):
+            around = around[:-1]
+
     # link shares: of all paragraphs of a path, of each run of other blocks (a list of links may have the path of one of text)
     runs = list(accumulate((a.path != b.path for a, b in pairwise(found)), initial=0))
     groups = [(b.path, 0 if b.path[-1:] == ("p",) else r) for b, r in zip(found, runs)]
@@ -240,7 +252,10 @@ def main_text(page: str | None) -> str:
         links, n = shares[g]
         if not heading and links >= LINK_SHARE * n and b.linked >= LINK_SHARE * len(b.text):
             return False
-        return within and (bool(heading) or h == container or "article" in h or best[h] >= least)
+        part = b.path != h  # not bare text of an element around the container
+        if within or h[:len(around)] == around:
+            return bool(heading) or h == container or (h == around and part) or "article" in h or best[h] >= least
+        return not named and h == container[:len(h)] and part and s >= least
 
     return "\n".join(b.text for b, g, h, s, x, i in zip(found, groups, homes, score, level, inside) if kept(b, g, h, s, x, i))
 

@@ -44,6 +44,21 @@ def test_lists_and_tables_stay_whole(box, part):
     assert htmltext.main_text(page).split("\n") == ["Head", *TEXTS, *ITEMS, *TEXTS]
 
 
+@pytest.mark.parametrize("box", ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<main><div>{}</div></main>"])
+@pytest.mark.parametrize("inner", ["<section>{}</section>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>",
+                                   "<section><h2>Sub</h2>{}</section>", "<table><tr><td>{}</td></tr></table>"])
+def test_text_beside_a_section_stays(box, inner):
+    page = f"<body>{NAV}" + box.format("<h1>Head</h1><p>The lead, in short.</p>" + inner.format(PARAGRAPHS) + "<p>The end, at last.</p>") + "</body>"
+    want = ["Head", "The lead, in short.", *["Sub"] * ("Sub" in inner), *TEXTS, "The end, at last."]
+    assert htmltext.main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize("tag", ["li", "pre", "blockquote"])
+def test_one_long_part_is_no_container(tag):
+    page = f"<article><h1>Head</h1><p>The lead, in short.</p><{tag}>{' '.join(LONG)}</{tag}><p>The end, at last.</p></article>"
+    assert htmltext.main_text(page).split("\n") == ["Head", "The lead, in short.", " ".join(" ".join(LONG).split()), "The end, at last."]
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<html><body></body></html>", "<script>", "</p></div>", "<!--", "<p title='"])
 def test_main_text_of_nothing(page):
     assert htmltext.main_text(page) in ("", "<")
