@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logweave.llm import decontam, host_rules, jaccard, lm, mixing, records, sharding
@@ -218,6 +219,22 @@ def test_lm_scores(spark, docs):
         assert r.base_score == pytest.approx(np.log10(alone).sum()) and r.score == pytest.approx(np.log10(full).sum(), abs=2e-4 * len(t))
 
 
+def test_hot_contexts_are_cut(spark, docs):
+    rows = [(1000 + i, f"hot next{i % 400} hot a{i % 7} cold b{i}", "s", 0, 0) for i in range(600)]
+    df = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    get = lambda **a: sorted(map(tuple, lm.scored(df, carry=["doc_id"], block_bytes=4000, shard_bytes=1500, **a).collect()), key=str)
+    whole, cut = get(), get(hot_tokens=60)
+    assert whole == cut  # to the last bit
+    n_shards = 40
+    hot = lm.hot_contexts(df, "text", 30_000, 60, n_shards)
+    hashes = {w: lm.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in (b"hot", b"cold", b"b5")}
+    parts = dict(zip(hot[0].tolist(), hot[1].tolist()))
+    assert parts[int(hashes[b"hot"])] >= 20 and parts[int(hashes[b"cold"])] >= 10 and parts[int(lm.START)] >= 10 and int(hashes[b"b5"]) not in parts
+    texts, training = pa.array([r[1] for r in rows]), np.ones(len(rows), dtype=bool)
+    most = lambda *a: max(len(lm.unpacked(p, 5)[3]) for _, p in lm.Block(texts, training, n_shards, *a).messages())
+    assert most() > 400 and most(hot) < 150
+
+
 def test_records_round_trip(spark, docs, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
