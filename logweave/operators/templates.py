@@ -9,7 +9,9 @@ aggregate), so hot repeated lines collapse before any shuffle of tokens.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,23 +153,7 @@ def _cluster_sequence(token_lists) -> list[list[str]]:
     return clusters
 
 
-CHUNK_LINES = 50000  # distinct lines clustered together in one task
-
-
-def _drain_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Level 1: cluster one chunk of a key group; emit each cluster's
-    template with the first line it absorbed (its age)."""
-    pdf = pdf.sort_values("first_line", kind="stable")
-    clusters: list[list[str]] = []
-    firsts: list[int] = []
-    for toks, first in zip(pdf["tokens"], pdf["first_line"]):
-        before = len(clusters)
-        clusters = _cluster_sequence_step(clusters, list(toks))
-        if len(clusters) > before:
-            firsts.append(int(first))
-    row = pdf.iloc[0]
-    return pd.DataFrame({"log_id": row["log_id"], "n_tok": row["n_tok"], "first_key": row["first_key"],
-                         "tokens": [list(c) for c in clusters], "first_line": firsts})
+CHUNK_LINES = 50000  # distinct lines taken into Python at a time
 
 
 def _cluster_sequence_step(clusters: list[list[str]], toks: list[str]) -> list[list[str]]:
@@ -189,32 +175,41 @@ def _cluster_sequence_step(clusters: list[list[str]], toks: list[str]) -> list[l
     return clusters
 
 
-def _drain_merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Level 2: cluster the chunk templates of one key group in age order."""
-    pdf = pdf.sort_values("first_line", kind="stable")
-    clusters = _cluster_sequence(pdf["tokens"])
-    row = pdf.iloc[0]
-    return pd.DataFrame({"log_id": row["log_id"], "n_tok": row["n_tok"], "first_key": row["first_key"],
-                         "cluster_id": list(range(len(clusters))), "template": [" ".join(c) for c in clusters]})
+def _drain_sorted(batches: Iterator[pa.RecordBatch], chunk_lines: int) -> Iterator[pa.RecordBatch]:
+    """Cluster the key groups of a sorted partition one after the other; only
+    the templates of the group at hand are kept."""
+    def templates_of(key: tuple, clusters: list[list[str]]) -> pa.RecordBatch:
+        n = len(clusters)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int32()), pa.array([key[2]] * n, pa.string()),
+             pa.array(range(n), pa.int32()), pa.array([" ".join(c) for c in clusters], pa.string())],
+            names=[*KEY, "cluster_id", "template"])
+
+    key, clusters = None, []
+    for batch in batches:
+        for at in range(0, batch.num_rows, chunk_lines):
+            part = batch.slice(at, chunk_lines)
+            for *own, toks in zip(*(part.column(c).to_pylist() for c in [*KEY, "tokens"])):
+                if own != key:
+                    if clusters:
+                        yield templates_of(key, clusters)
+                    key, clusters = own, []
+                clusters = _cluster_sequence_step(clusters, toks)
+    if clusters:
+        yield templates_of(key, clusters)
 
 
 def drain_templates(lines: DataFrame, clean_col: str = "clean", chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """Similarity-split templates per (log, key).
 
-    Lines are deduplicated first (hash aggregate). A key group is cut into
-    hash chunks of about ``chunk_lines`` distinct lines, so no task ever
-    holds an unbounded group; each chunk is clustered in first-appearance
-    order (level 1), then the chunk templates of the group - far fewer than
-    lines - are clustered again in age order (level 2). A group that fits in
-    one chunk gets exactly the sequential result.
+    Lines are deduplicated first (hash aggregate). The distinct lines of a key
+    group are sorted by first appearance and clustered in that order, as a
+    stream: a task holds the templates of one group and ``chunk_lines`` lines,
+    whatever the size of the group, and the result is that of the sequential
+    rule. The rule depends on the order, so one group is one task's work.
     """
-    keyed = with_key(lines, clean_col)
-    uniq = distinct_lines(keyed, clean_col)
-    sizes = uniq.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
-    chunked = (uniq.join(sizes, KEY)
-               .withColumn("_chunk", F.pmod(F.xxhash64(clean_col), F.ceil(F.col("_n") / chunk_lines).cast("long")))
-               .select(*KEY, "_chunk", "tokens", "first_line"))
-    lvl1 = chunked.groupBy(*KEY, "_chunk").applyInPandas(
-        _drain_chunk, "log_id string, n_tok int, first_key string, tokens array<string>, first_line long")
+    uniq = distinct_lines(with_key(lines, clean_col), clean_col)
+    ordered = (uniq.repartition(*KEY).sortWithinPartitions(*KEY, "first_line", clean_col)
+               .select(*KEY, "tokens"))
     schema = "log_id string, n_tok int, first_key string, cluster_id int, template string"
-    return lvl1.groupBy(*KEY).applyInPandas(_drain_merge, schema)
+    return ordered.mapInArrow(lambda batches: _drain_sorted(batches, chunk_lines), schema)

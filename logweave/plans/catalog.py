@@ -1383,8 +1383,8 @@ def drain_tm(spark, d):
 
 @query("drain_templates")
 def q_drain_templates(spark, d):
-    """Similarity-split templates of the event log (applyInPandas per
-    bounded chunk of a key group)."""
+    """Similarity-split templates of the event log (the sorted lines of
+    a key group as a stream)."""
     return drain_tm(spark, d)
 
 
