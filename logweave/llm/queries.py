@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import decontam, host_rules, htmltext, jaccard, langid, lm, mixing, quotes, records, sharding, sql
+from logweave.llm import decontam, fim, host_rules, htmltext, jaccard, langid, lm, mixing, quotes, records, sharding, sql
 from logweave.llm.common import read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its language."""
     out = langid.identified(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"), carry=["page_id", "url"])
     return out.select("page.page_id", "page.url", "lang", F.round("probability", 6).alias("probability"), "text_lang", "declared", "host")
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as cut for filling in its middle, and put together again."""
+    out = fim.transformed(read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+LLM_ORACLE["op13_fill_in_middle"] = sql.FILL_IN_MIDDLE

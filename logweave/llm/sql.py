@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from logweave.llm import fim as I
 from logweave.llm import host_rules as H
 from logweave.llm import mixing as M
 
@@ -63,3 +64,21 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
        CAST(size * (whole + CASE WHEN need > 0 AND upto - own < need AND (upto <= need OR upto - need <= need - (upto - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM cum
 """
+
+_HASH = f"sha256('{I.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), ''))"
+_DRAW = ", ".join(f"CAST('0x' || substr({_HASH}, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+
+FILL_IN_MIDDLE = f"""
+WITH cut AS (SELECT doc_id, {TEXT} AS t, regexp_extract_all({TEXT}, '{I.LINE}') AS l, {_DRAW} FROM documents),
+ranked AS (SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b,
+                  CASE WHEN t = '' OR contains(t, '{I.PREFIX}') OR contains(t, '{I.SUFFIX}') OR contains(t, '{I.MIDDLE}') OR h3 % 100 >= {I.RATE}
+                       THEN 'plain' WHEN h4 % 100 < {I.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (SELECT *, coalesce(array_to_string(l[1:a], ''), '') AS p, coalesce(array_to_string(l[a + 1:b], ''), '') AS m,
+                 coalesce(array_to_string(l[b + 1:n], ''), '') AS s FROM ranked)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '{I.SUFFIX}' || s || '{I.PREFIX}' || p || '{I.MIDDLE}' || m
+                        ELSE '{I.PREFIX}' || p || '{I.SUFFIX}' || s || '{I.MIDDLE}' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
