@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.session import cut_lineage
+
 
 def exclusive_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                      bucket: Column, weight: Column | None = None,
@@ -80,3 +82,26 @@ def neighbour(df: DataFrame, key_cols: Sequence[str], n_col: str, offset: int,
     other = df.select(*k, (F.col(n_col) - F.lit(offset)).alias(n_col),
                       *[F.col(c).alias(c + suffix) for c in cols])
     return df.join(other, [*k, n_col], "left")
+
+
+def range_numbered(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], out: str = "pos") -> DataFrame:
+    """Add ``out``, the 0-based position of each row inside its group, by one
+    sort over ranges of (group, order): a group of any size, with any spread of
+    its order key, takes as many tasks as its rows need. Rows equal in both
+    stand in any order (a random last key spreads them too). The sorted rows
+    are written, since their numbers must not be computed twice. Null group
+    columns form a group."""
+    groups = [F.col(c) for c in group_cols]
+    keys = [*groups, *order_cols, F.col("_any")]
+    rows = df.withColumn("_any", F.rand(7))
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_any").withColumn("_row", F.monotonically_increasing_id())
+    rows = cut_lineage(rows).withColumn("_part", F.shiftright("_row", 33)).withColumn("_row", F.expr(f"_row & {(1 << 33) - 1}L"))
+    # a row for each task of the sort
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut_lineage(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
+    rows = rows.join(F.broadcast(base), "_part").withColumn("_row", F.col("_base") + F.col("_row")).drop("_part", "_base")
+    starts = cut_lineage(rows.groupBy(*groups).agg(F.min("_row").alias("_start")))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group_cols]
+    return rows.alias("r").join(starts.alias("s"), same).select(
+        *[F.col(f"r.{c}") for c in df.columns], (F.col("_row") - F.col("_start")).alias(out))
