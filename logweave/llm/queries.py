@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import decontam, fim, host_rules, htmltext, jaccard, langid, lm, mixing, quotes, records, sharding, sql
+from logweave.llm import decontam, fim, host_rules, htmltext, jaccard, langid, lm, mixing, prefix_trie, quotes, records, sharding, sql, warc
 from logweave.llm.common import read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page.page_id", "page.url", "lang", F.round("probability", 6).alias("probability"), "text_lang", "declared", "host")
 
 
+@query
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives."""
+    out = warc.archived(read(spark, sf_dir, "pages"))
+    return out.select(F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                      F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+LLM_ORACLE["op11_warc_archives"] = sql.WARC
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return prefix_trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
+LLM_ORACLE["op12_prefix_trie"] = sql.PREFIX_TRIE
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as cut for filling in its middle, and put together again."""

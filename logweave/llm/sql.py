@@ -5,6 +5,7 @@ from __future__ import annotations
 from logweave.llm import fim as I
 from logweave.llm import host_rules as H
 from logweave.llm import mixing as M
+from logweave.llm import warc as A
 
 WORD = r"[^\x20\x09-\x0D]+"
 TEXT = "coalesce(text, '')"
@@ -82,3 +83,34 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
        sha256(t) AS restored_sha256
 FROM parts
 """
+
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST, url NULLS LAST) AS k,
+                  first_value(page_id) OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST, url NULLS LAST) AS f FROM pages),
+s AS (SELECT *, CAST(strlen(t) AS BIGINT) AS payload_bytes, k > 1 AND strlen(t) >= {A.REVISIT_BYTES} AS again FROM p)
+SELECT page_id, payload_bytes, sha256(t) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN f END AS refers_to
+FROM s
+"""
+
+#: CRC-32 in SQL: a byte at a time, with the table's entry worked out bit by bit.
+_BIT = "CASE WHEN {0} % 2 = 1 THEN xor({0} // 2, 3988292384) ELSE {0} // 2 END"
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda s: ascii(s)::BIGINT)), lambda crc, byte: "
+        "xor(crc // 256, list_reduce(list_prepend(xor(crc, byte) & 255, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda b, z: " + _BIT.format("b")
+        + "))), 4294967295)")
+
+PREFIX_TRIE = f"""
+WITH own AS (SELECT conv_id AS c, list(coalesce(role, '') || chr(1) || {TEXT} ORDER BY turn NULLS FIRST) AS t FROM conversations
+             WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (SELECT c, t, CAST({_CRC.format('CAST(c AS VARCHAR)')} % 4 AS BIGINT) AS h FROM own),
+conv AS (SELECT a.c, list_concat(coalesce(b.t, [])[1:a.h], a.t[a.h + 1:]) AS t FROM hashed a LEFT JOIN own b ON b.c = a.c - a.c % 20),
+pre AS (SELECT c, t[1:d] AS p, d, len(t) = d AS ends FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM conv) x),
+node AS (SELECT p, d, min(c) AS c, count(*) AS n, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS e FROM pre GROUP BY p, d),
+val AS (SELECT p, d, c, n, e, (n - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(substr(p[d], strpos(p[d], chr(1)) + 1), '{WORD}')) END AS v FROM node),
+kid AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+leaf AS (SELECT val.*, coalesce(k, 0) AS k FROM val LEFT JOIN kid USING (p)),
+sub AS (SELECT p[1:a] AS p, sum(v) AS v, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS l FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM leaf) x GROUP BY 1)
+SELECT leaf.c AS conv_id, CAST(leaf.d AS BIGINT) AS depth, up.c AS parent_conv_id, leaf.n AS n_convs, leaf.k AS n_children,
+       CAST(sub.l AS BIGINT) AS n_leaves, CAST(sub.v AS BIGINT) AS saved_tokens, leaf.e AS ends_sha256
+FROM leaf JOIN sub USING (p) LEFT JOIN node up ON up.p = leaf.p[1:leaf.d - 1] AND leaf.d > 0
+"""
