@@ -13,8 +13,17 @@ the page's mean score weighted by text, only decides on whole elements outside
 an ``article``, within the container or beside it under the element that holds
 the headline, and on paragraphs that stand further out.
 
+Of several ``article`` elements side by side one that holds most of their
+score is the article and the others are teasers; articles within it are
+comments, if it has text of its own. A section that begins with a heading of
+comments goes, and so do blocks that a link goes around (cards) and runs of
+links, unless a heading of the article stands right before them (references).
+
 Elements that never hold an article (menus, forms, scripts and so on) and
-elements whose class, id or role names such a part are left out beforehand.
+elements whose class, id or role names such a part are left out beforehand,
+with all that is in them. A class or id names one only as a whole, by cue words
+and neutral ones; within an article it never takes away a heading or a
+paragraph, unless it says advert.
 
 A page is one row, so the job is one narrow pass. Edge cases: a null or empty
 page, or one without text, has the empty text; unclosed, misnested or cut off
@@ -50,11 +59,24 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEFT_OUT = frozenset("nav footer aside form script style noscript template button select option textarea iframe object svg canvas "
                      "dialog menu title head label fieldset video audio map math noembed noframes xmp".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert toolbar tablist".split())
-CUES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|widgets?|footer\w*"
-    r"|header|masthead|site-?header|page-?header|comments?|commentlist|respond|disqus\w*|repl(?:y|ies)|cookies?\w*|consent\w*|gdpr"
-    r"|notices?|notification\w*|alerts?|pop-?up\w*|modal\w*|newsletter\w*|subscri\w+|shar(?:e|ing)\w*|social\w*|related\w*"
-    r"|recommend\w*|pagination|pager|tool-?bar|log-?in|sign-?up|copyright\w*|disclaimer|skip\w*|hidden|tracking)(?:$|[\s_-])", re.I)
+#: Words of a class or id that name a part beside the article, words that may stand with them, and words for adverts.
+ADVERTS = r"ads?|adv|advert\w*|adsense|adslot|sponsor\w*"
+CUE = re.compile(
+    rf"{ADVERTS}|banners?|promos?|promotions?|promoted|nav|navs|navbar|navigation|menu|menus|menubar|submenu|breadcrumbs?|sidebars?|widgets?|footers?"
+    r"|masthead|header|comments?|commentlist|respond|disqus|repl(?:y|ies)|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?"
+    r"|newsletters?|subscribe|subscription|subscriptions|shar(?:e|es|ing)|social|socials|related|recommended|recommendations?|pagination|pager"
+    r"|toolbars?|login|signup|copyright|disclaimer|skip|skiplink|hidden|tracking", re.I)
+NEUTRAL = re.compile(
+    r"main|site|page|web|top|bottom|left|right|upper|lower|first|last|box|boxes|bar|bars|list|lists|item|items|wrap|wrapper|container|block|blocks|section"
+    r"|area|zone|slot|unit|panel|inner|outer|links?|btns?|buttons?|icons?|posts?|articles?|stories|content|contents|primary|secondary|global|mobile"
+    r"|desktop|user|users|reader|readers|form|thread|js|id|div|col|row|side|sub|up|pop|sign|log|in|out|to|the|and|us|by|on|media|text|message|policy"
+    r"|privacy|google|dfp|gpt|fixed|sticky|floating|overlay|x|s|m|l|\d+", re.I)
+WORDS = re.compile(r"[^\W\d_]+|\d+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Headings of reader comments, and of lists of links to other articles.
+COMMENTS = re.compile(r"\W*(?:\d+\s+)?(?:all |reader |readers' |user |latest )?comments?\W*(?:\d+\W*)?|\W*(?:leave|post|add) a (?:comment|reply)\W*", re.I)
+ELSEWHERE = re.compile(r"\W*(?:related|recommended|more (?:from|on|in|like)|read (?:more|next)|you (?:may|might)|most (?:read|popular)|popular|trending|latest"
+                       r"|share|follow|tags?|next|previous|up next)\b.*", re.I)
 #: An element of the first kind ends an open one of the second when it begins, up to one of the third.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -65,6 +87,8 @@ CONTAINER_SHARE = 0.7
 THRESHOLD = 0.1
 #: A block is one of links if so much of its text, and of its path's, is.
 LINK_SHARE = 2 / 3
+#: An article holds comments if so much of its score is outside the articles within.
+OWN_SHARE = 0.2
 #: Parts of an article's text; an element of these is never the container.
 PARTS = HEADINGS | frozenset("p ul ol li dl dt dd table caption colgroup thead tbody tfoot tr td th pre blockquote figure figcaption "
                              "address details summary hgroup".split())
@@ -75,14 +99,37 @@ class Block(NamedTuple):
     path: tuple[str, ...]
     text: str
     linked: int
+    #: The numbers of the elements on the path: those of one page are told apart.
+    ids: tuple[int, ...] = ()
+    #: Whether a link goes around the block.
+    card: bool = False
+
+
+class Open(NamedTuple):
+    """An open element; ``out``: it or one around it is left out."""
+    tag: str
+    out: bool
+    inline: bool
+    number: int
+
 
+def names_part(value: str, cue: re.Pattern[str] = CUE) -> bool:
+    """Whether a class or id, as a whole, names a part beside the article:
+    one of its tokens has a cue word, and neutral words at most beside it."""
+    for token in value.split():
+        words = WORDS.findall(CAMEL.sub("-", token))
+        if any(cue.fullmatch(w) for w in words) and all(CUE.fullmatch(w) or NEUTRAL.fullmatch(w) for w in words):
+            return True
+    return False
 
-def left_out(tag: str, attributes: str, stack: list[tuple[str, bool]]) -> bool:
-    """Whether the element, by its tag or attributes, is no part of an article."""
+
+def left_out(tag: str, attributes: str, within: bool) -> bool:
+    """Whether the element, by its tag or attributes, is no part of an article;
+    ``within``: it stands in an ``article`` or ``main``."""
     if tag in LEFT_OUT:
         return True
     if tag == "header":  # that of the page; an article's own one has its headings
-        return not any(t in ("article", "main") for t, _ in stack)
+        return not within
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
         return False
     for name, value in ATTRIBUTE.findall(attributes):
@@ -93,22 +140,28 @@ def left_out(tag: str, attributes: str, stack: list[tuple[str, bool]]) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and CUES.search(value):
-            return True
+        if name in ("class", "id"):
+            if within and (tag == "p" or tag in HEADINGS or value.lower() == "header"):
+                if names_part(value, ADVERT):
+                    return True
+            elif names_part(value):
+                return True
     return False
 
 
+ADVERT = re.compile(ADVERTS, re.I)
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without those in left-out elements."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open block elements and whether they or one above are left out
-    hidden_inline: list[str] = []  # open inline elements that are left out
+    stack: list[Open] = []  # open block elements, links, and the other inline elements that are left out
     parts: list[str] = []
-    links = linked = at = 0
+    links = linked = shut = within = at = number = 0  # open links, linked characters, open inline elements left out, open articles
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw and not hidden_inline and not (stack and stack[-1][1]):
+        if raw and not (stack and stack[-1].out):
             raw = entities.unescape(raw)
             parts.append(raw)
             linked += len(raw.strip()) if links else 0
@@ -118,10 +171,33 @@ def blocks(page: str) -> list[Block]:
         if parts:
             whole = " ".join("".join(parts).split())
             if whole:
-                out.append(Block(tuple(t for t, _ in stack), whole, linked))
+                open_ = [e for e in stack if not e.inline]
+                inner = open_[-1].number if open_ else 0
+                card = links > 0 and any(e.tag == "a" and e.number < inner for e in stack)
+                out.append(Block(tuple(e.tag for e in open_), whole, linked, tuple(e.number for e in open_), card))
             parts.clear()
         linked = 0
 
+    def begin(tag: str, inline: bool, out_: bool) -> None:
+        nonlocal links, shut, within, number
+        number += 1
+        within += tag in ARTICLES
+        stack.append(Open(tag, out_ or (bool(stack) and stack[-1].out), inline, number))
+        links += tag == "a"
+        shut += inline and tag != "a"
+
+    def end(start: int, stop: int | None = None) -> None:
+        nonlocal links, shut, within
+        for e in stack[start:stop]:
+            within -= e.tag in ARTICLES
+            links -= e.tag == "a"
+            shut -= e.inline and e.tag != "a"
+        del stack[start:stop]
+
+    def place(tag: str) -> int:
+        """The innermost open element of this tag, -1 if there is none."""
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
+
     while True:
         m = TOKEN.search(page, at)
         text(page[at:m.start() if m else len(page)])
@@ -136,46 +212,44 @@ def blocks(page: str) -> list[Block]:
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW and not closing:
             if not attributes.endswith("/") or tag in ("script", "style"):
-                end = re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                close = re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = close.end() if close else len(page)
         elif tag == "br" or tag == "wbr":
-            parts.append(" " if tag == "br" else "")
+            if not (stack and stack[-1].out):
+                parts.append(" " if tag == "br" else "")
         elif tag in INLINE:
             if closing:
-                links -= tag == "a" and links > 0
-                if hidden_inline and hidden_inline[-1] == tag:
-                    hidden_inline.pop()
-            else:
-                links += tag == "a"
-                if hidden_inline or left_out(tag, attributes, stack):
-                    hidden_inline.append(tag)
+                if (i := place(tag)) >= 0 and stack[i].inline:
+                    end(i, i + 1)  # blocks in it may still be open
+            elif tag == "a":
+                if (i := place("a")) >= 0:
+                    end(i, i + 1)  # a link ends where the next begins
+                if re.search(r"\bhref\b", attributes, re.I) or shut or left_out(tag, attributes, within > 0):
+                    begin(tag, True, left_out(tag, attributes, within > 0))
+            elif shut or left_out(tag, attributes, within > 0):
+                begin(tag, True, left_out(tag, attributes, within > 0))
         elif tag in VOID:
             if tag == "hr":
                 flush()
         elif closing:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            hidden_inline.clear()
-            links = 0
+            if (i := place(tag)) >= 0:
+                end(i)
         else:
             flush()
-            links = 0
-            hidden_inline.clear()
-            if stack and stack[-1][0] == "p":  # a paragraph ends where another block begins
-                stack.pop()
+            inner = next((i for i in range(len(stack) - 1, -1, -1) if not stack[i].inline), -1)
+            if inner >= 0 and stack[inner].tag == "p":  # a paragraph ends where another block begins
+                end(inner)
             ended, upto = ENDS.get(tag, ((), ()))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in upto:
+            for i in range(len(stack) - 1, -1, -1) if ended else ():
+                if stack[i].tag in upto:
                     break
-                if stack[i][0] in ended:
-                    del stack[i:]
+                if stack[i].tag in ended:
+                    end(i)
                     break
             if tag == "body":  # whatever the head left open
-                stack[:] = [x for x in stack if x[0] == "html"]
-            stack.append((tag, (bool(stack) and stack[-1][1]) or left_out(tag, attributes, stack)))
+                end(1 if stack and stack[0].tag == "html" else 0)
+            begin(tag, False, left_out(tag, attributes, within > 0))
     flush()
     return out
 
@@ -207,20 +281,69 @@ def home(path: tuple[str, ...]) -> tuple[str, ...]:
     return path[:next((i for i, t in enumerate(path) if t in PARTS), len(path))]
 
 
+def articles(block: Block) -> tuple[int, ...]:
+    """The ``article`` elements around a block, the outermost first."""
+    return tuple(n for t, n in zip(block.path, block.ids) if t == "article")
+
+
+def without_other_articles(found: list[Block]) -> list[Block]:
+    """The blocks without teasers beside the article and comments in it."""
+    score = scores(found)
+    around = [articles(b) for b in found]
+    held: dict[int, float] = {}
+    own: dict[int, float] = {}
+    for b, s, a in zip(found, score, around):
+        if a:
+            held[a[0]] = held.get(a[0], 0) + s * len(b.text)
+            own[a[0]] = own.get(a[0], 0) + s * len(b.text) * (len(a) == 1)
+    first = max(held, key=held.__getitem__, default=0)
+    alone = bool(held) and held[first] >= CONTAINER_SHARE * sum(held.values())
+    return [b for b, a in zip(found, around) if not a or ((a[0] == first or not alone) and (len(a) == 1 or own[a[0]] < OWN_SHARE * held[a[0]]))]
+
+
+def without_comments(found: list[Block]) -> list[Block]:
+    """The blocks without sections that begin with a heading of comments; the
+    heading alone goes if its section has text before it."""
+    out: list[Block] = []
+    ended: tuple[int, ...] | None = None
+    for b in found:
+        if ended is not None and b.ids[:len(ended)] == ended:
+            continue
+        ended = None
+        at = next((i for i, t in enumerate(b.path) if t in HEADINGS), None)
+        if at is not None and COMMENTS.fullmatch(b.text):
+            section = b.ids[:at]
+            if section and not any(x.ids[:at] == section for x in out):
+                ended = section
+            continue
+        out.append(b)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, one a line."""
-    found = blocks(page or "")
+    found = without_comments(blocks(page or ""))
+    found = without_other_articles(found)
+    if any(not b.card for b in found):  # (a link that is never closed goes around all)
+        found = [b for b in found if not b.card or "h1" in b.path]
     if not found:
         return ""
     score = scores(found)
     mass = [s * len(b.text) for s, b in zip(score, found)]
     total = sum(mass)
     homes = [home(b.path) for b in found]
-    held: dict[tuple[str, ...], float] = {}
-    for path, x in zip(homes, mass):
-        for n in range(len(path) + 1):
-            held[path[:n]] = held.get(path[:n], 0) + x
-    container = max((p for p, x in held.items() if x >= CONTAINER_SHARE * total), key=lambda p: (len(p), held[p]))
+    depth, inner = 0, list(zip(homes, mass))
+    while True:  # one child at most holds most of the score
+        held: dict[str, float] = {}
+        for h, x in inner:
+            if len(h) > depth:
+                held[h[depth]] = held.get(h[depth], 0) + x
+        child = max(held, key=held.__getitem__, default=None)
+        if child is None or held[child] < CONTAINER_SHARE * total:
+            break
+        inner = [(h, x) for h, x in inner if len(h) > depth and h[depth] == child]
+        depth += 1
+    container = inner[0][0][:depth]
     container = container[:next((i + 1 for i, t in enumerate(container) if t in ARTICLES), len(container))]
     named = bool(container) and container[-1] in ARTICLES
     depth = len(container)
@@ -248,16 +371,40 @@ def main_text(page: str | None) -> str:
         sums[1] += len(b.text)
         best[h] = max(best.get(h, 0), s)
 
-    def kept(b: Block, g: tuple, h: tuple[str, ...], s: float, heading: str, within: bool) -> bool:
+    def of_links(b: Block, g: tuple) -> bool:
         links, n = shares[g]
-        if not heading and links >= LINK_SHARE * n and b.linked >= LINK_SHARE * len(b.text):
-            return False
+        return links >= LINK_SHARE * n and b.linked >= LINK_SHARE * len(b.text)
+
+    def kept(b: Block, h: tuple[str, ...], s: float, heading: str, within: bool) -> bool:
         part = b.path != h  # not bare text of an element around the container
         if within or h[:len(around)] == around:
             return bool(heading) or h == container or (h == around and part) or "article" in h or best[h] >= least
         return not named and h == container[:len(h)] and part and s >= least
 
-    return "\n".join(b.text for b, g, h, s, x, i in zip(found, groups, homes, score, level, inside) if kept(b, g, h, s, x, i))
+    out: list[str] = []
+    before: Block | None = None  # the heading right before, if the article has one there
+    listed: tuple | None = None  # the run of links that it introduces
+    for b, g, h, s, x, i in zip(found, groups, homes, score, level, inside):
+        if x:
+            if not kept(b, h, s, x, i):
+                before = None
+                continue
+            before, listed = b, None
+            out.append(b.text)
+        elif of_links(b, g):
+            if before and i and named:
+                if ELSEWHERE.fullmatch(before.text):
+                    out.pop()  # a heading of links to elsewhere
+                else:
+                    listed = g
+            before = None
+            if listed == g:
+                out.append(b.text)
+        else:
+            before = listed = None
+            if kept(b, h, s, x, i):
+                out.append(b.text)
+    return "\n".join(out)
 
 
 def extracted(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:

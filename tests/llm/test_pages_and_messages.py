@@ -59,6 +59,64 @@ def test_one_long_part_is_no_container(tag):
     assert htmltext.main_text(page).split("\n") == ["Head", "The lead, in short.", " ".join(" ".join(LONG).split()), "The end, at last."]
 
 
+BODY = f"<h1>Head</h1>{PARAGRAPHS}"
+CARD = "<a href=/x><h3>Another story</h3><p>{}</p></a>"
+TEASER = "<article><h3><a href=/x>Another story</a></h3><p>It is told here, in short; and there, at length.</p></article>"
+
+
+@pytest.mark.parametrize("page, want", {
+    "hidden inline": (f"<article>{BODY}<span hidden><div>Not seen, not said.</div>nor this</span><p>The end, at last.</p></article>", ["Head", *TEXTS, "The end, at last."]),
+    "advert link": (f"<article>{BODY}<a class='advert' href=x><div>Buy it, now!</div></a><p>The end, at last.</p></article>", ["Head", *TEXTS, "The end, at last."]),
+    "cards": (f"<main>{BODY}{CARD.format(LONG[0])}{CARD.format(LONG[1])}</main>", ["Head", *TEXTS]),
+    "teasers in main": (f"<main><article>{BODY}</article>{TEASER}{TEASER}</main>", ["Head", *TEXTS]),
+    "teasers first": (f"<main>{TEASER}<div><article>{BODY}</article></div>{TEASER}</main>", ["Head", *TEXTS]),
+    "cue words of the text": (f"<article>{BODY}<p class='share-price'>The price rose.</p><section id='related-work'><h2>Work</h2><p>Others did, too.</p></section>"
+                              "<p class='comment'>A remark, by the author.</p></article>",
+                              ["Head", *TEXTS, "The price rose.", "Work", "Others did, too.", "A remark, by the author."]),
+    "article's header": (f"<article><div class='header'><h1>Head</h1></div>{PARAGRAPHS}</article>", ["Head", *TEXTS]),
+    "references": (f"<article>{BODY}<h2>References</h2><ol><li><a href=1>A first book</a><li><a href=2>A second book</a></ol></article>",
+                   ["Head", *TEXTS, "References", "A first book", "A second book"]),
+    "related links": (f"<article>{BODY}<h2>Related stories</h2><ul><li><a href=1>A first one</a><li><a href=2>A second one</a></ul></article>", ["Head", *TEXTS]),
+    "comments as articles": (f"<article>{BODY}<section><h2>Comments</h2><article><p>{LONG[0]}</p></article><article><p>I say no, and no.</p></article></section></article>",
+                             ["Head", *TEXTS]),
+    "comments as paragraphs": (f"<article>{BODY}<section><h3>12 comments</h3><p>{LONG[2]}</p></section><p>The end, at last.</p></article>",
+                               ["Head", *TEXTS, "The end, at last."]),
+    "comments beside": (f"<main>{BODY}</main><section><h2>Comments (3)</h2><div><p>{LONG[0]}</p></div></section>", ["Head", *TEXTS]),
+    "parts by class": (f"<div class='mainMenu'><p>{LONG[0]}</p></div><article>{BODY}<div class='social-share'>Tell them, all.</div><p class='ad'>Buy, now!</p>"
+                       f"<ol class='commentlist'><li>{LONG[1]}</li></ol></article><div id=cookie-notice>{LONG[2]}</div>", ["Head", *TEXTS]),
+    "old anchors": (f"<a name=top><article>{BODY}</article>", ["Head", *TEXTS]),
+    "two of a kind": (f"<main><article>{BODY}</article><article>{BODY}</article></main>", ["Head", *TEXTS] * 2),
+}.values())
+def test_parts_of_an_article_and_others(page, want):
+    assert htmltext.main_text(f"<body>{NAV}{page}</body>").split("\n") == want
+
+
+def test_scores_equal_the_formula():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        paths = [("html", "body", *rng.choice(["div", "p", "li", "section"], rng.integers(0, 3))) for _ in range(rng.integers(1, 5))]
+        found = [htmltext.Block(paths[rng.integers(len(paths))], "x, y. z " * rng.integers(1, 30), int(rng.integers(0, 40))) for _ in range(rng.integers(1, 25))]
+
+        def ratio(path):
+            own = [b for b in found if b.path == path]
+            n, chars = len(own), sum(len(b.text) for b in own)
+            marks = sum(b.text.count(",") + b.text.count(".") for b in own)
+            links = sum(min(b.linked, len(b.text)) for b in own)
+            return chars / n * (1 + marks / n) * (1 - links / chars) ** 2
+
+        for i, got in enumerate(htmltext.scores(found)):
+            near = [(np.exp(-0.5 * (i - j) ** 2), ratio(b.path)) for j, b in enumerate(found) if abs(i - j) <= 3]
+            smooth = sum(w * r for w, r in near) / sum(w for w, _ in near)
+            assert np.isclose(got, max(smooth, ratio(found[i].path)))
+
+
+def test_a_very_long_page():
+    many = "".join(f"<p>Paragraph {i}, of a very long page; it goes on.</p>" for i in range(60000))
+    out = htmltext.main_text(f"<nav><a href=1>x</a></nav><article><h1>Head</h1>{many}</article>").split("\n")
+    assert len(out) == 60001 and out[-1] == "Paragraph 59999, of a very long page; it goes on."
+    assert htmltext.main_text("<div>" * 30000 + "deep, deep down." + "</div>" * 30000) == "deep, deep down."
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<html><body></body></html>", "<script>", "</p></div>", "<!--", "<p title='"])
 def test_main_text_of_nothing(page):
     assert htmltext.main_text(page) in ("", "<")
