@@ -55,9 +55,17 @@ def upsert_labels(existing: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new_n)
 
 
-def load_label_json(spark: SparkSession, path: str) -> DataFrame:
-    """SRC4: a JSON object ``{template: label}`` per file -> rows."""
-    raw = spark.read.text(path, wholetext=True)
+def write_label_json(cache: DataFrame, path: str) -> None:
+    """SNK1 as JSON lines: an object ``{template: label}`` on each line, so
+    files of any size split."""
+    cache.select(F.to_json(F.create_map("template", "label")).alias("value")).write.text(path)
+
+
+def load_label_json(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """SRC4: JSON objects ``{template: label}`` -> rows; an object on each line,
+    or, with ``whole_files``, one written over many lines in each file (which
+    then has to fit in a row)."""
+    raw = spark.read.text(path, wholetext=whole_files)
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("template", "label"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.vocab import UNMATCHED
+from logweave.session import cut_lineage
 
 WILDCARD = "<*>"
 KEY = ["log_id", "n_tok", "first_key"]
@@ -74,6 +75,30 @@ def positional_templates(lines: DataFrame, clean_col: str = "clean") -> DataFram
             .select(*KEY, "template", F.col("cnt").cast("long").alias("cnt"), "first_idx"))
 
 
+def best_templates(uniq: DataFrame, templates: DataFrame, clean_col: str = "clean") -> DataFrame:
+    """``(log_id, clean, template)`` of the distinct lines (key and ``clean``)
+    that some template fully matches.
+
+    A template is a mask (the positions of its literals) and a hash of the
+    literals there. A line is probed once for each distinct mask of its key, by
+    an equi-join on (key, mask, hash); literals are compared on a hit only, so
+    a line meets the templates it may match and no others. The best hit is a
+    maximum by aggregation.
+    """
+    t = templates if "cluster_id" in templates.columns else templates.withColumn("cluster_id", F.lit(0))
+    t = t.withColumn("_tok", tokens("template")).where(F.size("_tok") == F.col("n_tok"))
+    t = t.withColumn("_mask", F.filter(F.transform("_tok", lambda x, i: F.when(x != F.lit(WILDCARD), i)), lambda i: i.isNotNull()))
+    literals = F.transform("_mask", lambda i: F.get("_tok", i))
+    t = t.select(*KEY, "_mask", literals.alias("_lit"), F.xxhash64(literals).alias("_hash"), "cluster_id", "template")
+    masks = t.select(*KEY, "_mask").distinct()
+    probes = uniq.select(*KEY, clean_col).withColumn("_tok", tokens(clean_col)).join(masks, KEY)
+    probes = probes.withColumn("_at", F.transform("_mask", lambda i: F.get("_tok", i)))
+    probes = probes.select(*KEY, clean_col, "_mask", "_at", F.xxhash64("_at").alias("_hash"))
+    hits = probes.join(t, [*KEY, "_mask", "_hash"]).where(F.col("_at") == F.col("_lit"))
+    rank = F.struct(F.size("_mask").alias("n"), (-F.col("cluster_id")).alias("c"), F.col("template").alias("t"))
+    return hits.groupBy("log_id", clean_col).agg(F.max(rank)["t"].alias("template"))
+
+
 def match_templates(lines: DataFrame, templates: DataFrame, clean_col: str = "clean") -> DataFrame:
     """M2 + M3: give each line the final template that fully matches it.
 
@@ -81,25 +106,14 @@ def match_templates(lines: DataFrame, templates: DataFrame, clean_col: str = "cl
     or the M1a shape (one template per key). A template matches when every
     position is equal or ``<*>``; among matches the one with most literal
     tokens wins, then the lowest cluster id. Lines without a match get
-    ``UNMATCHED``. The join is an equi-join on the key; its build side holds
-    templates, not lines.
+    ``UNMATCHED``. Distinct lines are matched (:func:`best_templates`); the
+    written result is joined to the lines, so that a line repeated all over a
+    log is split over tasks.
     """
-    keyed = with_key(lines, clean_col)
-    t = templates
-    if "cluster_id" not in t.columns:
-        t = t.withColumn("cluster_id", F.lit(0))
-    t = t.select(*KEY, "cluster_id", "template",
-                 F.when(F.col("template") == "", F.array().cast("array<string>"))
-                 .otherwise(F.split("template", " ")).alias("ttok"))
-    cand = keyed.join(t, KEY, "left")
-    full = F.forall(F.zip_with("tokens", "ttok", lambda a, b: (b == F.lit(WILDCARD)) | (a == b)), lambda x: x)
-    literal = F.size(F.filter("ttok", lambda x: x != F.lit(WILDCARD)))
-    ok = F.col("template").isNotNull() & (F.size("ttok") == F.col("n_tok")) & full
-    cand = cand.withColumn("_ok", ok).withColumn("_lit", F.when(ok, literal).otherwise(F.lit(-1)))
-    w = Window.partitionBy("log_id", "line_no").orderBy(F.desc("_ok"), F.desc("_lit"), "cluster_id")
-    best = cand.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    out_cols = [c for c in lines.columns]
-    return best.select(*out_cols, F.when(F.col("_ok"), F.col("template")).otherwise(F.lit(UNMATCHED)).alias("template"))
+    uniq = with_key(lines, clean_col).select(*KEY, clean_col).distinct()
+    best = cut_lineage(best_templates(uniq, templates, clean_col))
+    return (lines.join(best, ["log_id", clean_col], "left")
+            .select(*lines.columns, F.coalesce("template", F.lit(UNMATCHED)).alias("template")))
 
 
 def template_freq(matched: DataFrame) -> DataFrame:
@@ -123,6 +137,20 @@ def mine_positional(lines: DataFrame, clean_col: str = "clean") -> DataFrame:
     return with_line_counts(template_counts(lines, clean_col))
 
 
+def mine_similarity(lines: DataFrame, clean_col: str = "clean", trained: DataFrame | None = None) -> DataFrame:
+    """M1b -> M2/M3 -> M4: the templates are trained over the whole log, frozen
+    (written), and every line is matched to the final ones; counts per log.
+    ``trained`` gives templates of an earlier run. Distinct lines carry their
+    counts through, so no line is joined."""
+    uniq = cut_lineage(distinct_lines(with_key(lines, clean_col), clean_col).drop("tokens"))
+    frozen = cut_lineage(_drain_distinct(uniq, clean_col)) if trained is None else trained
+    best = best_templates(uniq, frozen, clean_col)
+    freq = (uniq.join(best, ["log_id", clean_col], "left")
+            .groupBy("log_id", F.coalesce("template", F.lit(UNMATCHED)).alias("template"))
+            .agg(F.sum("cnt").alias("cnt"), F.min("first_line").alias("first_idx")))
+    return with_line_counts(cut_lineage(freq))
+
+
 def template_counts(lines: DataFrame, clean_col: str = "clean") -> DataFrame:
     """M1a -> M4/M5 without N: ``(log_id, template, cnt, first_idx)``."""
     tm = positional_templates(lines, clean_col)
@@ -145,34 +173,52 @@ def with_line_counts(freq: DataFrame) -> DataFrame:
 SIM_THRESHOLD = 0.4  # fixed value: similarity threshold of the reference miner
 
 
-def _cluster_sequence(token_lists) -> list[list[str]]:
-    """Sequential similarity clustering of token lists (in the given order)."""
-    clusters: list[list[str]] = []
-    for toks in token_lists:
-        clusters = _cluster_sequence_step(clusters, list(toks))
-    return clusters
-
-
 CHUNK_LINES = 50000  # distinct lines taken into Python at a time
 
 
-def _cluster_sequence_step(clusters: list[list[str]], toks: list[str]) -> list[list[str]]:
-    """Add one token list: it joins the most similar cluster when (equal
-    non-wildcard tokens / length) >= threshold (ties: more wildcards, then
-    older cluster), which then wildcards every differing position; otherwise
-    it founds a new cluster."""
-    best, best_sim, best_params = -1, -1.0, -1
-    for cid, tmpl in enumerate(clusters):
-        eq = sum(1 for a, b in zip(tmpl, toks) if a != WILDCARD and a == b)
-        params = sum(1 for a in tmpl if a == WILDCARD)
-        sim = eq / len(toks) if toks else 1.0
-        if sim > best_sim or (sim == best_sim and params > best_params):
-            best, best_sim, best_params = cid, sim, params
-    if best >= 0 and best_sim >= SIM_THRESHOLD:
-        clusters[best] = [a if a == b else WILDCARD for a, b in zip(clusters[best], toks)]
-    else:
-        clusters.append(toks)
-    return clusters
+class SimilarityClusters:
+    """The clusters of one key group, fed line by line.
+
+    A line joins the most similar cluster when (equal non-wildcard tokens /
+    length) reaches the threshold (ties: more wildcards, then the older
+    cluster), which then wildcards every differing position; otherwise it
+    founds a new one.
+
+    ``postings`` has the clusters that hold a token at a position. A cluster
+    similar enough shares at least ``need`` of a line's n tokens, hence at
+    least one of any n - need + 1 of them: only the clusters in the shortest so
+    many posting lists are compared with the line."""
+
+    def __init__(self, n_tok: int):
+        self.need = next(k for k in range(n_tok + 1) if n_tok == 0 or k / n_tok >= SIM_THRESHOLD)
+        self.templates: list[list[str]] = []
+        self.wildcards: list[int] = []
+        self.postings: list[dict[str, set[int]]] = [{} for _ in range(n_tok)]
+
+    def add(self, toks: list[str]) -> None:
+        if not toks:
+            self.templates = [[]]
+            return
+        lists = sorted((p.get(t, ()) for p, t in zip(self.postings, toks)), key=len)
+        near = set().union(*lists[:len(toks) - self.need + 1])
+        best = max(((self.equal(c, toks), self.wildcards[c], -c) for c in near), default=(0, 0, 0))
+        if best[0] < self.need:
+            self.templates.append(toks)
+            self.wildcards.append(sum(t == WILDCARD for t in toks))
+            for p, t in zip(self.postings, toks):
+                if t != WILDCARD:
+                    p.setdefault(t, set()).add(len(self.templates) - 1)
+            return
+        cluster = -best[2]
+        template = self.templates[cluster]
+        for i, (old, new) in enumerate(zip(template, toks)):
+            if old != new and old != WILDCARD:
+                self.postings[i][old].discard(cluster)
+                template[i] = WILDCARD
+                self.wildcards[cluster] += 1
+
+    def equal(self, cluster: int, toks: list[str]) -> int:
+        return sum(a == b != WILDCARD for a, b in zip(self.templates[cluster], toks))
 
 
 def _drain_sorted(batches: Iterator[pa.RecordBatch], chunk_lines: int) -> Iterator[pa.RecordBatch]:
@@ -185,18 +231,18 @@ def _drain_sorted(batches: Iterator[pa.RecordBatch], chunk_lines: int) -> Iterat
              pa.array(range(n), pa.int32()), pa.array([" ".join(c) for c in clusters], pa.string())],
             names=[*KEY, "cluster_id", "template"])
 
-    key, clusters = None, []
+    key, clusters = None, None
     for batch in batches:
         for at in range(0, batch.num_rows, chunk_lines):
             part = batch.slice(at, chunk_lines)
             for *own, toks in zip(*(part.column(c).to_pylist() for c in [*KEY, "tokens"])):
                 if own != key:
                     if clusters:
-                        yield templates_of(key, clusters)
-                    key, clusters = own, []
-                clusters = _cluster_sequence_step(clusters, toks)
+                        yield templates_of(key, clusters.templates)
+                    key, clusters = own, SimilarityClusters(len(toks))
+                clusters.add(toks)
     if clusters:
-        yield templates_of(key, clusters)
+        yield templates_of(key, clusters.templates)
 
 
 def drain_templates(lines: DataFrame, clean_col: str = "clean", chunk_lines: int = CHUNK_LINES) -> DataFrame:
@@ -206,10 +252,15 @@ def drain_templates(lines: DataFrame, clean_col: str = "clean", chunk_lines: int
     group are sorted by first appearance and clustered in that order, as a
     stream: a task holds the templates of one group and ``chunk_lines`` lines,
     whatever the size of the group, and the result is that of the sequential
-    rule. The rule depends on the order, so one group is one task's work.
+    rule. A line is compared with the clusters that share rare tokens with it
+    only, so the time grows with the distinct lines. The rule depends on the
+    order, so one group is one task's work.
     """
-    uniq = distinct_lines(with_key(lines, clean_col), clean_col)
-    ordered = (uniq.repartition(*KEY).sortWithinPartitions(*KEY, "first_line", clean_col)
-               .select(*KEY, "tokens"))
+    return _drain_distinct(distinct_lines(with_key(lines, clean_col), clean_col), clean_col, chunk_lines)
+
+
+def _drain_distinct(uniq: DataFrame, clean_col: str, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    ordered = (uniq.select(*KEY, "first_line", clean_col).repartition(*KEY).sortWithinPartitions(*KEY, "first_line", clean_col)
+               .select(*KEY, tokens(clean_col).alias("tokens")))
     schema = "log_id string, n_tok int, first_key string, cluster_id int, template string"
     return ordered.mapInArrow(lambda batches: _drain_sorted(batches, chunk_lines), schema)

@@ -136,6 +136,19 @@ def q_scan_log_lines(spark, d):
     return doc_lines(spark, d).select("log_id", "line_no", "raw")
 
 
+@query("scan_log_files", S.DOC_LINES)
+def q_scan_log_files(spark, d):
+    """SRC1 from real files: the documents written as a folder of text files
+    for each source, scanned split by split, lines numbered across them."""
+    import uuid
+
+    from logweave.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logs/{uuid.uuid4().hex}"
+    logs.write_text_logs(table(spark, d, "documents"), path, "source", "doc_id", "text")
+    return logs.scan_text_logs(spark, path, log="folder")
+
+
 @query("clean_lines", f"SELECT log_id, line_no, raw, clean FROM ({S.EVENT_LINES}) e")
 def q_clean_lines(spark, d):
     """F2-F8 on the rendered (noisy) event log."""
@@ -1349,9 +1362,7 @@ def q_log_text_fallback(spark, d):
     main log wherever it exists."""
     main = doc_segments(spark, d)
     en = table(spark, d, "documents").where(F.col("lang") == "en").select(F.col("doc_id").cast("long").alias("seg"))
-    sec = main.join(en, "seg", "left_semi")
-    out = sec.unionByName(main.join(sec.select("log_id").distinct(), "log_id", "left_anti"))
-    return out.select("log_id", "seg", "text")
+    return logs.with_fallback(main, main.join(en, "seg", "left_semi")).select("log_id", "seg", "text")
 
 
 @query("write_artifacts", MODES_SQL)
@@ -1388,12 +1399,39 @@ def q_drain_templates(spark, d):
     return drain_tm(spark, d)
 
 
+@shared(materialize=True)
+def similarity_freq(spark, d):
+    """Train (M1b), freeze, match (M2/M3), count (M4-M6) on the event log."""
+    return templates.mine_similarity(event_lines(spark, d).select("log_id", "line_no", "clean"), trained=drain_tm(spark, d))
+
+
 @query("drain_freq")
 def q_drain_freq(spark, d):
     """M2/M3/M4 over the M1b templates: every line matched to its best fully
     matching template, then counted."""
-    m = templates.match_templates(event_lines(spark, d).select("log_id", "line_no", "clean"), drain_tm(spark, d))
-    return templates.template_freq(m)
+    return similarity_freq(spark, d)
+
+
+@query("similarity_static_scores")
+def q_similarity_static_scores(spark, d):
+    """S1/S2/S4/S5/S8/S10 over the similarity miner, as the reference's miner
+    scores: train, freeze, match, rank."""
+    s = scoring.static_scores(similarity_freq(spark, d))
+    return s.select("log_id", F.col("rank").cast("int"), "template", "cnt", "first_idx", "sig", r6("score").alias("score"))
+
+
+@query("similarity_dynamic_scores")
+def q_similarity_dynamic_scores(spark, d):
+    """S3/S6/S7/S11 over the similarity miner: its unlabelled templates get
+    rule labels, the words are learned from the cache, then scores."""
+    from logweave.session import cut_lineage
+
+    freq = similarity_freq(spark, d)
+    existing = label_ops.labels_from_documents(table(spark, d, "documents"), table(spark, d, "labels"))
+    delta = label_ops.unlabelled_templates(freq, existing)
+    cache = cut_lineage(label_ops.upsert_labels(existing, label_ops.rule_labels(delta.select("template").distinct())))
+    s = scoring.dynamic_scores(freq, chi2_ops.learned_words(cache), cache)
+    return s.select("log_id", F.col("rank").cast("int"), "template", "cnt", "first_idx", "dsig", "weight", r6("score").alias("score"))
 
 
 @query("stem_vocab")
@@ -1460,20 +1498,15 @@ def q_list_sources(spark, d):
 
 @query("load_labels", CACHE_SQL)
 def q_load_labels(spark, d):
-    """SRC4: the label cache written as JSON objects ``{template: label}``
-    (one bounded object per hash bucket) and read back."""
+    """SRC4: the label cache written as JSON lines ``{template: label}`` and
+    read back."""
     import uuid
 
-    from logweave.operators.labels import load_label_json
     from logweave.session import ensure_checkpoint_dir
 
-    cache = label_cache(spark, d)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/labels/{uuid.uuid4().hex}"
-    buckets = max(1, -(-cache.count() // 5000))  # about 5000 labels per JSON object
-    (cache.withColumn("_b", F.pmod(F.xxhash64("template"), F.lit(buckets)))
-     .groupBy("_b").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("template", "label")))).alias("value"))
-     .repartition(buckets, "_b").select("value").write.text(path))
-    return load_label_json(spark, path)
+    label_ops.write_label_json(label_cache(spark, d), path)
+    return label_ops.load_label_json(spark, path)
 
 
 @query("embed_chunks")

@@ -2,7 +2,8 @@
 optional markdown corpus, all modes at once - the Spark form of running the
 reference's per-mode scripts on a log file, for any number of logs.
 
-Returns lazily-built DataFrames; nothing is collected.
+Cleaned lines and template counts are written to the shared folder once; the
+results are lazily built on them, and nothing is collected.
 """
 
 from __future__ import annotations
@@ -13,20 +14,25 @@ from pyspark.sql import functions as F
 from logweave.functions.text import fix_heading_line
 from logweave.operators import chi2, chunking, clusters, labels, retrieval, scoring, templates
 from logweave.plans import modes
+from logweave.session import cut_lineage
 from logweave.sources import corpus, logs
 
 
 def analyze_log_files(spark: SparkSession, log_path: str, corpus_path: str | None = None,
-                      label_cache: DataFrame | None = None) -> dict[str, DataFrame]:
+                      label_cache: DataFrame | None = None, miner: str = "similarity") -> dict[str, DataFrame]:
     """Mine, score and explain every log under ``log_path``.
 
+    ``miner`` is ``"similarity"`` (M1b: trained on the log, frozen, every line
+    matched) or ``"positional"`` (M1a: one template per key, no Python).
+
     ``label_cache`` (template, label) is an existing cache (SRC4); new
     templates get rule labels (L3) and are upserted (SNK1). With
     ``corpus_path`` the markdown files are repaired, sectioned, filtered and
     chunked, and each (log, mode) retrieval query gets its BM25 context.
     """
     lines = logs.with_clean(logs.scan_text_logs(spark, log_path, policy="empty"))
-    freq = templates.mine_positional(lines)
+    lines = cut_lineage(lines)  # cleaned once for training, matching, clustering and the log text
+    freq = cut_lineage(templates.mine_similarity(lines) if miner == "similarity" else templates.mine_positional(lines))
     static = scoring.static_scores(freq)
     empty = spark.range(0).select(F.lit("").alias("template"), F.lit("").alias("label"))
     existing = label_cache if label_cache is not None else empty
@@ -45,7 +51,7 @@ def analyze_log_files(spark: SparkSession, log_path: str, corpus_path: str | Non
     all_modes = modes.run_all_modes(lines.select("log_id").distinct(), ev, translated)
     out = {"lines": lines, "template_freq": freq, "static_scores": static, "label_cache": cache,
            "learned_words": learned, "dynamic_scores": dynamic, "rare_clusters": rare, "modes": all_modes,
-           "segments": logs.log_segments(lines.withColumn("seg", F.lit(0).cast("long")))}
+           "segments": logs.line_segments(lines)}
     if corpus_path is None:
         no_ctx = all_modes.select("log_id", "mode", F.lit(None).cast("string").alias("context")).where(F.lit(False))
         out["prompts"] = modes.build_prompts(all_modes, no_ctx)

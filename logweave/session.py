@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(master: str | None = None, app: str = "logweave",
@@ -27,6 +28,8 @@ def get_session(master: str | None = None, app: str = "logweave",
         if master.startswith("local"):
             # local mode: the driver JVM is the only executor
             builder = builder.config("spark.driver.memory", os.environ.get("LOGWEAVE_DRIVER_MEMORY", "16g"))
+            # the given tables are single files of one row group: deal their rows out (see sources.tables)
+            builder = builder.config("spark.logweave.scanPartitions", str(os.cpu_count() or 1))
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
@@ -98,6 +101,17 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+#: Largest side that is broadcast on purpose.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_below(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a written table, so counting is a read of footers) marked for
+    broadcasting while its rows of at most ``row_bytes`` stay below ``most``
+    bytes; beyond that the same join shuffles. Both give the same rows."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize ``df`` as a parquet table in the shared checkpoint folder
     and continue from it. One computation (an RDD checkpoint would compute

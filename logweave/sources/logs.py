@@ -11,11 +11,12 @@ Blank-line policies (the reference has three):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import WS, clean_line, is_blank
 from logweave.operators.ordering import dense_number, exclusive_prefix
+from logweave.session import broadcast_below, cut_lineage
 
 DOC_BUCKET = 4096  # documents per numbering bucket (bounds each window partition)
 
@@ -45,7 +46,17 @@ def count_lines(text_col, policy: str = "empty"):
     return F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
 
 
-POS_BITS = 24  # ordinal key = seg * 2^24 + position (a segment holds < 16.7M lines)
+#: Ordinal key of a line = segment * POS_STEP + place in the segment. A row's lines are an array, which Spark ends below 2^31 elements,
+#: and a decimal of 38 digits holds every product with a 64-bit segment, so keys of two segments never meet.
+POS_STEP = 1 << 31
+ORDINAL = "decimal(38,0)"
+#: Lines in a segment of a log file's text.
+SEGMENT_LINES = 4096
+
+
+def ordinal(seg: Column) -> Column:
+    """The ordinal key of a segment's first line."""
+    return (seg.cast("decimal(20,0)") * F.lit(POS_STEP).cast("decimal(11,0)")).cast(ORDINAL)
 
 
 def segment_offsets(texts: DataFrame, log_col: str, order_col: str, text_col: str,
@@ -68,9 +79,10 @@ def lines_from_texts(texts: DataFrame, log_col: str, order_col: str, text_col: s
     ``order_col``. With ``dense=True`` line numbers are 0-based and continue
     across segments (this joins the narrow per-segment offsets onto the
     lines). With ``dense=False`` ``line_no`` is the ordinal key
-    ``seg * 2^24 + position``: same order, no join, no shuffle of text;
-    operators that need a dense number for a few rows (e.g. a template's
-    first line) convert it later with ``densify``.
+    ``seg * 2^31 + position`` (a decimal, which aggregates as a number does):
+    same order, no join, no shuffle of text; operators that need a dense
+    number for a few rows (e.g. a template's first line) convert it later with
+    ``densify``.
     """
     segs = texts.select(F.coalesce(F.col(log_col).cast("string"), F.lit("unknown")).alias("log_id"),
                         F.col(order_col).cast("long").alias("seg"),
@@ -78,10 +90,9 @@ def lines_from_texts(texts: DataFrame, log_col: str, order_col: str, text_col: s
     if not dense:
         # *_outer generators: Spark infers no "size(array) > 0" filter for them,
         # which it would push into the scan and so split every text twice
-        return (segs.select("log_id", "seg", F.posexplode_outer("_lines").alias("_pos", "raw"))
+        return (segs.select("log_id", "seg", ordinal(F.col("seg")).alias("_base"), F.posexplode_outer("_lines").alias("_pos", "raw"))
                 .where(F.col("raw").isNotNull())
-                .select("log_id", "seg", (F.shiftleft(F.col("seg"), POS_BITS) + F.col("_pos")).alias("line_no"),
-                        "raw"))
+                .select("log_id", "seg", (F.col("_base") + F.col("_pos")).cast(ORDINAL).alias("line_no"), "raw"))
     offsets = segment_offsets(texts, log_col, order_col, text_col, policy).select("log_id", "seg", "offset")
     return (segs.join(offsets, ["log_id", "seg"])
             .select("log_id", "seg", F.posexplode_outer("_lines").alias("_pos", "raw"), "offset")
@@ -93,22 +104,60 @@ def densify(df: DataFrame, col: str, offsets: DataFrame) -> DataFrame:
     """Turn ordinal keys in ``col`` (see ``lines_from_texts``) into dense
     line numbers by an equi-join with the per-segment offsets; ``df`` is a
     small per-template table, never the lines."""
-    mask = (1 << POS_BITS) - 1
-    t = df.withColumn("_seg", F.shiftright(F.col(col), POS_BITS)).withColumn("_pos", F.col(col).bitwiseAND(F.lit(mask)))
+    pos = F.pmod(F.col(col), F.lit(POS_STEP).cast(ORDINAL))
+    seg = ((F.col(col) - F.col("_pos")) / F.lit(POS_STEP).cast("decimal(11,0)")).cast("long")
+    t = df.withColumn("_pos", pos.cast("long")).withColumn("_seg", seg)
     o = offsets.select("log_id", F.col("seg").alias("_seg"), F.col("offset").alias("_off"))
     return (t.join(o, ["log_id", "_seg"], "left")
             .withColumn(col, F.col("_off") + F.col("_pos")).drop("_seg", "_pos", "_off"))
 
 
-def scan_text_logs(spark: SparkSession, path: str, policy: str = "empty") -> DataFrame:
-    """SRC1 for real log files: one row per file (``wholetext``), log_id = file
-    name without extension. Splitting happens in the row, so a file's line
-    order never depends on how Spark splits input."""
-    raw = (spark.read.text(path, wholetext=True)
-           .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("log_id"),
-                   F.col("value")))
-    lines = raw.select("log_id", F.posexplode(split_lines(F.col("value"), policy)).alias("line_no", "raw"))
-    return lines.select("log_id", F.col("line_no").cast("long"), "raw")
+def scan_text_logs(spark: SparkSession, path: str, policy: str = "empty", log: str = "file") -> DataFrame:
+    """SRC1 for real log files, ``(log_id, line_no, raw)``; a file of any size
+    is read by as many tasks as it has splits.
+
+    Kept lines are counted per (file, split); a prefix sum over a log's splits
+    gives each split's first number, which is added to a line's place in its
+    split. A log is a file (``log="file"``, its id the name without
+    extension), or a folder of rotated files (``log="folder"``: the id is the
+    folder's name, files come in order of the first number in their names,
+    then by name; folders ``log_id=...`` name it as Spark writes them).
+
+    Both passes read the same splits in the same order; a line whose place lies
+    outside its split (a file that changed in between) stops the query.
+    """
+    reader = spark.read.option("lineSep", "\n")
+    if log == "folder":
+        reader = reader.schema("value string, log_id string")
+    elif log != "file":
+        raise ValueError(f"a log is a file or a folder, not {log!r}")
+    raw = reader.text(path)
+    file = F.col("_metadata.file_path")
+    name = F.regexp_extract(file, r"([^/]+)$", 1)
+    rows = raw.select(file.alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.coalesce("value", F.lit("")).alias("raw"),
+                      (F.coalesce("log_id", F.lit("unknown")) if log == "folder" else F.regexp_extract(name, r"(.+?)(\.[^.]*)?$", 1)).alias("log_id"))
+    rows = rows.where(_keep(policy)(F.col("raw"))).withColumn("_n", F.monotonically_increasing_id())
+    splits = cut_lineage(rows.groupBy("log_id", "_file", "_start").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_lines")))
+    # a log's splits in order: a row for each split of the input
+    number = F.regexp_extract(F.regexp_extract("_file", r"([^/]+)$", 1), r"([0-9]+)", 1).try_cast("decimal(38,0)")
+    before = Window.partitionBy("log_id").orderBy(number.asc_nulls_last(), "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = cut_lineage(splits.select(F.xxhash64("_file").alias("_a"), F.hash("_file").alias("_b"), "_start", "_first", "_lines",
+                                       F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset")))
+    lines = rows.withColumns({"_a": F.xxhash64("_file"), "_b": F.hash("_file")}).join(broadcast_below(splits, 64), ["_a", "_b", "_start"])
+    place = F.col("_n") - F.col("_first")
+    inside = (place >= 0) & (place < F.col("_lines"))
+    number = F.when(inside, F.col("_offset") + place).otherwise(F.raise_error(F.lit("a log file changed while it was read")).cast("bigint"))
+    return lines.select("log_id", number.alias("line_no"), "raw")
+
+
+def write_text_logs(texts: DataFrame, path: str, log_col: str, order_col: str, text_col: str) -> None:
+    """Write texts as log files, a folder ``log_id=...`` for each log, whose
+    files' numbers follow the order: what ``scan_text_logs`` reads with
+    ``log="folder"``. A log of any size spans as many files as its texts need."""
+    t = texts.select(F.coalesce(F.col(log_col).cast("string"), F.lit("unknown")).alias("log_id"), F.col(order_col).alias("_order"),
+                     F.coalesce(text_col, F.lit("")).alias("value"))
+    t = t.repartitionByRange("log_id", "_order").sortWithinPartitions("log_id", "_order")
+    t.select("log_id", "value").write.option("maxRecordsPerFile", 0).partitionBy("log_id").text(path)
 
 
 def with_clean(lines: DataFrame) -> DataFrame:
@@ -134,12 +183,18 @@ def log_segments(lines: DataFrame, text_col: str = "clean") -> DataFrame:
                                           lambda s: s[text_col]), "\n").alias("text")))
 
 
-def with_fallback(main: DataFrame, secondary: DataFrame, key: str = "log_id",
-                  text_col: str = "text") -> DataFrame:
-    """SRC6: take the secondary text where one exists for the key, else main."""
-    s = secondary.select(key, F.col(text_col).alias("_sec"))
-    return (main.join(s, key, "left")
-            .withColumn(text_col, F.coalesce(F.col("_sec"), F.col(text_col))).drop("_sec"))
+def line_segments(lines: DataFrame, size: int = SEGMENT_LINES, text_col: str = "clean") -> DataFrame:
+    """SRC2 for logs without segments of their own: ``size`` consecutive lines
+    make a segment, so no row holds a whole log."""
+    return log_segments(lines.withColumn("seg", F.expr(f"line_no div {size}")), text_col)
+
+
+def with_fallback(main: DataFrame, secondary: DataFrame, key: str = "log_id") -> DataFrame:
+    """SRC6: the rows of the secondary log where one exists for the key, else
+    those of the main log. (Rows are segments or lines; only the distinct keys
+    of the secondary log take part in the join.)"""
+    found = secondary.select(key).distinct()
+    return secondary.select(main.columns).unionByName(main.join(found, key, "left_anti").select(main.columns))
 
 
 # --------------------------------------------------------------------------

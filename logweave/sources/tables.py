@@ -10,18 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Read ``root/name.parquet``.
 
-    A large table arrives in many file splits, one task each. A table that
-    is a single small file (one row group) scans in one task, which would
-    serialise every narrow stage after it; such a scan is spread round-robin
-    over the default parallelism. The check only looks at the planned split
-    count, so big inputs never pay for the extra exchange.
+    ``spark.logweave.scanPartitions`` (unset unless a user or a local session
+    of ``get_session`` sets it) deals the rows of every scan out to so many
+    tasks: of use for tables that are one file of one row group, whose scan is
+    one task. It depends on nothing but the setting.
     """
-    path = os.path.join(root, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    try:
-        want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
-            df = df.repartition(want)
-    except Exception:  # noqa: BLE001 - e.g. a remote (Connect) session without RDD access
-        pass
-    return df
+    df = spark.read.parquet(os.path.join(root, f"{name}.parquet"))
+    tasks = int(spark.conf.get("spark.logweave.scanPartitions", "0"))
+    return df.repartition(tasks) if tasks > 0 else df

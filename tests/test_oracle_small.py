@@ -96,3 +96,32 @@ def test_rows_only_vectors_and_listing(spark):
     cl = q["cluster_lines"](spark, SF)
     assert cl.count() == q["clean_lines"](spark, SF).count()
     assert cl.select("cluster").distinct().count() <= 15
+
+
+def test_similarity_miner_queries_against_sequential_rule(spark):
+    """Train in line order, freeze, match every line to the template with most literals."""
+    import __spark_entry__ as E
+    from test_mining import sequential_clusters
+
+    q = E.queries()
+    groups, logs = {}, {}
+    for r in q["clean_lines"](spark, SF).orderBy("log_id", "line_no").collect():
+        toks = r.clean.split(" ") if r.clean else []
+        key = (r.log_id, len(toks), "<*>" if toks and any(c in "0123456789" for c in toks[0]) else toks[0] if toks else "")
+        groups.setdefault(key, {}).setdefault(tuple(toks), None)
+        logs.setdefault(r.log_id, []).append((key, toks, r.line_no))
+    clusters = {k: sequential_clusters(list(map(list, lines))) for k, lines in groups.items()}
+    want = {}
+    for log, lines in logs.items():
+        for key, toks, n in lines:
+            fits = [(sum(a != "<*>" for a in c), -i, " ".join(c)) for i, c in enumerate(clusters[key]) if all(a in ("<*>", b) for a, b in zip(c, toks))]
+            at = want.setdefault((log, max(fits)[2] if fits else "UNMATCHED"), [0, n, len(lines)])
+            at[0] += 1
+    got = {(r.log_id, r.template): [r.cnt, r.first_idx, r.n_lines] for r in q["drain_freq"](spark, SF).collect()}
+    assert got == want
+    scored = q["similarity_static_scores"](spark, SF).collect()
+    assert {(r.log_id, r.template) for r in scored} == set(want)
+    for r in scored:
+        cnt, first, n = want[r.log_id, r.template]
+        assert abs(r.score - (1 - cnt / n) * (r.sig + 1) * (1 + 1 - first / n)) < 1e-5
+    assert {(r.log_id, r.template) for r in q["similarity_dynamic_scores"](spark, SF).collect()} == set(want)
