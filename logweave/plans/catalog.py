@@ -1481,10 +1481,10 @@ def q_project_2d(spark, d):
 
 @query("stream_nack_streak", NACK_SQL)
 def q_stream_nack_streak(spark, d):
-    """NACK streaks computed by a Structured Streaming job with keyed
-    state (availableNow over the events files); equals ``nack_streak``."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return nack_stream.run_available(spark, d, schema, file_glob="events.parquet")
+    """NACK streaks by a Structured Streaming job with keyed event-time
+    state, over the events as they might have come in: several appends, each
+    event late by a time of its own; equals ``nack_streak``."""
+    return nack_stream.replay(spark, table(spark, d, "events"))
 
 
 @query("list_sources")

@@ -1,63 +1,142 @@
-"""Consecutive-NACK counter on a live stream.
+"""Consecutive-NACK counter on a live stream, in event time.
 
-Per key (RNTI / user) one integer of state: NACK adds one, ACK resets to
-zero, other events pass by. Within a micro-batch a key's events are applied
-in event-time order; across micro-batches the state carries the count. The
-result equals the batch operator ``sequences.nack_streak`` when events of a
-key arrive in order.
+Per key (RNTI / user) NACK adds one, ACK resets to zero, other events pass by.
+Events may arrive late and out of order, across files and micro-batches: each
+waits in the key's state until the watermark (the latest time stamp seen, less
+``delay``) has passed it; a timer then takes the waiting events up to there in
+order of (time, id) and carries the count on. The result equals the batch
+operator ``sequences.nack_streak`` for all events that come within ``delay``;
+later ones are dropped by the watermark, as in any windowed stream.
+
+A key's state is its count and the events of the last ``delay``, kept in
+RocksDB: waiting events are keyed by time slice, so that a timer reads the
+slices that are due and not all that wait.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logweave.operators.sequences import STREAK_LIMIT
-from logweave.session import ensure_checkpoint_dir
+from logweave.session import cut_lineage, ensure_checkpoint_dir
 
 OUTPUT_SCHEMA = "user_id long, event_id long, streak long, exhausted boolean"
-STATE_SCHEMA = "streak long"
-
-
-def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    streak = state.get[0] if state.exists else 0
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    out_ids, out_streak = [], []
-    for ev_id, kind in zip(pdf["event_id"], pdf["event_type"]):
-        if kind == "error":
-            streak += 1
-            out_ids.append(int(ev_id))
-            out_streak.append(streak)
-        elif kind == "purchase":
-            streak = 0
-    state.update((streak,))
-    if out_ids:
-        yield pd.DataFrame({"user_id": key[0], "event_id": out_ids, "streak": out_streak,
-                            "exhausted": [s >= STREAK_LIMIT for s in out_streak]})
-
-
-def nack_streak_stream(events_stream: DataFrame) -> DataFrame:
+#: How long an event waits for earlier ones.
+DELAY = "1 hour"
+#: Milliseconds of event time whose waiting events are one entry of the state, and one timer.
+SLICE_MS = 60_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def streaks(limit: int = STREAK_LIMIT, slice_ms: int = SLICE_MS) -> StatefulProcessor:
+    """The state machine of a key. (A class of its own for each call, which is
+    sent whole: the driver's worker that sets up the state can't import from
+    the archives that executors get.)"""
+    class Streaks(StatefulProcessor):
+        """One key."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.streak = handle.getValueState("streak", "n long")
+            self.waiting = handle.getMapState("waiting", "slice long", "ts array<long>, event_id array<long>, nack array<boolean>")
+
+        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+            for pdf in rows:
+                for number, part in pdf.groupby(pdf["us"] // (slice_ms * 1000)):
+                    more = tuple(part[c].tolist() for c in ("us", "event_id", "nack"))
+                    slot = (int(number),)
+                    if self.waiting.containsKey(slot):
+                        more = tuple(list(old) + new for old, new in zip(self.waiting.getValue(slot), more))
+                    else:
+                        self.handle.registerTimer((slot[0] + 1) * slice_ms)  # when the slice is over
+                    self.waiting.updateValue(slot, more)
+            return iter(())
+
+        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+            slot = (expiredTimerInfo.getExpiryTimeInMs() // slice_ms - 1,)
+            if not self.waiting.containsKey(slot):
+                return
+            streak = self.streak.get()[0] if self.streak.exists() else 0
+            found: list[tuple[int, int]] = []
+            for _, event_id, nack in sorted(zip(*self.waiting.getValue(slot))):
+                streak = streak + 1 if nack else 0
+                if nack:
+                    found.append((event_id, streak))
+            self.waiting.removeKey(slot)
+            self.streak.update((streak,))
+            if found:
+                ids, streaks = zip(*found)
+                yield pd.DataFrame({"user_id": key[0], "event_id": ids, "streak": streaks, "exhausted": [s >= limit for s in streaks]})
+
+        def close(self) -> None:
+            pass
+
+    return Streaks()
+
+
+def nack_streak_stream(events_stream: DataFrame, delay: str = DELAY) -> DataFrame:
     """Streaming DataFrame of NACK rows with their running streak."""
-    fb = events_stream.where(F.col("event_type").isin("error", "purchase")).select(
-        "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return fb.groupBy("user_id").applyInPandasWithState(
-        _update, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    fb = (events_stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+          .withWatermark("ts", delay).where(F.col("event_type").isin("error", "purchase")))
+    fb = fb.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"), (F.col("event_type") == "error").alias("nack"))
+    return fb.groupBy("user_id").transformWithStateInPandas(streaks(), OUTPUT_SCHEMA, "append", "eventTime")
 
 
-def run_available(spark: SparkSession, folder: str, schema, file_glob: str = "*.parquet") -> DataFrame:
-    """Run the stream over every file available now (``availableNow``
-    trigger), sink to parquet in the shared checkpoint folder, and return the
-    sink as a batch DataFrame."""
+def run_available(spark: SparkSession, folder: str, schema, file_glob: str = "*.parquet", delay: str = DELAY,
+                  files_per_batch: int = 1) -> DataFrame:
+    """Run the stream over every file available now (``availableNow``), sink to
+    parquet in the shared checkpoint folder, and return the sink as a batch
+    DataFrame. A second run with an event far in the future closes the stream:
+    it moves the watermark past all events that still wait."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-           .option("pathGlobFilter", file_glob).parquet(folder))
-    q = (nack_streak_stream(src).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{base}/_checkpoint").option("path", f"{base}/out")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    end = spark.sql("SELECT timestamp'2200-01-01' AS ts, 'purchase' AS event_type, CAST(NULL AS BIGINT) AS user_id, 0L AS event_id")
+    end.where("false").write.parquet(f"{base}/end")
+    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.session.timeZone": "UTC"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for last in (False, True):
+            if last:
+                end.write.mode("append").parquet(f"{base}/end")
+            columns = ["user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"]
+            files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", file_glob).parquet(folder)
+            stream = files.select(columns).unionByName(spark.readStream.schema(end.schema).parquet(f"{base}/end").select(columns))
+            q = (nack_streak_stream(stream, delay).writeStream.format("parquet").outputMode("append")
+                 .option("checkpointLocation", f"{base}/_checkpoint").option("path", f"{base}/out")
+                 .trigger(availableNow=True).start())
+            q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(OUTPUT_SCHEMA).parquet(f"{base}/out")
+
+
+def replay(spark: SparkSession, events: DataFrame, slices: int = 3, jitter: str = "20 minutes", delay: str | None = None) -> DataFrame:
+    """The stream over a table's events as they might have come in: ``slices``
+    appends one after the other, cut at quantiles of a time stamp that is late
+    by up to ``jitter``, each event by a hash of its own. ``delay`` is jitter
+    and the longest slice unless it is given."""
+    late = F.unix_micros(F.col("ts").cast("timestamp")) + (F.pmod(F.xxhash64("event_id"), F.lit(1000)) * (_micros(jitter) // 1000))
+    arriving = cut_lineage(events.select("user_id", "event_id", "ts", "event_type").withColumn("_late", late))
+    cuts = arriving.approxQuantile("_late", [i / slices for i in range(slices + 1)], 0.01)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    for i in range(slices):
+        low = F.col("_late") >= cuts[i] if i else F.lit(True)
+        high = F.col("_late") < cuts[i + 1] if i < slices - 1 else F.lit(True)
+        arriving.where(low & high).drop("_late").write.mode("append").parquet(path)
+    longest = max((int(b - a) for a, b in zip(cuts, cuts[1:])), default=0)
+    wait = delay or f"{(longest + 2 * _micros(jitter)) // 1_000_000 + 1} seconds"
+    files = len(spark.read.parquet(path).inputFiles())
+    return run_available(spark, path, arriving.drop("_late").schema, delay=wait, files_per_batch=max(1, files // (2 * slices)))
+
+
+def _micros(interval: str) -> int:
+    return int(pd.Timedelta(interval).total_seconds() * 1_000_000)
