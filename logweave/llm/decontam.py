@@ -10,16 +10,16 @@ share at least ``m - q + 1 - k q`` q-grams, and their diagonals (place in the
 document minus place in the item) differ by ``k`` at most. So shared q-grams
 are counted in diagonal bands of ``2 (k + 1)``, each overlapping half of the
 next, which contain any run of ``k + 1`` diagonals; bands that reach the bound
-are verified by a banded alignment. ``k`` is lowered where the bound would
-fall below 1, and items shorter than ``2 q`` must occur exactly.
+are verified by a banded alignment. Short items have shorter q-grams, the
+longest for which the bound is 1 at least.
 
 The items are the stated query set: they are read in blocks of a fixed number
 of bytes, each block scans all documents in one narrow pass without a shuffle.
 
 Edge cases: null and empty texts hold nothing and null or blank items are held
 by nothing; equal items are reported under each id, equal documents each for
-themselves; an empty table on either side gives no hits; other columns,
-whatever their names, pass through ``clean``.
+themselves; ids are of any type; an empty table on either side gives no hits;
+other columns, whatever their names, pass through ``clean``.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from logweave.llm.common import small_batches, text_of
 from logweave.llm.vec import pieces
@@ -43,7 +45,7 @@ STEP = 1 << 20
 #: Shared q-grams that are counted, and alignments that are made at a time.
 PAIRS = 4 << 20
 CASES = 512
-HITS = "doc_id bigint, item_id bigint, start bigint, stop bigint, edits int"
+PLACES = [T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("edits", T.IntegerType())]
 _BASE = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
 
 
@@ -72,9 +74,16 @@ def gram_hashes(code: np.ndarray, q: int) -> np.ndarray:
     return out * _BASE
 
 
-def budget(m: int, q: int = Q, rate: float = EDIT_RATE) -> int:
+def budget(m: int, rate: float = EDIT_RATE) -> int:
     """The edits that an item of ``m`` characters may have."""
-    return 0 if m < 2 * q else min(int(rate * m), (m - q) // q)
+    return int(rate * m)
+
+
+def gram_size(m: int, k: int, q: int = Q) -> int:
+    """Characters in a q-gram of an item of ``m`` characters that may have
+    ``k`` edits: ``q``, or the most that still leave one q-gram untouched
+    (an edit touches as many q-grams as they have characters)."""
+    return min(q, max(1, m // (k + 1)))
 
 
 def alignments(code: np.ndarray, items: list[np.ndarray], low: np.ndarray, width: np.ndarray, begin: np.ndarray,
@@ -144,13 +153,13 @@ class Items:
         self.texts = [t for _, t in texts]
         self.codes = [codes(t) for t in self.texts]
         self.raw = [c.tobytes() for c in self.codes]
-        self.k = np.array([budget(len(c), q, rate) for c in self.codes], dtype=np.int64)
+        self.k = np.array([budget(len(c), rate) for c in self.codes], dtype=np.int64)
+        sizes = np.array([gram_size(len(c), int(k), q) for c, k in zip(self.codes, self.k)], dtype=np.int64)
         by_q: dict[int, list[int]] = {}
-        for n, c in enumerate(self.codes):
-            by_q.setdefault(q if len(c) >= 2 * q else min(q, len(c)), []).append(n)
+        for n, size in enumerate(sizes.tolist()):
+            by_q.setdefault(size, []).append(n)
         self.tables = [(size, *self._table(size, own)) for size, own in sorted(by_q.items())]
         lengths = np.array([len(c) for c in self.codes], dtype=np.int64)
-        sizes = np.minimum(q, lengths)
         self.bound = np.maximum(1, lengths - sizes + 1 - self.k * sizes)
         self.most = int(lengths.max(initial=0))
 
@@ -252,7 +261,9 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     small_batches(docs)
     out = None
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
+    rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
+    item_type = items.schema[item_key].dataType
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("item_id", item_type), *PLACES])
     for block in blocks(items, item_key, item_text, block_bytes):
         sent = spark.sparkContext.broadcast(block)
 
@@ -262,11 +273,11 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
                 found = list(_scan(batch.column("text"), table))
                 at = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), pa.array([table.ids[f[1]] for f in found], pa.int64()),
+                    [batch.column("doc_id").take(at), pa.array([table.ids[f[1]] for f in found], to_arrow_type(item_type)),
                      *(pa.array([f[c] for f in found], t) for c, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.int32())))],
                     names=["doc_id", "item_id", "start", "stop", "edits"])
 
-        found = rows.mapInArrow(scan, HITS)
+        found = rows.mapInArrow(scan, schema)
         out = found if out is None else out.unionByName(found)
     return out
 

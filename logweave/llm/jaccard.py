@@ -108,7 +108,7 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list
     the columns ``carry``, or all but the text. One narrow pass over the texts."""
     small_batches(docs)
     bands = n_bands(threshold, recall)
-    rows = docs.select(row_of(docs.drop(text).withColumn(key, F.col(key)) if carry is None else docs.select(*carry)), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(row_of(docs.drop(text).withColumn(key, F.col(key)) if carry is None else docs.select(*carry)), F.col(key).alias("id"), F.col(text).alias("text"))
     schema = T.StructType([*rows.schema.fields, T.StructField("n", T.IntegerType()), T.StructField("seq", T.BinaryType()),
                            T.StructField("bands", T.ArrayType(T.LongType()))])
 

@@ -6,14 +6,15 @@ threshold are taken; thresholds of growing budgets are nested. A threshold is
 found without sorting documents: words are summed by source and hash bucket,
 the bucket in which the budget runs out is the boundary bucket, and only that
 one is split further, level by level, down to single hash values. The document
-on the boundary is taken if that brings the sum nearer to the budget.
+on the boundary is taken if that brings the sum nearer to the budget; of equal
+rows on the boundary, which share a hash, so many are taken as do.
 
 A source whose target exceeds its size gives all documents once (or twice)
 and the rest of the target by hash. No document is taken more than twice.
 
 Edge cases: a null text has size 0 and is never taken; null sources form one
-source, ranked last; rows with equal ``doc_id`` and text have one hash and are
-taken together; an empty table gives an empty table; targets are 0 where no
+source, ranked last; rows with equal ``doc_id`` and text have one hash, any of
+them may be the ones taken at the boundary; an empty table gives an empty table; targets are 0 where no
 source has words. Other columns, whatever their names, pass through.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm.common import cut_lineage, row_of, text_of, words
+from logweave.operators.ordering import range_numbered
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -72,14 +74,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return run.select("source", "source_size", F.round(target, 6).alias("target"))
 
 def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
-    """``(source, source_size, target, full, cut)``: every document of the
-    source is taken ``full`` times, and once more where its hash is at most
-    ``cut``. ``sizes`` is a written table of ``(source, size, hash)``; each
+    """``(source, source_size, target, full, cut, some, copies)``: every
+    document of the source is taken ``full`` times, and once more where its hash
+    is below ``cut``; of the ``copies`` rows whose hash is ``cut``, ``some`` are.
+    ``sizes`` is a written table of ``(source, size, hash)``; each
     level reads it once and keeps at most ``2 ** bits`` sums for each source."""
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     state = goals.select("source", "source_size", "target", full.alias("full")).withColumn(
         "rest", F.col("target") - F.col("full") * F.col("source_size")).withColumns(
-        {"prefix": F.lit(0).cast("bigint"), "taken": F.lit(0).cast("bigint"), "mass": F.lit(0).cast("bigint")})
+        {"prefix": F.lit(0).cast("bigint"), "taken": F.lit(0).cast("bigint"), "mass": F.lit(0).cast("bigint"), "copies": F.lit(0).cast("bigint")})
     left = BITS
     for bits in LEVELS:
         state = cut_lineage(state)
@@ -88,19 +91,21 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         cell = F.floor(F.col("hash") / F.lit(1 << left)).cast("bigint") if left else F.col("hash")
         rows = sizes.where("size > 0").select("source", "size", cell.alias("cell"))
         hist = (rows.join(edge, rows["source"].eqNullSafe(edge["s"]) & (F.shiftright("cell", bits) == F.col("prefix")))
-                .groupBy("s", "cell", "taken", "rest").agg(F.sum("size").alias("mass")))
+                .groupBy("s", "cell", "taken", "rest").agg(F.sum("size").alias("mass"), F.count(F.lit(1)).alias("copies")))
         up = F.sum("mass").over(Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-        run = hist.select("s", "cell", "mass", "rest", (F.col("taken") + up).alias("upto"))
+        run = hist.select("s", "cell", "mass", "copies", "rest", (F.col("taken") + up).alias("upto"))
         # the first cell in which the budget runs out
         first = (run.where(F.col("upto") >= F.col("rest")).groupBy("s")
-                 .agg(F.min_by(F.struct("cell", "mass", "upto"), "cell").alias("b"))
-                 .select("s", F.col("b.cell").alias("cell"), F.col("b.mass").alias("m"), (F.col("b.upto") - F.col("b.mass")).alias("u")))
+                 .agg(F.min_by(F.struct("cell", "mass", "copies", "upto"), "cell").alias("b"))
+                 .select("s", F.col("b.cell").alias("cell"), F.col("b.mass").alias("m"), F.col("b.copies").alias("c"), (F.col("b.upto") - F.col("b.mass")).alias("u")))
         state = (state.join(first, state["source"].eqNullSafe(first["s"]), "left")
                  .select("source", "source_size", "target", "full", "rest", F.coalesce("cell", F.lit(0)).alias("prefix"),
-                         F.coalesce("u", F.lit(0)).alias("taken"), F.coalesce("m", F.lit(0)).alias("mass")))
-    nearer = F.col("taken") + F.col("mass") - F.col("rest") <= F.col("rest") - F.col("taken")
-    cut = F.when(F.col("rest") <= 0, F.lit(-1)).when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1)
-    return state.select("source", "source_size", "target", "full", cut.cast("bigint").alias("cut"))
+                         F.coalesce("u", F.lit(0)).alias("taken"), F.coalesce("m", F.lit(0)).alias("mass"), F.coalesce("c", F.lit(0)).alias("copies")))
+    cut = F.when(F.col("rest") <= 0, F.lit(-1)).otherwise(F.col("prefix")).cast("bigint")
+    # rows of one hash are equal and of one size
+    some = F.floor((F.col("rest") - F.col("taken")) * F.col("copies") / F.col("mass") + 0.5).cast("bigint")
+    some = F.when((F.col("rest") > 0) & (F.col("mass") > 0), F.least("copies", some)).otherwise(F.lit(0).cast("bigint"))
+    return state.select("source", "source_size", "target", "full", cut.alias("cut"), some.alias("some"), "copies")
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """``(doc, source, size, source_size, target, times, taken)`` for every
@@ -110,9 +115,20 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     narrow = cut_lineage(sized(docs, text, source, key, [key]).select("source", "size", "hash"))
     cuts = cut_lineage(thresholds(narrow, targets(narrow))).withColumnRenamed("source", "s")
     rows = sized(docs, text, source, key, carry)
-    times = F.when(F.col("size") > 0, F.col("full") + (F.col("hash") <= F.col("cut")).cast("bigint")).otherwise(F.lit(0))
-    return (rows.join(cuts, rows["source"].eqNullSafe(cuts["s"]), "left")
-            .select("doc", "source", "size", "source_size", "target", times.cast("bigint").alias("times"))
+    met = rows.join(cuts, rows["source"].eqNullSafe(cuts["s"]), "left")
+    at_cut = F.col("hash") == F.col("cut")
+    more = F.when(F.col("hash") < F.col("cut"), 1).when(at_cut, (F.col("some") > 0).cast("int")).otherwise(0)
+    split = cuts.where("0 < some and some < copies")
+    if not split.isEmpty():
+        # a source whose boundary runs through equal rows: these alone are numbered
+        through = at_cut & (F.col("some") > 0) & (F.col("some") < F.col("copies")) & (F.col("size") > 0)
+        edge = range_numbered(met.where(through).select("doc", "source", "size", "source_size", "target", "full", "some"), ["source"], [], "place")
+        met = met.where(~F.coalesce(through, F.lit(False))).withColumn("more", more).drop("hash", "s", "cut", "some", "copies").unionByName(
+            edge.withColumn("more", (F.col("place") < F.col("some")).cast("int")).drop("some", "place"))
+    else:
+        met = met.withColumn("more", more)
+    times = F.when(F.col("size") > 0, F.col("full") + F.col("more")).otherwise(F.lit(0))
+    return (met.select("doc", "source", "size", "source_size", "target", times.cast("bigint").alias("times"))
             .withColumn("taken", F.col("times") * F.col("size")))
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:

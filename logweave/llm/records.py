@@ -5,8 +5,8 @@ A file is a sequence of frames, one for each document, in ascending order of
 
     u64  length of the payload            (little-endian, as all numbers)
     u32  masked CRC-32 of these 8 bytes
-    payload: u8 bytes of an id (2 or 4), u8 whether there is a doc_id,
-             i64 doc_id, then the ids
+    payload: u8 bytes of an id (2 or 4), u8 kind of doc_id (0 none, 1 number,
+             2 text), i64 doc_id or the bytes of its text, that text, the ids
     u32  masked CRC-32 of the payload
     u8   10
 
@@ -24,7 +24,8 @@ The tokenizer drops white space and never joins characters across it, so the
 encoding of a text is that of its words (split at ASCII white space) one after
 the other; a task encodes a distinct piece of a word once.
 
-Edge cases: a null or empty text has the end id only; null ids come first;
+Edge cases: a null or empty text has the end id only; ids that aren't whole
+numbers are written as text and ordered so; null ids come first;
 rows with equal ids stand in order of their text's hash, equal rows are each
 written; an empty table gives no records; other columns aren't written.
 """
@@ -46,10 +47,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from logweave.llm.common import cut_lineage, scratch, small_batches, text_of
 
 END_ID = 2
+FILES_A_TASK = 1 << 20
 #: Bytes of text that go to a file.
 FILE_BYTES = 32 << 20
 #: Distinct words, and pieces of words, whose ids a Python worker remembers.
@@ -62,13 +66,17 @@ def masked_crc(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
-    payload = META.pack(width, doc_id is not None, doc_id or 0) + ids
+def frame(doc_id: int | str | None, ids: bytes, width: int) -> bytes:
+    if isinstance(doc_id, str):
+        name = doc_id.encode()
+        payload = META.pack(width, 2, len(name)) + name + ids
+    else:
+        payload = META.pack(width, doc_id is not None, doc_id or 0) + ids
     length = struct.pack("<Q", len(payload))
     return b"".join((length, struct.pack("<I", masked_crc(length)), payload, TAIL.pack(masked_crc(payload), 10)))
 
 
-def unframe(data: memoryview | bytes, offset: int = 0) -> tuple[int | None, np.ndarray, int]:
+def unframe(data: memoryview | bytes, offset: int = 0) -> tuple[int | str | None, np.ndarray, int]:
     """``(doc_id, ids, offset of the next record)`` of the record at
     ``offset``; raises if a checksum is wrong."""
     length, crc = HEAD.unpack_from(data, offset)
@@ -79,9 +87,13 @@ def unframe(data: memoryview | bytes, offset: int = 0) -> tuple[int | None, np.n
     crc, end = TAIL.unpack_from(data, begin + length)
     if len(payload) != length or masked_crc(payload) != crc or end != 10:
         raise ValueError(f"wrong checksum of the record at {offset}")
-    width, known, doc_id = META.unpack_from(payload)
-    ids = np.frombuffer(payload, dtype=f"<u{width}", offset=META.size).astype("<u4")
-    return doc_id if known else None, ids, begin + length + TAIL.size
+    width, kind, doc_id = META.unpack_from(payload)
+    at = META.size
+    if kind == 2:
+        at += doc_id
+        doc_id = payload[META.size:at].decode()
+    ids = np.frombuffer(payload[at:], dtype=f"<u{width}").astype("<u4")
+    return doc_id if kind else None, ids, begin + length + TAIL.size
 
 
 #: The steps before the BPE model of the word tokenizer, as its file states them.
@@ -175,12 +187,17 @@ def encoder_of(vocabulary: str, end_id: int) -> WordEncoder:
     return WordEncoder(vocabulary, end_id)
 
 
+def key_type(docs: DataFrame, key: str) -> str:
+    """How ids are written: whole numbers as such, others as text."""
+    return "bigint" if isinstance(docs.schema[key].dataType, T.IntegralType) else "string"
+
+
 def write_records(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text: str = "text",
                   end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
     """Write the files below ``path``."""
     small_batches(docs)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text_of(text).alias("text"))
+    rows = docs.select(F.col(key).cast(key_type(docs, key)).alias("doc_id"), F.xxhash64(text).alias("tie"), text_of(text).alias("text"))
     order = [F.col("doc_id"), F.col("tie")]
     rows = rows.repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order)
 
@@ -193,17 +210,19 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_i
 
     frames = rows.mapInArrow(encode, "frame binary")
     # the text writer writes a string's bytes as they are; the frame's last byte is its line end
-    frames.select(F.expr("substring(frame, 1, octet_length(frame) - 1)").cast("string").alias("value")).write.text(path)
+    frames.select(F.expr("substring(frame, 1, octet_length(frame) - 1)").cast("string").alias("value")).write.option("maxRecordsPerFile", 0).option("compression", "none").text(path)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
+def read_index(spark: SparkSession, path: str, key: str = "bigint") -> DataFrame:
     """``(file_no, file, offset, length, before, doc_id, n_tokens, ids_crc32)``
     of every record of the files below ``path``, all checksums verified;
-    ``before`` counts the ids before it in its file. A task reads a whole file,
-    whose size ``file_bytes`` bounds."""
+    ``before`` counts the ids before it in its file, ``file_no`` orders the
+    files: a task's number and which of its files it is. ``key`` is the type of
+    the ids. A task reads a whole file, whose size ``file_bytes`` bounds."""
+    task, which = (F.coalesce(F.regexp_extract("path", p, 1).try_cast("bigint"), F.lit(0)) for p in (r"part-(\d+)", r"-c(\d+)[^/]*$"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(
-        F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file_no"), F.col("path").alias("file"), "content")
-    schema = "file_no int, file string, offset bigint, length bigint, before bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint"
+        (task * FILES_A_TASK + which).alias("file_no"), F.col("path").alias("file"), "content")
+    schema = f"file_no bigint, file string, offset bigint, length bigint, before bigint, doc_id {key}, n_tokens bigint, ids_crc32 bigint"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,8 +236,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                     offset, before = end, before + len(ids)
                 columns = list(zip(*found)) or [()] * 6
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(c)[row].as_py()] * len(found), t) for c, t in (("file_no", pa.int32()), ("file", pa.string()))]
-                    + [pa.array(c, pa.int64()) for c in columns],
+                    [pa.array([batch.column(c)[row].as_py()] * len(found), t) for c, t in (("file_no", pa.int64()), ("file", pa.string()))]
+                    + [pa.array(c, pa.string() if i == 3 and key == "string" else pa.int64()) for i, c in enumerate(columns)],
                     names=["file_no", "file", "offset", "length", "before", "doc_id", "n_tokens", "ids_crc32"])
 
     return files.mapInArrow(scan, schema)
@@ -234,10 +253,12 @@ def read_records(spark: SparkSession, path: str, index: DataFrame, seed: int | N
         for batch in batches:
             for content, offsets in zip(batch.column("content"), batch.column("offsets").to_pylist()):
                 got = [unframe(memoryview(content.as_buffer()), o) for o in offsets]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()),
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], id_type),
                                                   pa.array([g[1].astype(np.int64) for g in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    out = files.join(wanted, "file").select("content", "offsets").mapInArrow(fetch, "doc_id bigint, ids array<bigint>")
+    key = index.schema["doc_id"].dataType
+    id_type = to_arrow_type(key)
+    out = files.join(wanted, "file").select("content", "offsets").mapInArrow(fetch, f"doc_id {key.simpleString()}, ids array<bigint>")
     return out if seed is None else out.orderBy(F.xxhash64(F.lit(seed), "doc_id", "ids"))
 
 
@@ -248,7 +269,7 @@ def write_and_index(docs: DataFrame, vocabulary: str, path: str | None = None, *
     spark = docs.sparkSession
     path = path or scratch(spark, "records")
     write_records(docs, f"{path}/records", vocabulary, **options)
-    read_index(spark, f"{path}/records").write.parquet(f"{path}/index")
+    read_index(spark, f"{path}/records", key_type(docs, options.get("key", "doc_id"))).write.parquet(f"{path}/index")
     index = spark.read.parquet(f"{path}/index")
     sums = index.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)

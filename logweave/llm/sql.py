@@ -59,10 +59,11 @@ goal AS (SELECT source, source_size, round(least(cap, w * (SELECT max(lv) FROM l
 rest AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM goal),
 cum AS (SELECT s.doc_id, s.size, s.h, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS need,
                sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-               sum(s.size) OVER (PARTITION BY s.source, s.h) AS own
+               sum(s.size) OVER (PARTITION BY s.source, s.h) AS own, count(*) FILTER (WHERE s.size > 0) OVER (PARTITION BY s.source, s.h) AS copies,
+               row_number() OVER (PARTITION BY s.source, s.h ORDER BY s.size DESC) AS k
         FROM sized s JOIN rest r ON s.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-       CAST(size * (whole + CASE WHEN need > 0 AND upto - own < need AND (upto <= need OR upto - need <= need - (upto - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN size > 0 AND need > 0 AND upto - own < need AND k <= floor((need - (upto - own)) * copies / own + 0.5) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM cum
 """
 
