@@ -84,6 +84,15 @@ def neighbour(df: DataFrame, key_cols: Sequence[str], n_col: str, offset: int,
     return df.join(other, [*k, n_col], "left")
 
 
+def range_buckets(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], out: str = "_range") -> DataFrame:
+    """``df``, written, with ``out``: a bucket for the functions above that
+    depends on the data's spread and not on the clock. Rows are dealt out by
+    ranges of (group, order) at sampled quantiles and the range is the bucket,
+    so a group with most rows in a minute has as many buckets as it needs."""
+    keys = [*map(F.col, group_cols), *order_cols]
+    return cut_lineage(df.repartitionByRange(*keys).withColumn(out, F.spark_partition_id()))
+
+
 def range_numbered(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], out: str = "pos") -> DataFrame:
     """Add ``out``, the 0-based position of each row inside its group, by one
     sort over ranges of (group, order): a group of any size, with any spread of

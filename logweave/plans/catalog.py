@@ -18,6 +18,7 @@ from logweave.functions.text import clean_line
 from logweave.operators import chi2 as chi2_ops
 from logweave.operators import labels as label_ops
 from logweave.operators import scoring, templates
+from logweave.operators.ordering import range_buckets
 from logweave.plans import sqlparts as S
 from logweave.sources import logs
 from logweave.sources.tables import table
@@ -79,9 +80,16 @@ def r6(c):
 # shared sub-plans
 # --------------------------------------------------------------------------
 
+@shared(materialize=True)
+def ranged_events(spark, d):
+    """The events dealt out by ranges of (device, time); the range is the
+    bucket of running counts, whatever the spread of a device's events."""
+    return range_buckets(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")])
+
+
 @shared
 def event_lines(spark, d):
-    return logs.with_clean(logs.event_log_lines(table(spark, d, "events")))
+    return logs.with_clean(logs.event_log_lines(ranged_events(spark, d), F.col("_range")))
 
 
 @shared(materialize=True)
@@ -368,13 +376,11 @@ from logweave.functions.text import linear_to_db  # noqa: E402
 from logweave.operators import quality, sequences, trace  # noqa: E402
 from logweave.operators.ordering import dense_number, running_sums  # noqa: E402
 
-def hour():
-    return F.date_trunc("hour", F.col("ts"))
+RANGE = "_range"  # bucket of ``ranged_events``
 
 
 def _events(spark, d):
-    e = table(spark, d, "events")
-    return e.withColumn("k", logs._k(F.col("props")))
+    return ranged_events(spark, d).withColumn("k", logs._k(F.col("props")))
 
 
 @shared
@@ -521,8 +527,8 @@ SELECT user_id, event_id, CAST(streak AS BIGINT) AS streak, streak >= 4 AS exhau
 @query("nack_streak", NACK_SQL)
 def q_nack_streak(spark, d):
     """Consecutive-NACK counter per UE (error = NACK, purchase = ACK)."""
-    e = table(spark, d, "events")
-    s = sequences.nack_streak(e, "user_id", ["ts", "event_id"], hour(),
+    e = ranged_events(spark, d)
+    s = sequences.nack_streak(e, "user_id", ["ts", "event_id"], F.col(RANGE),
                               F.col("event_type") == "error", F.col("event_type") == "purchase")
     return s.select("user_id", "event_id", "streak", "exhausted")
 
@@ -562,10 +568,10 @@ SELECT user_id, event_id, frame, CAST(wraps AS BIGINT) AS wraps, CAST(frame + 10
 """)
 def q_frame_unwrap(spark, d):
     """System frame number (10 ms frames, modulo 1024) unwrapped per UE."""
-    e = table(spark, d, "events")
+    e = ranged_events(spark, d)
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
-    f = e.select("user_id", "event_id", "ts", (F.floor(us / 10000) % 1024).cast("long").alias("frame"))
-    u = sequences.frame_unwrap(f, "user_id", ["ts", "event_id"], hour())
+    f = e.select("user_id", "event_id", "ts", "_range", (F.floor(us / 10000) % 1024).cast("long").alias("frame"))
+    u = sequences.frame_unwrap(f, "user_id", ["ts", "event_id"], F.col(RANGE))
     return u.select("user_id", "event_id", "frame", "wraps", F.col("unwrapped").cast("long"))
 
 
@@ -576,7 +582,7 @@ def ue_stats(spark, d):
     e = _events(spark, d)
     et = F.col("event_type")
     k = F.col("k")
-    cum = running_sums(e, ["user_id"], ["ts", "event_id"], hour(), {
+    cum = running_sums(e, ["user_id"], ["ts", "event_id"], F.col(RANGE), {
         "rounds": F.lit(1),
         "errors": (et == "error").cast("int"),
         "retx2": ((et == "error") & (k % 4 >= 2)).cast("int"),
@@ -696,8 +702,8 @@ GROUP BY e.user_id, e.event_id
 """)
 def q_event_impact(spark, d):
     """Q4: mean event value in the 3 events before vs after each error."""
-    e = table(spark, d, "events")
-    n = dense_number(e, ["user_id"], ["ts", "event_id"], hour(), out="n")
+    e = ranged_events(spark, d)
+    n = dense_number(e, ["user_id"], ["ts", "event_id"], F.col(RANGE), out="n")
     q = quality.event_impact(n, "user_id", "n", F.col("event_type") == "error", "value", 3)
     return q.select("user_id", "event_id", r6("before_avg").alias("before_avg"), r6("after_avg").alias("after_avg"),
                     "n_before", "n_after")
@@ -711,8 +717,8 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """)
 def q_event_chain(spark, d):
     """Q5: ordered error chain per UE with the gap to the previous error."""
-    e = table(spark, d, "events").where(F.col("event_type") == "error")
-    c = quality.event_chain(e, "user_id", ["ts", "event_id"], hour())
+    e = ranged_events(spark, d).where(F.col("event_type") == "error")
+    c = quality.event_chain(e, "user_id", ["ts", "event_id"], F.col(RANGE))
     return c.select("user_id", "event_id", "chain_no", "gap_us")
 
 
@@ -724,18 +730,33 @@ SELECT err.user_id, err.event_id, CAST(s.block_no AS BIGINT) AS block_no, s.rsrp
 FROM err ASOF LEFT JOIN s ON err.user_id = s.user_id AND err.ts >= s.ts
 """)
 def q_asof_metrics(spark, d):
-    """Q6: statistics block in force at each error (latest report at or
-    before it; of reports with one time stamp the last) - an as-of lookup done
-    as running count + equi-join. At equal time stamps reports count first."""
-    e = _events(spark, d).withColumn("_late", (F.col("event_type") != "view").cast("int"))
-    cum = running_sums(e, ["user_id"], ["ts", "_late", "event_id"], hour(),
-                       {"views": (F.col("event_type") == "view").cast("int")})
-    err = cum.where(F.col("event_type") == "error").select("user_id", "event_id", (F.col("views") - 1).alias("block_no"))
-    st = ue_stats(spark, d).select("user_id", "block_no", "rsrp", "cqi")
-    j = err.join(st, ["user_id", "block_no"], "left")
-    return j.select("user_id", "event_id",
-                    F.when(F.col("rsrp").isNotNull(), F.col("block_no")).cast("long").alias("block_no"),
-                    "rsrp", "cqi")
+    """Q6: statistics block in force at each error: the latest report at or
+    before it; of reports with one time stamp the last, and at equal time stamps
+    reports count first."""
+    err = table(spark, d, "events").where(F.col("event_type") == "error").select("user_id", "event_id", "ts")
+    out = quality.asof(err, ue_stats(spark, d), "user_id", ["ts"], "block_no", ["block_no", "rsrp", "cqi"])
+    return out.select("user_id", "event_id", F.col("block_no").cast("long").alias("block_no"), "rsrp", "cqi")
+
+
+@query("event_impact_blocks", f"""
+WITH a AS ({UE_STATS_SQL}),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY block_no DESC) AS tie FROM a) x WHERE tie = 1),
+err AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'error'),
+j AS (SELECT err.user_id, err.event_id, coalesce(s.block_no, -1) AS b FROM err ASOF LEFT JOIN s ON err.user_id = s.user_id AND err.ts >= s.ts)
+SELECT j.user_id, j.event_id,
+  round(avg(CASE WHEN a.block_no <= j.b THEN a.rsrp END), 6) AS before_avg, round(avg(CASE WHEN a.block_no > j.b THEN a.rsrp END), 6) AS after_avg,
+  CAST(count(*) FILTER (WHERE a.block_no <= j.b) AS BIGINT) AS n_before, CAST(count(*) FILTER (WHERE a.block_no > j.b) AS BIGINT) AS n_after
+FROM j LEFT JOIN a ON a.user_id = j.user_id AND a.block_no BETWEEN j.b - 2 AND j.b + 3
+GROUP BY j.user_id, j.event_id
+""")
+def q_event_impact_blocks(spark, d):
+    """Q4 over statistics blocks: mean RSRP of the three blocks up to each
+    error against the three after it."""
+    err = table(spark, d, "events").where(F.col("event_type") == "error").select("user_id", "event_id", "ts")
+    stats = ue_stats(spark, d)
+    at = quality.asof(err, stats, "user_id", ["ts"], "block_no", ["block_no"]).withColumn("block_no", F.coalesce("block_no", F.lit(-1)))
+    q = quality.block_impact(at, stats, "user_id", "block_no", "rsrp", 3)
+    return q.select("user_id", "event_id", r6("before_avg").alias("before_avg"), r6("after_avg").alias("after_avg"), "n_before", "n_after")
 
 
 # --------------------------------------------------------------------------

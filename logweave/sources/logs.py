@@ -218,13 +218,14 @@ def _s(c):
     return c.cast("string")
 
 
-def render_event_log(events: DataFrame) -> DataFrame:
+def render_event_log(events: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Render ``events`` as MAC-style text log lines, one log per user.
 
     Deterministic: every field is taken from the row (``props.k`` drives the
     radio values). Output ``(log_id, ts, event_id, raw)``.
     """
-    events = events.select("user_id", "ts", "event_id", "event_type", _k(F.col("props")).alias("_k"))
+    kept = [] if bucket is None else ["_bucket"]
+    events = events.select("user_id", "ts", "event_id", "event_type", _k(F.col("props")).alias("_k"), *([] if bucket is None else [bucket.alias("_bucket")]))
     k = F.col("_k")
     u = _s(F.col("user_id"))
     esc = F.lit("\x1b")
@@ -243,13 +244,14 @@ def render_event_log(events: DataFrame) -> DataFrame:
               F.concat(F.lit("[RRC]   UE "), u, F.lit(" RRC connection release requested, timer "), _s(k)))
         .otherwise(F.concat(F.lit("UE "), u, F.lit(" "), F.coalesce(F.col("event_type"), F.lit("event"))))
     )
-    return events.select(F.concat(F.lit("ue-"), u).alias("log_id"), "ts", "event_id",
+    return events.select(F.concat(F.lit("ue-"), u).alias("log_id"), "ts", "event_id", *kept,
                          F.coalesce(F.concat(esc, F.lit("[0m"), body), F.lit("")).alias("raw"))
 
 
-def event_log_lines(events: DataFrame) -> DataFrame:
+def event_log_lines(events: DataFrame, bucket: Column) -> DataFrame:
     """Rendered event log, numbered per user in (ts, event_id) order.
-    Output ``(log_id, seg, line_no, raw)`` with seg = event_id."""
-    r = render_event_log(events)
-    n = dense_number(r, ["log_id"], ["ts", "event_id"], bucket=F.date_trunc("hour", F.col("ts")))
+    Output ``(log_id, seg, line_no, raw)`` with seg = event_id. ``bucket``: a
+    column of ``events`` as ``ordering.range_buckets`` adds."""
+    r = render_event_log(events, bucket)
+    n = dense_number(r, ["log_id"], ["ts", "event_id"], bucket=F.col("_bucket"))
     return n.select("log_id", F.col("event_id").alias("seg"), "line_no", "raw")
