@@ -1,23 +1,23 @@
 """Line clustering and rare-cluster events.
 
-C1/C2/C7 run MLlib estimators on *distinct* lines (weighted by their
-count), so model fitting scales with the vocabulary of lines, not with the
-raw log volume. C3-C6/C8 are plain aggregates over a cluster assignment,
-whether it comes from C2 or is supplied.
+C1/C2 work on *distinct* lines of each log (weighted by their count), so they
+scale with the vocabulary of lines, not with the raw log volume; C7 runs MLlib's
+PCA on them. C3-C6/C8 are plain aggregates over a cluster assignment, whether it
+comes from C2 or is supplied.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.session import cut_lineage
+
 N_CLUSTERS = 15     # fixed values: clusters built / smallest clusters reported
 N_REPORTED = 5
-SEED = 42
+ROUNDS = 2          # of nearest-centre steps in a split
 
 
 def cluster_sizes(assign: DataFrame, cluster: str = "cluster", pos: str = "line_no",
@@ -55,36 +55,123 @@ def rare_clusters(assign: DataFrame, n: int = N_REPORTED, cluster: str = "cluste
     return cluster_report(assign, cluster, line, pos, keys).where(F.col("rank") <= n)
 
 
-def tfidf_vectors(lines: DataFrame, text_col: str = "clean", num_features: int = 1 << 8) -> DataFrame:
-    """C1 fallback embedding: hashed term frequencies -> IDF -> L2 normalise,
-    fitted on distinct lines. Output adds ``features`` to each distinct line
-    with its ``cnt``."""
-    uniq = (lines.groupBy(text_col).agg(F.count(F.lit(1)).alias("cnt"), F.min("line_no").alias("first_line"))
-            .withColumn("tokens", F.split(F.col(text_col), " ")))
-    pipe = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
-                            IDF(inputCol="tf", outputCol="tfidf"),
-                            Normalizer(inputCol="tfidf", outputCol="features")])
-    return pipe.fit(uniq).transform(uniq).drop("tf", "tfidf")
-
-
-def cluster_lines(lines: DataFrame, k: int = N_CLUSTERS, text_col: str = "clean",
-                  vectors: DataFrame | None = None) -> DataFrame:
-    """Hierarchical (bisecting) k-means over distinct line vectors,
-    weighted by how often each line occurs; the assignment joins back to
-    every line. (Ward linkage needs all pairwise distances, O(n^2), so the
-    divisive variance-minimising split is used instead.)"""
-    vec = vectors if vectors is not None else tfidf_vectors(lines, text_col)
-    model = BisectingKMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster",
-                            weightCol="cnt").fit(vec)
-    assign = model.transform(vec).select(text_col, "cluster")
-    return lines.join(assign, text_col)
+def line_vectors(lines: DataFrame, text_col: str = "clean") -> DataFrame:
+    """C1 fallback embedding: TF-IDF of each distinct line of a log among the
+    log's distinct lines, L2-normalised, ``(log_id, clean, cnt, first_line,
+    vector)``; ``vector`` has a (token, weight) for every token that not all
+    lines share, each token for itself. A log's vectors depend on that log."""
+    uniq = cut_lineage(lines.groupBy("log_id", text_col).agg(F.count(F.lit(1)).alias("cnt"), F.min("line_no").alias("first_line")))
+    words = uniq.select("log_id", text_col, F.explode(F.split(text_col, " ")).alias("token")).where("token <> ''")
+    tf = words.groupBy("log_id", text_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    n = uniq.groupBy("log_id").agg(F.count(F.lit(1)).alias("n"))
+    idf = words.distinct().groupBy("log_id", "token").agg(F.count(F.lit(1)).alias("df")).join(n, "log_id")
+    idf = cut_lineage(idf.where("df < n").select("log_id", "token", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf")))
+    part = F.struct("token", (F.col("tf") * F.col("idf")).alias("weight"))
+    vec = tf.join(idf, ["log_id", "token"]).groupBy("log_id", text_col).agg(F.sort_array(F.collect_list(part)).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"]))
+    vec = vec.withColumn("norm", norm).select("log_id", text_col, F.transform("v", lambda x: F.struct(
+        x["token"].alias("token"), (x["weight"] / F.col("norm")).alias("weight"))).alias("vector"))
+    none = F.array().cast("array<struct<token:string,weight:double>>")
+    return uniq.join(vec, ["log_id", text_col], "left").withColumn("vector", F.coalesce("vector", none))
+
+
+def hashed_vectors(vectors: DataFrame, num_features: int = 1 << 8) -> DataFrame:
+    """``line_vectors`` with ``features``, an ML vector of ``num_features``
+    slots that tokens share by hash: the input of the 2-D projection (C7), which
+    needs a dense covariance."""
+    slot = F.transform("vector", lambda x: F.struct(F.pmod(F.xxhash64(x["token"]), F.lit(num_features)).cast("int").alias("i"), x["weight"].alias("w")))
+    dense = F.aggregate(slot, F.array_repeat(F.lit(0.0), num_features), lambda a, x: F.transform(a, lambda v, i: F.when(i == x["i"], v + x["w"]).otherwise(v)))
+    return vectors.withColumn("features", array_to_vector(dense))
+
+
+def _to_split(state: DataFrame, k: int) -> DataFrame:
+    """``(log_id, node)``: the leaves that are split next, for every log those
+    of the widest spread, as many as it lacks clusters. (Spread: what the
+    weighted vectors' sum lacks in length of their weight.)"""
+    sums = state.select("log_id", "node", "cnt", F.inline("v")).groupBy("log_id", "node", "t").agg(F.sum(F.col("cnt") * F.col("w")).alias("s"))
+    length = sums.groupBy("log_id", "node").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("length"))
+    leaves = state.groupBy("log_id", "node").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("lines"), F.max("whole").alias("whole"),
+                                                 F.min("first_line").alias("first"))
+    spread = F.round(F.col("n") - F.coalesce("length", F.lit(0.0)), 6)
+    leaves = leaves.join(length, ["log_id", "node"], "left").withColumn("spread", spread)
+    divisible = (F.col("lines") > 1) & ~F.col("whole") & (F.col("spread") > 0)
+    log = Window.partitionBy("log_id")  # at most k rows a log
+    ranked = leaves.withColumn("all", F.count(F.lit(1)).over(log)).where(divisible).withColumn(
+        "rank", F.row_number().over(log.orderBy(F.desc("spread"), "first")))
+    return ranked.where(F.col("rank") <= k - F.col("all")).select("log_id", "node")
+
+
+def _split(state: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Every chosen leaf in two: by the nearer of two of its lines that are far
+    apart (the farthest from its centre, and the farthest from that one), then
+    by the nearer of the two sides' centres. Centres are a table keyed by (log,
+    leaf, token)."""
+    key = ["log_id", "node"]
+    rows = cut_lineage(state.join(chosen, key, "left_semi"))
+    parts = rows.select(*key, "first_line", "cnt", F.inline("v"))
+
+    def with_dots(centres: DataFrame, columns: list[str]) -> DataFrame:
+        dots = (parts.drop("cnt").join(centres, [*key, "t"]).groupBy(*key, "first_line")
+                .agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns]))
+        met = rows.join(dots, [*key, "first_line"], "left")
+        return met.withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 9) for c in columns})
+
+    def lines(chosen_lines: DataFrame, name: str) -> DataFrame:
+        return parts.join(chosen_lines, [*key, "first_line"], "left_semi").select(*key, "t", F.col("w").alias(name))
+
+    mass = F.col("cnt") * F.col("w")
+    middle = cut_lineage(parts.groupBy(*key, "t").agg(F.sum(mass).alias("s")))
+    one = cut_lineage(with_dots(middle, ["s"]).groupBy(*key).agg(F.min_by("first_line", F.struct("s", "first_line")).alias("first_line")))
+    from_one = with_dots(lines(one, "a"), ["a"]).join(one, [*key, "first_line"], "left_anti")
+    two = cut_lineage(from_one.groupBy(*key).agg(F.min_by("first_line", F.struct("a", "first_line")).alias("first_line")))
+    centres = lines(one, "a").join(lines(two, "b"), [*key, "t"], "full").select(*key, "t", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
+    for step in range(ROUNDS):
+        centres = cut_lineage(centres)
+        lengths = centres.groupBy(*key).agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("la"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("lb"))
+        near = {x: F.when(F.col(f"l{x}") > 0, F.round(F.col(x) / F.col(f"l{x}"), 9)).otherwise(F.lit(0.0)) for x in "ab"}
+        sided = with_dots(centres, ["a", "b"]).join(lengths, key, "left").withColumn("side", (near["b"] > near["a"]).cast("int"))
+        sided = cut_lineage(sided.drop("a", "b", "la", "lb"))
+        if step < ROUNDS - 1:
+            centres = sided.select(*key, "side", "cnt", F.inline("v")).groupBy(*key, "t").agg(
+                F.sum(F.when(F.col("side") == 0, mass).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("side") == 1, mass).otherwise(0.0)).alias("b"))
+    both = sided.groupBy(*key).agg((F.min("side") < F.max("side")).alias("halved"))
+    rows = sided.join(both, key)
+    node = F.when(F.col("halved"), F.col("node") * 2 + F.col("side")).otherwise(F.col("node"))
+    rows = rows.withColumn("node", node).withColumn("whole", ~F.col("halved")).drop("side", "halved")
+    return cut_lineage(state.join(chosen, key, "left_anti").unionByName(rows))
+
+
+def cluster_lines(lines: DataFrame, k: int = N_CLUSTERS, text_col: str = "clean", vectors: DataFrame | None = None) -> DataFrame:
+    """The lines of each log in at most ``k`` clusters, by bisecting
+    (spherical) k-means over the log's distinct lines, weighted by how often
+    each occurs. (Ward linkage needs all pairwise distances, O(n^2), so the
+    divisive split is used instead.)
+
+    All logs are split at once: a round takes every log's widest leaves, and is
+    a few grouped aggregates whose size is that of the distinct lines; no log
+    is a task's own, and a log's clusters depend on its lines only. A round
+    splits a leaf at least in every log that lacks clusters, so there are at
+    most ``k - 1`` rounds. Clusters are numbered by their first line."""
+    vec = vectors if vectors is not None else line_vectors(lines, text_col)
+    v = F.transform("vector", lambda x: F.struct(F.xxhash64(x["token"]).alias("t"), x["weight"].alias("w")))
+    state = cut_lineage(vec.select("log_id", text_col, "cnt", "first_line", v.alias("v"), F.lit(1).cast("bigint").alias("node"), F.lit(False).alias("whole")))
+    for _ in range(k - 1):
+        chosen = cut_lineage(_to_split(state, k))
+        if chosen.isEmpty():
+            break
+        state = _split(state, chosen)
+    first = state.groupBy("log_id", "node").agg(F.min("first_line").alias("first"))
+    number = first.withColumn("cluster", F.row_number().over(Window.partitionBy("log_id").orderBy("first")) - 1).drop("first")
+    assign = cut_lineage(state.join(number, ["log_id", "node"]).select("log_id", text_col, "cluster"))
+    return lines.join(assign, ["log_id", text_col])
 
 
 def project_2d(vectors: DataFrame, assign: DataFrame, text_col: str = "clean") -> DataFrame:
     """2-D projection for plotting: (x, y, text, line_number, cluster label)."""
-    pca = PCA(k=2, inputCol="features", outputCol="_xy").fit(vectors)
-    xy = pca.transform(vectors).select(text_col, vector_to_array("_xy").alias("_a"))
-    return (assign.join(xy, text_col)
+    hashed = hashed_vectors(vectors)
+    pca = PCA(k=2, inputCol="features", outputCol="_xy").fit(hashed)
+    xy = pca.transform(hashed).select("log_id", text_col, vector_to_array("_xy").alias("_a"))
+    return (assign.join(xy, ["log_id", text_col])
             .select(F.col("_a")[0].alias("x"), F.col("_a")[1].alias("y"), F.col(text_col).alias("text"),
                     (F.col("line_no") + 1).alias("line_number"),
                     F.concat(F.lit("Cluster "), F.col("cluster").cast("string")).alias("cluster_label")))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import WS, whitespace_tokens
+from logweave.session import BROADCAST_BYTES
 
 # fixed values: retriever parameters of the reference pipeline
 K1 = 1.5
@@ -24,7 +25,6 @@ COSINE_THRESHOLD = 0.3
 BM25_WEIGHT = 0.3
 VECTOR_WEIGHT = 0.7
 RRF_C = 60
-MAX_BROADCAST_QUERIES = 20000  # query vectors shipped whole to every task
 
 
 def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -89,35 +89,28 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold: float = COSINE_THRESHOLD,
                 qid_col: str = "query_id", qvec_col: str = "embedding", id_col: str = "doc_id",
-                vec_col: str = "embedding") -> DataFrame:
+                vec_col: str = "embedding", block_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Exact cosine top-k with a similarity threshold,
     ``(query_id, rank, doc_id, score)``.
 
-    The query batch is broadcast behind a size check (one scalar count);
-    larger batches are cut into broadcast-sized hash slices and the slice
-    results are unioned, so no task ever holds more than the limit.
-    The corpus side streams; the threshold is applied inside the join and
-    the per-query top-k is a window group limit.
+    The queries are the stated set that is compared with every row: they are
+    taken in blocks of ``block_bytes`` of vectors (by a hash of their id, so many
+    that a block stays below with room to spare), each broadcast while the corpus
+    streams past. The threshold is applied in that pass, and the per-query top-k
+    is a window group limit.
     """
     q = unit_vectors(queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("_qv")), "_qv") \
         .select("query_id", F.col("_unit").alias("qu"))
     c = unit_vectors(corpus.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("_cv")), "_cv") \
         .select("doc_id", F.col("_unit").alias("cu"))
-    n_q = q.count()
-    slices = max(1, -(-n_q // MAX_BROADCAST_QUERIES))
-    if slices > 1:
-        # hash slices with 2x head-room keep each broadcast under the limit
-        slices *= 2
-        q = q.withColumn("_slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
-    parts = []
-    for s in range(slices):
-        qs = q.where(F.col("_slice") == s).drop("_slice") if slices > 1 else q
+    total = queries.agg(F.coalesce(F.sum(8 * F.greatest(F.size(qvec_col), F.lit(0)) + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-2 * total // block_bytes))
+    pairs = None
+    for block in range(blocks):
+        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         sim = dot(F.col("qu"), F.col("cu"))
-        j = c.join(F.broadcast(qs), sim >= F.lit(threshold)).select("query_id", "doc_id", sim.alias("score"))
-        parts.append(j)
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
+        part = c.join(F.broadcast(own), sim >= F.lit(threshold)).select("query_id", "doc_id", sim.alias("score"))
+        pairs = part if pairs is None else pairs.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id"))
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         "query_id", "rank", "doc_id", "score")

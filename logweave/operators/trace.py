@@ -35,7 +35,7 @@ def parse_trace(lines: DataFrame, col: str = "line") -> DataFrame:
         F.regexp_extract(line, HEAD, 1).alias("layer"),
         F.regexp_extract(line, HEAD, 2).try_cast("double").alias("t"),
         F.trim(F.regexp_extract(body, r"^([^|]*)", 1)).alias("event"),
-        _field(rest, r"\|\s*RNTI (\d+)").alias("rnti"),
+        _field(rest, r"\bRNTI (\d+)").alias("rnti"),
         F.coalesce(_field(rest, r"\|\s*PID (\d+)"), _field(rest, r"\|\s*HARQ (\d+)")).try_cast("int").alias("harq_pid"),
         _field(rest, r"\|\s*Frame (\d+)").try_cast("int").alias("frame"),
         _field(rest, r"\bSub (\d+)").try_cast("int").alias("subframe"),
@@ -52,10 +52,75 @@ def parse_trace(lines: DataFrame, col: str = "line") -> DataFrame:
         _field(rest, r"\|\s*LCID (\d+)").try_cast("int").alias("lcid"),
         _field(rest, r"\|\s*(\d+) B\s*(?:\||$)").try_cast("int").alias("size_bytes"),
         _field(rest, r"\|\s*IMSI (\d+)").try_cast("long").alias("imsi"),
-        _field(rest, r"\|\s*Cell (\d+)").try_cast("int").alias("cell"),
+        _field(rest, r"\bCell (\d+)").try_cast("int").alias("cell"),
     )
 
 
+#: ``key value`` in a part of a trace line: words, then a number, a yes or no, or what a logarithm of zero prints.
+PAIR = r"([A-Za-z][\w-]*(?: [A-Za-z][\w-]*)*?) (-?[0-9][^ ]*|[YN]|-?inf|-?nan)(?: |$)"
+#: A part that is an amount alone, and one that is an outcome.
+AMOUNT = r"^(-?[0-9][^ ]*|-?inf|-?nan) (dBm|dB|B)$"
+OUTCOME = r"^(ACK|NACK)$"
+#: The free-form family: ``<t>s [LAYER] event: KEY=value ...``.
+FREE = r"^([0-9][0-9.e+-]*)s \[([A-Z]+)\] (.*)$"
+ASSIGNED = r"([A-Za-z][\w-]*)=([^ ]+)"
+
+
+def _pairs(text: Column, pattern: str) -> Column:
+    p = F.lit(pattern)
+    return F.zip_with(F.regexp_extract_all(text, p, 1), F.regexp_extract_all(text, p, 2), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+
+
+def _entry(key: Column, value: Column) -> Column:
+    return F.array(F.struct(key.alias("key"), value.alias("value")))
+
+
+def record_fields(lines: DataFrame, col: str = "line") -> DataFrame:
+    """F23 as a grammar: ``layer``, ``t``, ``event`` and ``fields``, a map of
+    every field that a trace line states, by its own name; typed columns come
+    from it by a cast.
+
+    A line of the first family is a fold over its parts between bars: ``key
+    value`` pairs (units after a value are dropped, a key may have words), an
+    outcome (key ``outcome``), or an amount alone (its unit is the key). A line
+    of the free-form family has its ``KEY=value`` pairs, the number after ``#``
+    (``count``) and what an arrow points at (``note``). Of a key that comes
+    twice the last value counts. Other lines have a null layer and no field."""
+    line = F.col(col)
+    parts = F.split(F.regexp_extract(line, HEAD, 3), r"\|")
+
+    def entries(part: Column) -> Column:
+        text = F.trim(part)
+        return (F.when(text.rlike(OUTCOME), _entry(F.lit("outcome"), text))
+                .when(text.rlike(AMOUNT), _entry(F.regexp_extract(text, AMOUNT, 2), F.regexp_extract(text, AMOUNT, 1)))
+                .otherwise(_pairs(text, PAIR)))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    folded = F.aggregate(F.slice(parts, 2, F.size(parts)), none, lambda done, part: F.concat(done, entries(part)))
+
+    said = F.regexp_extract(line, FREE, 3)
+    count, note = F.regexp_extract(said, r"#([0-9]+)", 1), F.trim(F.regexp_extract(said, "\u2192 *(.*)$", 1))
+    free = F.concat(F.when(count != "", _entry(F.lit("count"), count)).otherwise(none), _pairs(F.split(said, "\u2192")[0], ASSIGNED),
+                    F.when(note != "", _entry(F.lit("note"), note)).otherwise(none))
+    is_free = line.rlike(FREE)
+    all_ = F.when(is_free, free).when(line.rlike(HEAD), folded).otherwise(none)
+    last = F.filter(F.col("_all"), lambda x, i: ~F.exists(F.slice("_all", i + 2, F.size("_all")), lambda y: y["key"] == x["key"]))
+    event = F.when(is_free, F.regexp_extract(said, "^(.*?):?(?: (?:for )?[A-Za-z][\\w-]*=.*| #[0-9].*| \u2192.*| \\*\\*\\*.*)?$", 1)).otherwise(F.trim(parts[0]))
+    known = is_free | line.rlike(HEAD)
+    return lines.withColumn("_all", all_).select(
+        *lines.columns, F.when(is_free, F.regexp_extract(line, FREE, 2)).when(known, F.regexp_extract(line, HEAD, 1)).alias("layer"),
+        F.when(is_free, F.regexp_extract(line, FREE, 1)).when(known, F.regexp_extract(line, HEAD, 2)).try_cast("double").alias("t"),
+        F.when(known, F.trim(event)).alias("event"), F.map_from_entries(last).alias("fields"))
+
+
+def trace_rollup(records: DataFrame, device: str = "rnti") -> DataFrame:
+    """Q7: counts and ranges by layer, event and device with all subtotals;
+    ``level`` is the number of columns that a line sums over (3 for the grand
+    total), which tells a subtotal from a missing device."""
+    return (records.rollup("layer", "event", device)
+            .agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t_min"), F.max("t").alias("t_max"), F.avg("mcs").alias("avg_mcs"),
+                 F.bit_count(F.grouping_id()).cast("int").alias("level")))
+
+
 def trace_summary(records: DataFrame) -> DataFrame:
     """Q7: per layer / event counts and ranges, with rollup subtotals."""
     return (records.rollup("layer", "event")

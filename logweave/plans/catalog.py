@@ -495,6 +495,33 @@ def q_trace_summary(spark, d):
                     r6("avg_mcs").alias("avg_mcs"))
 
 
+@query("trace_rollup", f"""
+SELECT layer, event, rnti, CAST(count(*) AS BIGINT) AS n, round(min(t), 6) AS t_min, round(max(t), 6) AS t_max, round(avg(mcs), 6) AS avg_mcs,
+       CAST(grouping(layer) + grouping(event) + grouping(rnti) AS INTEGER) AS level
+FROM ({PARSED_SQL}) p GROUP BY ROLLUP (layer, event, rnti)
+""")
+def q_trace_rollup(spark, d):
+    """Q7: by layer, event and device, with subtotals and the grand total."""
+    s = trace.trace_rollup(parsed_trace(spark, d))
+    return s.select("layer", "event", "rnti", "n", r6("t_min").alias("t_min"), r6("t_max").alias("t_max"), r6("avg_mcs").alias("avg_mcs"), "level")
+
+
+@query("trace_fields", f"""
+WITH p AS (SELECT event_id, regexp_extract(line, '^\\[([A-Z]+) *\\]', 1) AS layer,
+                  trim(regexp_extract(line, '\\] ([^|]*)', 1)) AS event, unnest(string_split(line, '|')[2:]) AS part FROM ({TRACE_SQL}) l),
+t AS (SELECT event_id, layer, event, trim(part) AS part FROM p),
+f AS (SELECT event_id, layer, event, 'outcome' AS key, part AS value FROM t WHERE part IN ('ACK', 'NACK')
+      UNION ALL SELECT event_id, layer, event, string_split(part, ' ')[2], string_split(part, ' ')[1] FROM t WHERE regexp_matches(part, '^[0-9]+ B$')
+      UNION ALL SELECT event_id, layer, event, string_split(part, ' ')[1], string_split(part, ' ')[2] FROM t
+                WHERE part NOT IN ('ACK', 'NACK') AND NOT regexp_matches(part, '^[0-9]+ B$'))
+SELECT * FROM f
+""")
+def q_trace_fields(spark, d):
+    """every field of every trace line, by its own name."""
+    r = trace.record_fields(render_trace(spark, d))
+    return r.select("event_id", "layer", "event", F.explode("fields").alias("key", "value"))
+
+
 @query("harq_by_process", f"""
 SELECT rnti, harq_pid, CAST(count(*) FILTER (WHERE harq_fb = 'ACK') AS BIGINT) AS acks,
        CAST(count(*) FILTER (WHERE harq_fb = 'NACK') AS BIGINT) AS nacks, max(retx) AS max_retx
@@ -505,11 +532,11 @@ def q_harq_by_process(spark, d):
     return sequences.harq_by_process(parsed_trace(spark, d))
 
 
-@query("linear_to_db", "SELECT event_id, round(10 * log10(value), 2) AS value_db FROM events WHERE value > 0")
+@query("linear_to_db", "SELECT event_id, CASE WHEN value > 0 THEN round(10 * log10(value), 2) END AS value_db FROM events")
 def q_linear_to_db(spark, d):
-    """linear power to dB with two digits."""
-    e = table(spark, d, "events").where(F.col("value") > 0)
-    return e.select("event_id", linear_to_db(F.col("value")).alias("value_db"))
+    """linear power to dB with two digits, null where there is no power."""
+    e = table(spark, d, "events")
+    return e.select("event_id", F.when(F.col("value") > 0, linear_to_db(F.col("value"))).alias("value_db"))
 
 
 NACK_SQL = """
@@ -770,30 +797,33 @@ from logweave.operators import retrieval as rt  # noqa: E402
 
 @shared
 def cluster_assignment(spark, d):
-    """Supplied clusters: embeddings.label; a vector's line is the first
-    non-empty line (cleaned) of the document with the same id."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("line_no"), F.col("label").alias("cluster"))
-    docs = table(spark, d, "documents").select(
-        F.col("doc_id").alias("line_no"),
-        clean_line(F.get(logs.split_lines(F.col("text")), F.lit(0))).alias("line"))
-    return e.join(docs, "line_no", "left").withColumn("line", F.coalesce("line", F.lit("")))
+    """Supplied clusters: embeddings.label; the lines of a vector are all
+    non-empty lines (cleaned) of the document with the same id, an empty one if
+    it has none. ``line_no`` is the vector's id and the line's place in it."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("seg"), F.col("label").alias("cluster"))
+    docs = logs.with_clean(logs.document_lines(table(spark, d, "documents"), dense=False)).select("seg", F.col("clean").alias("line"), "line_no")
+    a = e.join(docs, "seg", "left")
+    return a.select(F.coalesce("line_no", logs.ordinal(F.col("seg"))).alias("line_no"), "cluster", F.coalesce("line", F.lit("")).alias("line"))
 
 
 ASSIGN_SQL = f"""
-SELECT e.vec_id AS line_no, e.label AS cluster,
-       coalesce({S.clean("list_filter(string_split(coalesce(d.text, ''), chr(10)), lambda x: x <> '')[1]")}, '') AS line
-FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
+SELECT e.vec_id AS seg, e.label AS cluster, coalesce(d.pos, 0) AS pos, coalesce(d.line, '') AS line
+FROM embeddings e LEFT JOIN (
+  SELECT doc_id, pos - 1 AS pos, {S.clean('raw')} AS line
+  FROM (SELECT doc_id, unnest(arr) AS raw, unnest(generate_series(1, len(arr))) AS pos
+        FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS arr FROM documents) t) y) d
+  ON d.doc_id = e.vec_id
 """
 
 REPORT_SQL = f"""
 WITH a AS ({ASSIGN_SQL}),
-sz AS (SELECT cluster, count(*) AS size, min(line_no) AS first_idx FROM a GROUP BY cluster),
-pl AS (SELECT cluster, line, count(*) AS line_cnt, min(line_no) AS line_first FROM a GROUP BY cluster, line),
+sz AS (SELECT cluster, count(*) AS size, min((seg, pos)) AS first FROM a GROUP BY cluster),
+pl AS (SELECT cluster, line, count(*) AS line_cnt, min((seg, pos)) AS line_first FROM a GROUP BY cluster, line),
 mj AS (SELECT cluster, line, line_cnt FROM (
         SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY line_cnt DESC, line_first, line) AS r FROM pl) x WHERE r = 1)
-SELECT sz.cluster, CAST(sz.size AS BIGINT) AS size, CAST(sz.first_idx AS BIGINT) AS first_idx, mj.line,
+SELECT sz.cluster, CAST(sz.size AS BIGINT) AS size, CAST(sz.first[1] AS BIGINT) AS first_idx, mj.line,
        CAST(mj.line_cnt AS BIGINT) AS line_cnt,
-       CAST(row_number() OVER (ORDER BY sz.size, sz.first_idx) AS INTEGER) AS rank
+       CAST(row_number() OVER (ORDER BY sz.size, sz.first) AS INTEGER) AS rank
 FROM sz JOIN mj USING (cluster)
 """
 
@@ -802,7 +832,8 @@ FROM sz JOIN mj USING (cluster)
 def q_cluster_report(spark, d):
     """All clusters smallest first with their majority line."""
     r = cl.cluster_report(cluster_assignment(spark, d))
-    return r.select("cluster", "size", F.col("first_idx").cast("long"), "line", "line_cnt", "rank")
+    first = ((F.col("first_idx") - F.pmod("first_idx", F.lit(logs.POS_STEP).cast(logs.ORDINAL))) / logs.POS_STEP).cast("long")
+    return r.select("cluster", "size", first.alias("first_idx"), "line", "line_cnt", "rank")
 
 
 @query("rare_clusters", f"SELECT rank, cluster, size FROM ({REPORT_SQL}) r WHERE rank <= 5")
@@ -1465,15 +1496,26 @@ def q_stem_vocab(spark, d):
 
 @shared(materialize=True)
 def line_vectors(spark, d):
-    return cl.tfidf_vectors(event_lines(spark, d))
+    return cl.line_vectors(event_lines(spark, d))
 
 
-@query("tfidf_vectors")
+@query("tfidf_vectors", f"""
+WITH l AS ({S.EVENT_LINES}),
+u AS (SELECT log_id, clean, count(*) AS cnt, min(line_no) AS first_line FROM l GROUP BY log_id, clean),
+m AS (SELECT log_id, count(*) AS n FROM u GROUP BY log_id),
+t AS (SELECT log_id, clean, token, count(*) AS tf FROM (SELECT log_id, clean, unnest(string_split(clean, ' ')) AS token FROM u) x
+      WHERE token <> '' GROUP BY log_id, clean, token),
+i AS (SELECT log_id, token, ln((n + 1.0) / (count(*) + 1)) AS idf FROM t JOIN m USING (log_id) GROUP BY log_id, token, n HAVING count(*) < n),
+w AS (SELECT log_id, clean, token, tf * idf AS w FROM t JOIN i USING (log_id, token)),
+s AS (SELECT log_id, clean, sqrt(sum(w * w)) AS norm FROM w GROUP BY log_id, clean)
+SELECT log_id, clean, CAST(u.cnt AS BIGINT) AS cnt, CAST(u.first_line AS BIGINT) AS first_line, token, round(w / norm, 6) AS weight
+FROM w JOIN s USING (log_id, clean) JOIN u USING (log_id, clean)
+""")
 def q_tfidf_vectors(spark, d):
-    """Hashed TF-IDF, L2-normalised, one vector per distinct line."""
-    from pyspark.ml.functions import vector_to_array
-    v = line_vectors(spark, d)
-    return v.select("clean", "cnt", "first_line", vector_to_array("features").alias("embedding"))
+    """TF-IDF of each log's distinct lines, L2-normalised; a row for each
+    component."""
+    v = line_vectors(spark, d).select("log_id", "clean", "cnt", "first_line", F.inline("vector"))
+    return v.select("log_id", "clean", "cnt", "first_line", "token", r6("weight").alias("weight"))
 
 
 @shared(materialize=True)
@@ -1483,7 +1525,8 @@ def clustered_lines(spark, d):
 
 @query("cluster_lines")
 def q_cluster_lines(spark, d):
-    """Bisecting k-means (k = 15) on distinct line vectors weighted by count."""
+    """At most 15 clusters in each log, by bisecting k-means over its
+    distinct lines weighted by count."""
     return clustered_lines(spark, d).select("log_id", "line_no", "clean", "cluster")
 
 

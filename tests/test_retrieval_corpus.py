@@ -134,3 +134,17 @@ def test_analyze_log_files_end_to_end(spark, tmp_path):
     assert out["chunks"].where("h2 = 'Foreword'").count() == 0
     prompts = {r.mode: r for r in out["prompts"].collect()}
     assert len(prompts) == 13 and "FIVE ANOMALOUS EVENTS DETECTED" in prompts[5].prompt_tail
+
+
+def test_cosine_blocks_give_the_same_rows(spark):
+    """Queries in one block and in many give the same hits, ties by id, zero and null vectors included."""
+    import random
+
+    rng = random.Random(2)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(6)] if i % 17 else [0.0] * 6) for i in range(120)] + [(500, None)]
+    corpus = spark.createDataFrame(vectors, "doc_id long, embedding array<double>")
+    queries = spark.createDataFrame([(f"q{i}", v) for i, v in vectors[::5]] + [("none", None)], "query_id string, embedding array<double>")
+    one = sorted(map(tuple, retrieval.cosine_topk(queries, corpus).collect()))
+    many = sorted(map(tuple, retrieval.cosine_topk(queries, corpus, block_bytes=600).collect()))
+    assert one == many and one
+    assert retrieval.cosine_topk(queries.limit(0), corpus).count() == 0
