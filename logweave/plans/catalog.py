@@ -1285,16 +1285,27 @@ def q_run_all_modes(spark, d):
 
 @query("cache_reuse", f"""
 WITH ev AS ({EVENTS_SQL})
-SELECT log_id, m.mode, lower(rag_query) AS query
+SELECT log_id, m.mode, lower(rag_query) AS query, CAST(substr(log_id, 4) AS BIGINT) % 2 = 1 AS reused
 FROM ev, (VALUES (3), (6), (9), (12)) m(mode) WHERE extraction = 'dynamic'
 """)
 def q_cache_reuse(spark, d):
-    """SNK5/P6: the translated query is computed once per log (cache miss
-    path: nothing cached yet) and shared by modes 3, 6, 9 and 12."""
-    tq = translated_queries(spark, d).select("log_id", F.col("translated").alias("query"))
-    empty = tq.where(F.lit(False))  # first run: nothing cached yet
-    shared = md.reuse_or_compute(empty, tq)
-    return shared.select("log_id", F.explode(F.array(*[F.lit(m) for m in (3, 6, 9, 12)])).alias("mode"), "query")
+    """SNK5/P6: the translated query of a log is computed once, kept by the
+    content that it came from, and shared by modes 3, 6, 9 and 12. A first
+    generation saw other text in the logs of even devices; the second takes the
+    others' values over and computes those anew."""
+    from logweave.session import cut_lineage
+
+    now = cut_lineage(events_and_queries(spark, d).where(F.col("extraction") == "dynamic").select("log_id", "rag_query"))
+    even = F.substring("log_id", 4, 99).cast("long") % 2 == 0
+    then = now.withColumn("rag_query", F.when(even, F.concat(F.lit("before: "), "rag_query")).otherwise(F.col("rag_query")))
+
+    def translate(logs_: DataFrame) -> DataFrame:
+        return logs_.select("log_id", F.lower("rag_query").alias("query"))
+
+    first = cut_lineage(md.next_generation(then, translate))
+    second = cut_lineage(md.next_generation(now, translate, first))
+    return second.select("log_id", F.explode(F.array(*[F.lit(m) for m in (3, 6, 9, 12)])).alias("mode"), "query",
+                         (F.col("generation") == 0).alias("reused"))
 
 
 @shared

@@ -8,6 +8,8 @@ logs, and modes pick their inputs by joins on (log_id, extraction).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,11 +114,32 @@ def validate_external_events(events: DataFrame, lines: DataFrame, text_col: str
             .withColumn("exists", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit"))
 
 
-def reuse_or_compute(cache: DataFrame, computed: DataFrame, key: str = "log_id") -> DataFrame:
-    """SNK5: values already in the cache are reused; only missing keys are
-    taken from ``computed`` (anti join), then both are unioned."""
-    missing = computed.join(cache.select(key), key, "left_anti")
-    return cache.unionByName(missing.select(*cache.columns))
+def next_generation(inputs: DataFrame, compute: Callable[[DataFrame], DataFrame], previous: DataFrame | None = None, key: str = "log_id") -> DataFrame:
+    """SNK5: derived values of keyed inputs (a row for each key), computed for
+    the keys whose content is new only.
+
+    A value is kept with the fingerprint of the input that it came from and the
+    ``generation`` that computed it. ``previous`` is the generation before, as
+    written; keys that are there with the same fingerprint keep their value, the
+    others alone go through ``compute`` (rows of ``inputs`` to rows of the key
+    and its values), and keys that are gone go. The result is a generation to be
+    written; the ones before stay as they are, so a run that fails leaves the
+    last good one."""
+    content = [c for c in inputs.columns if c != key]
+    # nulls are written out, so that columns can't be mistaken for each other
+    mark = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
+    marked = inputs.withColumn("fingerprint", mark)
+    if previous is None:
+        generation, missing = 0, marked
+    else:
+        generation = (previous.agg(F.max("generation")).first()[0] or 0) + 1
+        missing = marked.join(previous.select(key, "fingerprint"), [key, "fingerprint"], "left_anti")
+    fresh = (compute(missing.drop("fingerprint")).join(missing.select(key, "fingerprint"), key)
+             .withColumn("generation", F.lit(generation).cast("bigint")))
+    if previous is None:
+        return fresh
+    kept = previous.join(marked.select(key, "fingerprint"), [key, "fingerprint"], "left_semi")
+    return fresh.unionByName(kept.select(fresh.columns))
 
 
 def run_all_modes(logs: DataFrame, events_text: DataFrame, queries: DataFrame) -> DataFrame:
