@@ -186,6 +186,106 @@ def test_quotes(spark):
     assert quotes.threaded(messages(spark).limit(0)).count() == 0
 
 
+def quoted_by_hand(rows, by_turn):
+    """Parents of messages (conversation, turn, text), by listing all runs of words of all messages."""
+    import re
+
+    def passages(text):
+        out = []
+        for line in re.split(r"\r\n?|\n", text or ""):
+            marks = re.match(r"\s*((?:>\s?)+)", line)
+            depth = marks.group(1).count(">") if marks else 0
+            plain = " ".join((line[marks.end():] if marks else line).split()).lower()
+            if not out or out[-1][0] != depth:
+                out.append((depth, []))
+            out[-1][1].append(plain)
+        return out
+
+    def runs(text):
+        w = text.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({("all", text)} if text else set())
+
+    said, parents = {}, {}
+    for c, t, text in rows:
+        if t is not None:
+            for d, lines in passages(text):
+                if d == 0:
+                    new = runs(" ".join(x for x in lines if x)) | {("all", x) for x in lines if x and len(x.split()) < 5}
+                    for h in new:
+                        said.setdefault((c, h), set()).add(t)
+    turns = sorted({(c, t) for c, t, _ in rows if t is not None}, key=repr)
+    for c, t, text in rows:
+        if t is None:
+            continue
+        best = []
+        for d, lines in passages(text):
+            asked = runs(" ".join(x for x in lines if x))
+            if d and asked:
+                at = [max((o for o in said.get((c, h), ()) if o < t), default=None) for h in asked]
+                count = {o: at.count(o) for o in at if o is not None}
+                if 2 * sum(count.values()) >= len(asked):
+                    best.append((-d, max((n, o) for o, n in count.items())[1]))
+        last = max((o for x, o in turns if x == c and o < t), default=None) if by_turn else None
+        parents[c, t] = max(best)[1] if best else last
+    return parents
+
+
+@pytest.mark.parametrize("by_turn", [False, True])
+def test_quotes_wrapped_partial_repeated_and_gaps(spark, by_turn):
+    import random
+    import textwrap
+
+    rng = random.Random(11)
+    rows = []
+    for c in [*range(25), None]:
+        own = {}
+        for t in sorted(rng.sample(range(40), 9)):  # with gaps
+            text = " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(rng.choice((2, 4, 9, 30))))
+            if rng.random() < 0.2:
+                text = "Thanks a lot!"  # said again and again
+            parts = []
+            if own and rng.random() < 0.7:
+                o = own[rng.choice(list(own))].split()
+                a = rng.randrange(len(o))
+                quote = o[a:a + rng.choice((3, 8, 40))]
+                if rng.random() < 0.3:
+                    quote[rng.randrange(len(quote))] = "changed"
+                mark = rng.choice(("> ", ">", ">> ", "> > "))
+                parts += ["On Monday, X wrote:"] * (rng.random() < 0.3) + [mark + x.upper() for x in textwrap.wrap(" ".join(quote), rng.choice((15, 40, 200)))]
+            own[t] = text
+            parts += textwrap.wrap(text, rng.choice((12, 50)))
+            rows.append((c, t, "\n".join(parts)))
+    rows += [(3, None, "> Thanks a lot!"), (4, 50, None), (4, 60, ""), (4, 70, "> \n>\n"), (5, 50, "> never said by anyone here, at all"), (6, 99, rows[0][2])]
+    df = spark.createDataFrame([(c, t, "u", x, 1) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string, depth int").repartition(4)
+    got = quotes.threaded(df, by_turn=by_turn).select("message.conv_id", "message.turn", "parent_turn").collect()
+    want = quoted_by_hand(rows, by_turn)
+    assert len(got) == len(rows)
+    assert {(r.conv_id, r.turn): r.parent_turn for r in got if r.turn is not None} == want
+    assert sum(p is not None for p in want.values()) > 40
+
+
+def test_gaps_in_the_turns_do_not_break_a_thread(spark):
+    df = spark.createDataFrame([(1, t, "u", f"text {t}") for t in (None, 1, 5, 6, 40)], "conv_id bigint, turn bigint, role string, text string")
+    got = {r.turn: (r.parent_turn, r.root_turn, r.depth) for r in quotes.threaded(df).select("message.turn", "parent_turn", "root_turn", "depth").collect()}
+    assert got == {None: (None, None, 0), 1: (None, 1, 0), 5: (1, 1, 1), 6: (5, 1, 2), 40: (6, 1, 3)}
+
+
+def test_a_line_that_all_say_and_quote(spark):
+    """300 messages of one conversation say and quote one line: the lookup has a row for each quote, not for each pair."""
+    rows = [(1, i, "u", "> the line that all of us say\nthe line that all of us say") for i in range(300)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.turn: r.parent_turn for r in quotes.threaded(df, by_turn=False).select("message.turn", "parent_turn").collect()}
+    assert got == {i: i - 1 if i else None for i in range(300)}
+
+
+def test_very_long_messages(spark):
+    long = " ".join(f"word{i}" for i in range(60000))
+    rows = [(1, 0, "u", long), (1, 1, "u", "nothing"), (1, 2, "u", "> " + " ".join(long.split()[20000:50000]) + "\nyes")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.turn: (r.parent_turn, r.own_text) for r in quotes.threaded(df).select("message.turn", "parent_turn", "own_text").collect()}
+    assert got[2] == (0, "yes") and got[0] == (None, long)
+
+
 def test_long_thread(spark):
     rows = [(9, i, "u", f"line {i}" + (f"\n> line {i - 1}" if i else "")) for i in range(70)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
