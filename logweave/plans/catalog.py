@@ -666,6 +666,53 @@ def q_parse_ue_stats(spark, d):
                     r6("bler").alias("bler"), "mcs_table", "mcs")
 
 
+def ue_stat_blocks(spark, d):
+    """All line kinds of each statistics block."""
+    def text(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    s = ue_stats(spark, d).select("*", F.format_string("%.5f", F.round(F.col("errors") / F.col("rounds"), 5)).alias("bler"))
+    u, c = F.col("user_id"), F.col
+    lines = F.array(
+        text("UE RNTI ", u, " CU-UE-ID ", u % 100 + 1, F.when(c("mcs_table") > 0, " in-sync").otherwise(" out-of-sync"), " PH ", c("cqi") + 20,
+             " dB PCMAX 21 dBm, average RSRP ", c("rsrp"), " (", c("mcs"), " meas)"),
+        text("UE ", u, ": UL-RI ", c("cqi") % 2 + 1, ", TPMI ", c("mcs") % 4),
+        text("UE ", u, ": dlsch_rounds ", c("rounds"), "/", c("errors"), "/", c("retx2"), "/", c("retx3"), ", dlsch_errors ", c("retx3"),
+             ", pucch0_DTX ", c("dtx"), ", BLER ", c("bler"), " MCS (", c("mcs_table"), ") ", c("mcs")),
+        text("UE ", u, ": ulsch_rounds ", c("errors"), "/", c("retx2"), "/", c("retx3"), "/0, ulsch_errors ", c("dtx"), ", ulsch_DTX ", c("retx2"),
+             ", BLER ", c("bler"), " MCS (0) ", c("cqi")),
+        text("UE ", u, ": MAC: TX ", c("rounds") * 100, " RX ", c("errors") * 10, " bytes"),
+        text("UE ", u, ": LCID 1: TX ", c("rounds"), " RX ", c("errors"), " bytes"),
+        text("UE ", u, ": LCID 4: TX ", c("rounds") * 7, " RX ", c("retx2"), " bytes"))
+    return s.select("user_id", "block_no", F.explode(lines).alias("line"))
+
+
+@query("ue_stat_records", f"""
+WITH s AS (SELECT *, round(CAST(printf('%.5f', round(errors / rounds, 5)) AS DOUBLE), 6) AS bler FROM ({UE_STATS_SQL}) x)
+SELECT user_id, CAST(block_no AS BIGINT) AS block_no, CAST(user_id AS VARCHAR) AS rnti, CAST(user_id % 100 + 1 AS INTEGER) AS cu_ue_id,
+       mcs_table > 0 AS sync, CAST(cqi + 20 AS INTEGER) AS ph_db, 21 AS pcmax_dbm, CAST(rsrp AS INTEGER) AS rsrp_dbm, CAST(mcs AS INTEGER) AS rsrp_meas,
+       CAST(cqi % 2 + 1 AS INTEGER) AS ul_ri, CAST(mcs % 4 AS INTEGER) AS tpmi,
+       [CAST(rounds AS BIGINT), CAST(errors AS BIGINT), CAST(retx2 AS BIGINT), CAST(retx3 AS BIGINT)] AS dl_rounds, CAST(retx3 AS BIGINT) AS dl_errors,
+       CAST(dtx AS BIGINT) AS dl_dtx, bler AS dl_bler, CAST(mcs_table AS INTEGER) AS dl_mcs_table, CAST(mcs AS INTEGER) AS dl_mcs,
+       [CAST(errors AS BIGINT), CAST(retx2 AS BIGINT), CAST(retx3 AS BIGINT), 0] AS ul_rounds, CAST(dtx AS BIGINT) AS ul_errors,
+       CAST(retx2 AS BIGINT) AS ul_dtx, bler AS ul_bler, CAST(cqi AS INTEGER) AS ul_mcs, CAST(rounds * 100 AS BIGINT) AS mac_tx,
+       CAST(errors * 10 AS BIGINT) AS mac_rx, CAST(rounds AS BIGINT) AS lcid1_tx, CAST(errors AS BIGINT) AS lcid1_rx,
+       CAST(rounds * 7 AS BIGINT) AS lcid4_tx, CAST(retx2 AS BIGINT) AS lcid4_rx
+FROM s
+""")
+def q_ue_stat_records(spark, d):
+    """every line kind of a statistics block parsed and put together to
+    one record for each device and block."""
+    r = trace.ue_stat_records(trace.parse_ue_stats(ue_stat_blocks(spark, d)), ["user_id", "block_no"])
+    return r.select(
+        "user_id", F.col("block_no").cast("long").alias("block_no"), "rnti", "cu_ue_id", "sync", "ph_db", "pcmax_dbm", "rsrp_dbm", "rsrp_meas", "ul_ri", "tpmi",
+        F.col("dl.rounds").alias("dl_rounds"), F.col("dl.errors").alias("dl_errors"), F.col("dl.dtx").alias("dl_dtx"), r6("dl.bler").alias("dl_bler"),
+        F.col("dl.mcs_table").alias("dl_mcs_table"), F.col("dl.mcs").alias("dl_mcs"), F.col("ul.rounds").alias("ul_rounds"),
+        F.col("ul.errors").alias("ul_errors"), F.col("ul.dtx").alias("ul_dtx"), r6("ul.bler").alias("ul_bler"), F.col("ul.mcs").alias("ul_mcs"),
+        F.col("mac.tx").alias("mac_tx"), F.col("mac.rx").alias("mac_rx"), F.col("lcid_bytes")[1]["tx"].alias("lcid1_tx"),
+        F.col("lcid_bytes")[1]["rx"].alias("lcid1_rx"), F.col("lcid_bytes")[4]["tx"].alias("lcid4_tx"), F.col("lcid_bytes")[4]["rx"].alias("lcid4_rx"))
+
+
 @query("counter_deltas", f"""
 WITH s AS ({UE_STATS_SQL}),
 p AS (SELECT *, lag(rounds) OVER w AS pr, lag(errors) OVER w AS pe FROM s WINDOW w AS (PARTITION BY user_id ORDER BY block_no))
