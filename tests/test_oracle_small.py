@@ -63,7 +63,7 @@ def test_drain_templates_equal_sequential_python(spark):
     """M1b on the small event log equals a sequential single-process run
     (every key group fits one chunk, so the result must be exact)."""
     import __spark_entry__ as E
-    from logweave.operators.templates import _cluster_sequence
+    from test_mining import sequential_clusters
     from logweave.plans import catalog
 
     lines = catalog.event_lines(spark, SF).select("log_id", "line_no", "clean").toPandas()
@@ -76,7 +76,7 @@ def test_drain_templates_equal_sequential_python(spark):
         g = groups.setdefault(key, {})
         g.setdefault(r.clean, toks)
     for key, g in groups.items():
-        for tmpl in _cluster_sequence(list(g.values())):
+        for tmpl in sequential_clusters(list(g.values())):
             want.add((key[0], " ".join(tmpl)))
     got = {(r.log_id, r.template) for r in E.queries()["drain_templates"](spark, SF).collect()}
     assert got == want
