@@ -1,13 +1,16 @@
 """Line clustering and rare-cluster events.
 
 C1/C2 work on *distinct* lines of each log (weighted by their count), so they
-scale with the vocabulary of lines, not with the raw log volume; C7 runs MLlib's
-PCA on them. C3-C6/C8 are plain aggregates over a cluster assignment, whether it
+scale with the vocabulary of lines, not with the raw log volume: a log whose
+lines fit in ``LOG_BYTES`` is clustered where its lines lie after one shuffle,
+a larger one by grouped aggregates over all tasks. C7 runs MLlib's PCA on them. C3-C6/C8 are plain aggregates over a cluster assignment, whether it
 comes from C2 or is supplied.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -18,6 +21,8 @@ from logweave.session import cut_lineage
 N_CLUSTERS = 15     # fixed values: clusters built / smallest clusters reported
 N_REPORTED = 5
 ROUNDS = 2          # of nearest-centre steps in a split
+#: Bytes of a log's distinct lines (texts and vectors) up to which one task clusters the log.
+LOG_BYTES = 32 << 20
 
 
 def cluster_sizes(assign: DataFrame, cluster: str = "cluster", pos: str = "line_no",
@@ -59,20 +64,24 @@ def line_vectors(lines: DataFrame, text_col: str = "clean") -> DataFrame:
     """C1 fallback embedding: TF-IDF of each distinct line of a log among the
     log's distinct lines, L2-normalised, ``(log_id, clean, cnt, first_line,
     vector)``; ``vector`` has a (token, weight) for every token that not all
-    lines share, each token for itself. A log's vectors depend on that log."""
-    uniq = cut_lineage(lines.groupBy("log_id", text_col).agg(F.count(F.lit(1)).alias("cnt"), F.min("line_no").alias("first_line")))
-    words = uniq.select("log_id", text_col, F.explode(F.split(text_col, " ")).alias("token")).where("token <> ''")
-    tf = words.groupBy("log_id", text_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    lines share, each token for itself. A log's vectors depend on that log.
+
+    A distinct line has a number, written with it, which its tokens carry in
+    place of its text."""
+    uniq = lines.groupBy("log_id", text_col).agg(F.count(F.lit(1)).alias("cnt"), F.min("line_no").alias("first_line"))
+    uniq = cut_lineage(uniq.withColumn("_line", F.monotonically_increasing_id()))
+    words = uniq.select("log_id", "_line", F.explode(F.split(text_col, " ")).alias("token")).where("token <> ''")
+    tf = cut_lineage(words.groupBy("log_id", "_line", "token").agg(F.count(F.lit(1)).alias("tf")))
     n = uniq.groupBy("log_id").agg(F.count(F.lit(1)).alias("n"))
-    idf = words.distinct().groupBy("log_id", "token").agg(F.count(F.lit(1)).alias("df")).join(n, "log_id")
+    idf = tf.groupBy("log_id", "token").agg(F.count(F.lit(1)).alias("df")).join(n, "log_id")
     idf = cut_lineage(idf.where("df < n").select("log_id", "token", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf")))
     part = F.struct("token", (F.col("tf") * F.col("idf")).alias("weight"))
-    vec = tf.join(idf, ["log_id", "token"]).groupBy("log_id", text_col).agg(F.sort_array(F.collect_list(part)).alias("v"))
+    vec = tf.join(idf, ["log_id", "token"]).groupBy("_line").agg(F.sort_array(F.collect_list(part)).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"]))
-    vec = vec.withColumn("norm", norm).select("log_id", text_col, F.transform("v", lambda x: F.struct(
+    vec = vec.withColumn("norm", norm).select("_line", F.transform("v", lambda x: F.struct(
         x["token"].alias("token"), (x["weight"] / F.col("norm")).alias("weight"))).alias("vector"))
     none = F.array().cast("array<struct<token:string,weight:double>>")
-    return uniq.join(vec, ["log_id", text_col], "left").withColumn("vector", F.coalesce("vector", none))
+    return uniq.join(vec, "_line", "left").drop("_line").withColumn("vector", F.coalesce("vector", none))
 
 
 def hashed_vectors(vectors: DataFrame, num_features: int = 1 << 8) -> DataFrame:
@@ -141,20 +150,110 @@ def _split(state: DataFrame, chosen: DataFrame) -> DataFrame:
     return cut_lineage(state.join(chosen, key, "left_anti").unionByName(rows))
 
 
-def cluster_lines(lines: DataFrame, k: int = N_CLUSTERS, text_col: str = "clean", vectors: DataFrame | None = None) -> DataFrame:
+def _nodes_of_log(cnt: np.ndarray, row: np.ndarray, token: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """The leaf of every line of one log by the rounds of ``_to_split`` and
+    ``_split``. Entry i of the vectors: line ``row[i]`` has ``w[i]`` at
+    ``token[i]``; lines come in order of their first places."""
+    node, whole = np.ones(len(cnt), np.int64), set()
+    n_tokens = int(token.max()) + 1 if len(token) else 0
+    mass = cnt[row] * w
+
+    def centre(own: np.ndarray) -> np.ndarray:
+        return np.bincount(token[own], mass[own], n_tokens)
+
+    def dots(c: np.ndarray) -> np.ndarray:
+        return np.bincount(row, w * c[token], len(cnt)).round(9)
+
+    def vector(line: int) -> np.ndarray:
+        own = row == line
+        return np.bincount(token[own], w[own], n_tokens)
+
+    def spread_of(leaf: int) -> tuple[float, int, int]:
+        own = node == leaf
+        spread = float(cnt[own].sum() - np.sqrt((centre(own[row]) ** 2).sum())) if own.sum() > 1 else 0.0
+        return -round(spread, 6), int(np.argmax(own)), leaf
+
+    leaves = {1: spread_of(1)}
+    for _ in range(k - 1):
+        ranked = sorted(leaves[x] for x in leaves if x not in whole and leaves[x][0] < 0)
+        chosen = [leaf for *_, leaf in ranked[:k - len(leaves)]]
+        if not chosen:
+            break
+        for leaf in chosen:
+            lines = np.flatnonzero(node == leaf)
+            one = lines[np.argmin(dots(centre((node == leaf)[row]))[lines])]
+            others = lines[lines != one]
+            a = vector(one)
+            b = vector(others[np.argmin(dots(a)[others])])
+            for step in range(ROUNDS):
+                la, lb = np.sqrt((a ** 2).sum()), np.sqrt((b ** 2).sum())
+                near = [(dots(x)[lines] / length).round(9) if length > 0 else np.zeros(len(lines)) for x, length in ((a, la), (b, lb))]
+                side = near[1] > near[0]
+                if step < ROUNDS - 1:
+                    of = np.full(len(cnt), -1)
+                    of[lines] = side
+                    a, b = centre(of[row] == 0), centre(of[row] == 1)
+            if side.any() and not side.all():
+                node[lines] = node[lines] * 2 + side
+                del leaves[leaf]
+                leaves |= {x: spread_of(x) for x in (leaf * 2, leaf * 2 + 1)}
+            else:
+                whole.add(leaf)
+    return node
+
+
+def _log_clusters(log: pa.Table, text_col: str, k: int) -> pa.Table:
+    """``(log_id, text, cluster)`` of the lines of one log."""
+    log = log.sort_by([("first_line", "ascending"), (text_col, "ascending")]).combine_chunks()
+    v = log["v"].combine_chunks()
+    row = np.repeat(np.arange(len(log)), v.value_lengths().to_numpy(zero_copy_only=False))
+    parts = v.flatten()
+    _, token = np.unique(parts.field("t").to_numpy(), return_inverse=True)
+    node = _nodes_of_log(log["cnt"].to_numpy().astype(float), row, token, parts.field("w").to_numpy(), k)
+    _, at, place = np.unique(node, return_index=True, return_inverse=True)
+    number = np.argsort(np.argsort(at))  # clusters in order of their first lines
+    return pa.table({"log_id": log["log_id"], text_col: log[text_col], "cluster": pa.array(number[place], pa.int32())})
+
+
+def _clustered_by_log(state: DataFrame, text_col: str, k: int) -> DataFrame:
+    own = state.select("log_id", text_col, "cnt", "first_line", "v")
+    return own.groupBy("log_id").applyInArrow(lambda log: _log_clusters(log, text_col, k), f"log_id string, `{text_col}` string, cluster int")
+
+
+def cluster_lines(lines: DataFrame, k: int = N_CLUSTERS, text_col: str = "clean", vectors: DataFrame | None = None,
+                  log_bytes: int = LOG_BYTES) -> DataFrame:
     """The lines of each log in at most ``k`` clusters, by bisecting
     (spherical) k-means over the log's distinct lines, weighted by how often
     each occurs. (Ward linkage needs all pairwise distances, O(n^2), so the
     divisive split is used instead.)
 
-    All logs are split at once: a round takes every log's widest leaves, and is
-    a few grouped aggregates whose size is that of the distinct lines; no log
-    is a task's own, and a log's clusters depend on its lines only. A round
-    splits a leaf at least in every log that lacks clusters, so there are at
-    most ``k - 1`` rounds. Clusters are numbered by their first line."""
+    A log whose distinct lines (texts and vectors) take ``log_bytes`` at most is
+    clustered in one task, as many logs at a time as there are tasks: its lines
+    are shuffled once, whatever the number of rounds. Larger logs are split all
+    at once: a round takes every such log's widest leaves, and is a few grouped
+    aggregates whose size is that of their distinct lines; none of them is a
+    task's own. Both follow the same rule: a round splits a leaf at least in
+    every log that lacks clusters, so there are at most ``k - 1`` rounds, and a
+    log's clusters depend on its lines only. Clusters are numbered by their
+    first line."""
     vec = vectors if vectors is not None else line_vectors(lines, text_col)
     v = F.transform("vector", lambda x: F.struct(F.xxhash64(x["token"]).alias("t"), x["weight"].alias("w")))
-    state = cut_lineage(vec.select("log_id", text_col, "cnt", "first_line", v.alias("v"), F.lit(1).cast("bigint").alias("node"), F.lit(False).alias("whole")))
+    state = vec.select("log_id", text_col, "cnt", "first_line", v.alias("v"), F.lit(1).cast("bigint").alias("node"), F.lit(False).alias("whole"))
+    size = F.sum(64 + F.octet_length(text_col) + 16 * F.size("vector"))
+    # at most one row for ``log_bytes`` of lines
+    large = cut_lineage(vec.where("log_id IS NOT NULL").groupBy("log_id").agg(size.alias("size")).where(F.col("size") > log_bytes).select("log_id"))
+    if large.isEmpty():
+        assign = _clustered_by_log(state.where("log_id IS NOT NULL"), text_col, k)
+    else:
+        small = state.where("log_id IS NOT NULL").join(F.broadcast(large), "log_id", "left_anti")
+        assign = _clustered_by_log(small, text_col, k).unionByName(
+            _clustered_in_rounds(state.join(F.broadcast(large), "log_id", "left_semi"), text_col, k))
+    return lines.join(cut_lineage(assign), ["log_id", text_col])
+
+
+def _clustered_in_rounds(state: DataFrame, text_col: str, k: int) -> DataFrame:
+    """``(log_id, text, cluster)`` for logs of any size."""
+    state = cut_lineage(state)
     for _ in range(k - 1):
         chosen = cut_lineage(_to_split(state, k))
         if chosen.isEmpty():
@@ -162,8 +261,7 @@ def cluster_lines(lines: DataFrame, k: int = N_CLUSTERS, text_col: str = "clean"
         state = _split(state, chosen)
     first = state.groupBy("log_id", "node").agg(F.min("first_line").alias("first"))
     number = first.withColumn("cluster", F.row_number().over(Window.partitionBy("log_id").orderBy("first")) - 1).drop("first")
-    assign = cut_lineage(state.join(number, ["log_id", "node"]).select("log_id", text_col, "cluster"))
-    return lines.join(assign, ["log_id", text_col])
+    return state.join(number, ["log_id", "node"]).select("log_id", text_col, "cluster")
 
 
 def project_2d(vectors: DataFrame, assign: DataFrame, text_col: str = "clean") -> DataFrame:

@@ -60,3 +60,23 @@ def test_vectors_equal_the_formula(spark):
     assert got[("a", "x")] == ({}, 1, 2) and got[("b", "x y")] == ({}, 1, 0) and got[("c", "")] == ({}, 1, 0) and got[("a", "x y")][1:] == (2, 0)
     hashed = clusters.hashed_vectors(clusters.line_vectors(lines_of(spark, logs)), 16).select(F.col("features"))
     assert all(len(r.features) == 16 for r in hashed.collect())
+
+
+def test_logs_of_one_task_equal_logs_split_in_rounds(spark):
+    rng = random.Random(8)
+    logs = {f"l{n}": [" ".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 90))] for n in range(12)}
+    logs |= {"k": kinds(3), "same": ["x y"] * 9, "blank": ["", ""], "two": ["one", "two"]}
+    whole = found(spark, logs, k=4)
+    assert len(whole) == sum(map(len, logs.values()))
+    assert whole == found(spark, logs, k=4, log_bytes=4000)
+
+
+def test_lines_of_small_logs_are_shuffled_once(spark, monkeypatch):
+    rounds = []
+    split = clusters._split
+    monkeypatch.setattr(clusters, "_split", lambda *a: rounds.append(1) or split(*a))
+    logs = {"a": kinds(1), "b": kinds(2)}
+    found(spark, logs, k=3)
+    assert not rounds
+    found(spark, logs, k=2, log_bytes=0)
+    assert rounds
