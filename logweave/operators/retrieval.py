@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.functions.text import WS, whitespace_tokens
-from logweave.session import BROADCAST_BYTES
+from logweave.functions.text import whitespace_tokens
+from logweave.session import BROADCAST_BYTES, cut_lineage
 
 # fixed values: retriever parameters of the reference pipeline
 K1 = 1.5
@@ -25,6 +25,8 @@ COSINE_THRESHOLD = 0.3
 BM25_WEIGHT = 0.3
 VECTOR_WEIGHT = 0.7
 RRF_C = 60
+#: (Query, term, document) triples scored in a task.
+TASK_PAIRS = 1 << 20
 
 
 def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -34,7 +36,7 @@ def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     per corpus (and persist) - every query batch reuses them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"),
-                     F.avg(F.regexp_count(text, F.lit(f"[^{WS[1:-1]}]+"))).alias("avgdl"))
+                     F.avg(F.size(whitespace_tokens(text))).alias("avgdl"))
     n_docs = stats.select("n_docs").scalar()
     dfreq = (docs.select(F.explode_outer(F.array_distinct(whitespace_tokens(text))).alias("term"))
              .where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
@@ -45,32 +47,57 @@ def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return idf, stats
 
 
+def query_profiles(queries: DataFrame, idf: DataFrame, qid_col: str = "query_id", qtext_col: str = "query") -> DataFrame:
+    """``(query_id, profile)``: the terms of each query that the corpus knows,
+    with repetition, sorted and joined by a space. A ranking depends on nothing
+    else of a query, so queries of one profile share theirs; the profile is a
+    query text itself. Queries without a known term have no hits and no row."""
+    terms = queries.select(F.col(qid_col).alias("query_id"), F.explode(whitespace_tokens(F.coalesce(F.col(qtext_col), F.lit("")))).alias("term"))
+    known = cut_lineage(terms.select("term").distinct().join(idf.select("term"), "term"))
+    return terms.join(known, "term").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("profile"))
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "doc_id",
               text_col: str = "text", qid_col: str = "query_id", qtext_col: str = "query",
-              index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+              index: tuple[DataFrame, DataFrame] | None = None, block_bytes: int = BROADCAST_BYTES, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """``(query_id, rank, doc_id, score)`` for every query at once.
 
     Postings are built only for terms that occur in some query (semi-join),
     in one tokenisation pass; ``index`` (from ``bm25_index``) supplies idf
-    and corpus statistics, built here when not given. The per-query top-k is
-    a window group limit (partial top-k before the shuffle).
+    and corpus statistics, built here when not given. They are dealt out by
+    document, to so many tasks that each scores some ``task_pairs`` triples
+    (counted beforehand), and meet the queries' weighted terms in blocks of
+    ``block_bytes``, each broadcast: a score is summed where its document lies,
+    and neither a frequent term nor a larger corpus makes a task larger. The
+    per-query top-k is a window group limit (partial top-k before the shuffle).
     """
     idf, stats = index if index is not None else bm25_index(docs, id_col, text_col)
     avgdl = stats.select("avgdl").scalar()
     qterms = (queries.select(F.col(qid_col).alias("query_id"),
                              F.explode(whitespace_tokens(F.coalesce(F.col(qtext_col), F.lit("")))).alias("term"))
               .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    vocab = qterms.select("term").distinct()
+    weights = cut_lineage(qterms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+    vocab = weights.select("term").distinct()
     toks = docs.select(F.col(id_col).alias("doc_id"), whitespace_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    postings = (toks.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-                .where(F.col("term").isNotNull())
-                .join(vocab, "term", "left_semi")
-                .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    postings = cut_lineage(toks.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+                           .where(F.col("term").isNotNull())
+                           .join(vocab, "term", "left_semi")
+                           .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    users = weights.groupBy("term").agg(F.count(F.lit(1)).alias("users"),
+                                        F.sum(64 + F.octet_length("term") + F.octet_length(F.coalesce(F.col("query_id").cast("string"), F.lit("")))).alias("bytes"))
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total, pairs = users.join(df, "term", "left").agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.col("users") * F.col("df")), F.lit(0))).first()
+    blocks = max(1, -(-2 * total // block_bytes))
+    tasks = pairs // (blocks * task_pairs) + 1
     tf = F.col("tf")
-    part = (F.col("qtf") * F.col("idf") * (tf * F.lit(K1 + 1))
+    part = (F.col("weight") * (tf * F.lit(K1 + 1))
             / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / avgdl)))
-    scored = (qterms.join(idf, "term").join(postings, "term")
-              .groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")))
+    by_doc = postings.repartition(tasks, "doc_id")
+    scored = None
+    for block in range(blocks):
+        own = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        more = by_doc.join(F.broadcast(own), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+        scored = more if scored is None else scored.unionByName(more)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "doc_id", "score"))

@@ -148,3 +148,28 @@ def test_cosine_blocks_give_the_same_rows(spark):
     many = sorted(map(tuple, retrieval.cosine_topk(queries, corpus, block_bytes=600).collect()))
     assert one == many and one
     assert retrieval.cosine_topk(queries.limit(0), corpus).count() == 0
+
+
+def test_queries_of_the_same_known_terms_share_a_profile(spark):
+    docs = spark.createDataFrame([(i, f"link w{i % 5} beam" if i % 3 else f"link link {i}") for i in range(40)], "doc_id long, text string")
+    qs = spark.createDataFrame([("a", "link w1 unknown7"), ("b", "other w1  link"), ("c", "link link w1"), ("d", "none here"), ("e", None), ("f", "beam"), ("f", "w2")],
+                               "query_id string, query string")
+    index = retrieval.bm25_index(docs)
+    of = {r.query_id: r.profile for r in retrieval.query_profiles(qs, index[0]).collect()}
+    assert of == {"a": "link w1", "b": "link w1", "c": "link link w1", "f": "beam w2"}
+    whole = {(r.query_id, r.rank): (r.doc_id, round(r.score, 9)) for r in retrieval.bm25_topk(docs, qs, index=index).collect()}
+    shared = spark.createDataFrame([(p, p) for p in set(of.values())], "query_id string, query string")
+    hits = {(r.query_id, r.rank): (r.doc_id, round(r.score, 9)) for r in retrieval.bm25_topk(docs, shared, index=index).collect()}
+    assert whole == {(q, rank): hit for q, p in of.items() for (p2, rank), hit in hits.items() if p2 == p} and len(whole) == 20
+
+
+def test_bm25_scores_where_the_documents_lie(spark):
+    """No term's postings meet in one task; blocks and tasks change no row."""
+    docs = spark.createDataFrame([(i, f"link w{i % 7}") for i in range(60)], "doc_id long, text string")
+    qs = spark.createDataFrame([(i, f"link w{i} w{i + 1}") for i in range(6)], "query_id long, query string")
+    one = retrieval.bm25_topk(docs, qs)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(term" not in plan and "hashpartitioning(doc_id" in plan
+    rows = sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in one.collect())
+    many = retrieval.bm25_topk(docs, qs, block_bytes=400, task_pairs=20)
+    assert len(rows) == 30 and rows == sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in many.collect())
