@@ -8,9 +8,12 @@ order of (time, id) and carries the count on. The result equals the batch
 operator ``sequences.nack_streak`` for all events that come within ``delay``;
 later ones are dropped by the watermark, as in any windowed stream.
 
-A key's state is its count and the events of the last ``delay``, kept in
-RocksDB: waiting events are keyed by time slice, so that a timer reads the
-slices that are due and not all that wait.
+Keys are dealt out to ``GROUPS`` hash groups, and a group's keys share their
+state in RocksDB: the counts that are not zero, and the events of the last
+``delay`` as packed rows by time slice (a ``SLICES``-th of the delay), so that a
+timer reads the slice that is due and not all that wait. Calls to the state grow
+with groups and slices and not with keys and events; in a call, all keys of the
+group are sorted and counted together.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,50 +34,68 @@ from logweave.session import cut_lineage, ensure_checkpoint_dir
 OUTPUT_SCHEMA = "user_id long, event_id long, streak long, exhausted boolean"
 #: How long an event waits for earlier ones.
 DELAY = "1 hour"
-#: Milliseconds of event time whose waiting events are one entry of the state, and one timer.
+#: Slices that a delay is cut into, and the least milliseconds of one: its waiting events are one entry of the state, and one timer.
+SLICES = 8
 SLICE_MS = 60_000
+#: Hash groups of keys.
+GROUPS = 256
+#: A waiting event (n: 1 for a NACK, 0 for an ACK), or the count that a key carries on (n, at the time ``CARRIED``).
+ROW = [("user_id", "<i8"), ("no_user", "?"), ("us", "<i8"), ("event_id", "<i8"), ("no_event", "?"), ("n", "<i8")]
+CARRIED = -(1 << 63)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def streaks(limit: int = STREAK_LIMIT, slice_ms: int = SLICE_MS) -> StatefulProcessor:
-    """The state machine of a key. (A class of its own for each call, which is
-    sent whole: the driver's worker that sets up the state can't import from
-    the archives that executors get.)"""
+    """The state machine of a group of keys. (A class of its own for each call,
+    which is sent whole: the driver's worker that sets up the state can't import
+    from the archives that executors get.)"""
     class Streaks(StatefulProcessor):
-        """One key."""
+        """One group."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.streak = handle.getValueState("streak", "n long")
-            self.waiting = handle.getMapState("waiting", "slice long", "ts array<long>, event_id array<long>, nack array<boolean>")
+            self.counts = handle.getValueState("counts", "packed binary")
+            self.waiting = handle.getMapState("waiting", "slice long", "packed binary")
 
         def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
             for pdf in rows:
                 for number, part in pdf.groupby(pdf["us"] // (slice_ms * 1000)):
-                    more = tuple(part[c].tolist() for c in ("us", "event_id", "nack"))
+                    packed = np.empty(len(part), ROW)
+                    for name, _ in ROW:
+                        packed[name] = part[name].to_numpy()
+                    more = packed.tobytes()
                     slot = (int(number),)
                     if self.waiting.containsKey(slot):
-                        more = tuple(list(old) + new for old, new in zip(self.waiting.getValue(slot), more))
+                        more = bytes(self.waiting.getValue(slot)[0]) + more
                     else:
                         self.handle.registerTimer((slot[0] + 1) * slice_ms)  # when the slice is over
-                    self.waiting.updateValue(slot, more)
+                    self.waiting.updateValue(slot, (more,))
             return iter(())
 
         def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
             slot = (expiredTimerInfo.getExpiryTimeInMs() // slice_ms - 1,)
             if not self.waiting.containsKey(slot):
                 return
-            streak = self.streak.get()[0] if self.streak.exists() else 0
-            found: list[tuple[int, int]] = []
-            for _, event_id, nack in sorted(zip(*self.waiting.getValue(slot))):
-                streak = streak + 1 if nack else 0
-                if nack:
-                    found.append((event_id, streak))
+            packed = bytes(self.waiting.getValue(slot)[0])
+            if self.counts.exists():
+                packed = bytes(self.counts.get()[0]) + packed
+            rows = np.frombuffer(packed, ROW)
+            rows = rows[np.lexsort([rows[c] for c in ("n", "event_id", "no_event", "us", "user_id", "no_user")])]
+            changes = (rows["user_id"][1:] != rows["user_id"][:-1]) | (rows["no_user"][1:] != rows["no_user"][:-1])
+            first = np.concatenate([[True], changes])
+            # a count is the sum of n behind the last ACK, or from the key's first row
+            total, n = np.cumsum(rows["n"]), rows["n"]
+            start = np.maximum.accumulate(np.where(first | (n == 0), np.arange(len(rows)), 0))
+            streak = total - (total - n)[start]
+            last = np.concatenate([changes, [True]]) & (streak > 0)
+            carried = rows[last].copy()
+            carried["us"], carried["event_id"], carried["no_event"], carried["n"] = CARRIED, 0, False, streak[last]
             self.waiting.removeKey(slot)
-            self.streak.update((streak,))
-            if found:
-                ids, streaks = zip(*found)
-                yield pd.DataFrame({"user_id": key[0], "event_id": ids, "streak": streaks, "exhausted": [s >= limit for s in streaks]})
+            self.counts.update((carried.tobytes(),))
+            out = (n > 0) & (rows["us"] != CARRIED)
+            if out.any():
+                ids = {c: pd.Series(rows[c][out]).astype("Int64").mask(rows[none][out]) for c, none in (("user_id", "no_user"), ("event_id", "no_event"))}
+                yield pd.DataFrame({**ids, "streak": streak[out], "exhausted": streak[out] >= limit})
 
         def close(self) -> None:
             pass
@@ -85,8 +107,12 @@ def nack_streak_stream(events_stream: DataFrame, delay: str = DELAY) -> DataFram
     """Streaming DataFrame of NACK rows with their running streak."""
     fb = (events_stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
           .withWatermark("ts", delay).where(F.col("event_type").isin("error", "purchase")))
-    fb = fb.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"), (F.col("event_type") == "error").alias("nack"))
-    return fb.groupBy("user_id").transformWithStateInPandas(streaks(), OUTPUT_SCHEMA, "append", "eventTime")
+    ids = [x for c, none in (("user_id", "no_user"), ("event_id", "no_event"))
+           for x in (F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c), F.col(c).isNull().alias(none))]
+    fb = fb.select(F.pmod(F.xxhash64("user_id"), F.lit(GROUPS)).alias("group"), *ids, "ts", F.unix_micros("ts").alias("us"),
+                   (F.col("event_type") == "error").cast("long").alias("n"))
+    slice_ms = max(SLICE_MS, _micros(delay) // (1000 * SLICES))
+    return fb.groupBy("group").transformWithStateInPandas(streaks(slice_ms=slice_ms), OUTPUT_SCHEMA, "append", "eventTime")
 
 
 def run_available(spark: SparkSession, folder: str, schema, file_glob: str = "*.parquet", delay: str = DELAY,
