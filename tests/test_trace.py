@@ -60,3 +60,16 @@ def test_rollup_levels(spark):
     df = spark.createDataFrame(rows, "layer string, event string, rnti string, t double, mcs int")
     got = {(r.level, r.layer, r.event, r.rnti): (r.n, r.avg_mcs) for r in trace.trace_rollup(df).collect()}
     assert got[3, None, None, None] == (3, 4.0) and got[1, "MAC", "A", None] == (2, 4.0) and got[0, "MAC", "A", None] == (1, 5.0) and len(got) == 8
+
+
+def test_fields_are_taken_from_a_line_once(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(i, 7, kind, '{"k": 5}') for i, kind in enumerate(["error", "purchase", "view", "click", "signup"])]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string")
+    events.selectExpr("event_id", "timestamp_ntz'2024-01-01' AS ts", "user_id", "event_type", "1D AS value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    fields = entry.queries()["trace_fields"](spark, str(tmp_path))
+    got = {(r.event_id, r.key, r.value) for r in fields.collect()}
+    assert {(0, "outcome", "NACK"), (1, "outcome", "ACK"), (2, "MCS", "5"), (3, "B", "1005"), (4, "IMSI", "100007")} <= got
+    # the grammar has four searches for pairs; a filter pushed below would repeat them all
+    assert fields._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 4
