@@ -3,23 +3,26 @@
 Lines are grouped the way the reference's prefix tree groups them: by
 (log, token count, first token - replaced by ``<*>`` when it contains a
 digit). M1a keeps, per group and position, the token when it is constant and
-``<*>`` otherwise. Work is done on *distinct* lines (a partial+final hash
-aggregate), so hot repeated lines collapse before any shuffle of tokens.
+``<*>`` otherwise: a fold of lines, by task and then by group. M1b works on
+*distinct* lines (a partial+final hash aggregate).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from logweave.functions.vocab import UNMATCHED
 from logweave.session import cut_lineage
 
 WILDCARD = "<*>"
 KEY = ["log_id", "n_tok", "first_key"]
+HELD_CHARS = 1 << 24  # characters of templates that a task holds before it hands them on
 
 
 def tokens(clean_col="clean"):
@@ -44,35 +47,75 @@ def distinct_lines(keyed: DataFrame, clean_col: str = "clean") -> DataFrame:
             .withColumn("tokens", tokens(clean_col)))
 
 
-def positional_templates(lines: DataFrame, clean_col: str = "clean") -> DataFrame:
+class PositionalTemplate:
+    """The M1a template of some lines of one key group, with their count and
+    least line number. Two of them, of any lines, add up to that of all lines:
+    a place keeps its token where both agree and is a wildcard else."""
+
+    __slots__ = ("text", "toks", "cnt", "first")
+
+    def __init__(self, text: str, cnt: int, first: Any):
+        self.text, self.toks, self.cnt, self.first = text, None, cnt, first
+
+    def add(self, text: str, cnt: int, first: Any) -> None:
+        self.cnt += cnt
+        if first is not None and (self.first is None or first < self.first):
+            self.first = first
+        if self.toks is None:
+            if text == self.text:
+                return
+            self.toks = self.text.split(" ")
+        self.toks = [a if a == b else WILDCARD for a, b in zip(self.toks, text.split(" "))]
+
+    def template(self) -> str:
+        return self.text if self.toks is None else " ".join(self.toks)
+
+
+def _fold_positional(batches: Iterator[pa.RecordBatch], schema: pa.Schema, in_order: bool, held_chars: int) -> Iterator[pa.RecordBatch]:
+    """Templates of the rows' key groups: a task's own share of each
+    (``held_chars`` characters of lines at a time), or, from rows in order of
+    their keys, the whole groups one after the other."""
+    def out(groups: dict[tuple, PositionalTemplate]) -> pa.RecordBatch:
+        rows = [(*key, t.template(), t.cnt, t.first) for key, t in groups.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    groups: dict[tuple, PositionalTemplate] = {}
+    chars, last = 0, None
+    for batch in batches:
+        for *own, text, cnt, first in zip(*(c.to_pylist() for c in batch.columns)):
+            key = tuple(own)
+            group = groups.get(key)
+            if group is not None:
+                group.add(text, cnt, first)
+                continue
+            if chars >= held_chars and (not in_order or key != last):
+                yield out(groups)
+                groups, chars = {}, 0
+            groups[key] = PositionalTemplate(text, cnt, first)
+            chars, last = chars + len(text) + 200, key
+    if groups:
+        yield out(groups)
+
+
+def positional_templates(lines: DataFrame, clean_col: str = "clean", held_chars: int = HELD_CHARS) -> DataFrame:
     """One template per (log_id, n_tok, first_key).
 
     Output ``(log_id, n_tok, first_key, template, cnt, first_idx)``.
 
-    Single pass over the lines: distinct lines (partial+final aggregate),
-    then each distinct line explodes into its positions *plus one sentinel
-    position -1 that carries its count and first line*, so per-position
-    constancy and per-group statistics come out of the same aggregate and
-    the line pipeline is never evaluated twice.
+    Templates add up (:class:`PositionalTemplate`), so the lines are folded in
+    two steps, as in an aggregate: each task folds its own lines of a key group
+    to one row, holding ``held_chars`` characters at a time, and these rows
+    alone are shuffled, sorted by key and folded again. Neither a token nor a
+    repeated line is shuffled, and a group of any size is many tasks' work.
     """
     keyed = with_key(lines, clean_col)
-    uniq = distinct_lines(keyed, clean_col)
-    items = F.concat(
-        F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("tok"))),
-        F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))))
-    per_pos = (uniq.select(*KEY, "cnt", "first_line", F.inline(items))
-               .withColumn("cnt", F.when(F.col("pos") < 0, F.col("cnt")))
-               .withColumn("first_line", F.when(F.col("pos") < 0, F.col("first_line")))
-               .groupBy(*KEY, "pos")
-               .agg(F.min("tok").alias("mn"), F.max("tok").alias("mx"),
-                    F.sum("cnt").alias("cnt"), F.min("first_line").alias("first_idx")))
-    tok = F.when(F.col("mn") == F.col("mx"), F.col("mn")).otherwise(F.lit(WILDCARD))
-    return (per_pos.groupBy(*KEY)
-            .agg(F.array_join(F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", tok.alias("t"))))),
-                lambda x: x["t"]), " ").alias("template"),
-                F.max("cnt").alias("cnt"), F.max("first_idx").alias("first_idx"))
-            .select(*KEY, "template", F.col("cnt").cast("long").alias("cnt"), "first_idx"))
+    rows = keyed.select(*KEY, F.coalesce(F.col(clean_col), F.lit("")).alias("template"), F.lit(1).cast("long").alias("cnt"),
+                        F.col("line_no").alias("first_idx"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    arrow = to_arrow_schema(rows.schema)
+    shares = rows.mapInArrow(lambda batches: _fold_positional(batches, arrow, False, held_chars), schema)
+    ordered = shares.repartition(*KEY).sortWithinPartitions(*KEY)
+    return ordered.mapInArrow(lambda batches: _fold_positional(batches, arrow, True, held_chars), schema)
 
 
 def best_templates(uniq: DataFrame, templates: DataFrame, clean_col: str = "clean") -> DataFrame:
