@@ -180,12 +180,18 @@ def mine_positional(lines: DataFrame, clean_col: str = "clean") -> DataFrame:
     return with_line_counts(template_counts(lines, clean_col))
 
 
-def mine_similarity(lines: DataFrame, clean_col: str = "clean", trained: DataFrame | None = None) -> DataFrame:
+def written_distinct(lines: DataFrame, clean_col: str = "clean") -> DataFrame:
+    """The distinct lines of every log, written: training and matching read them."""
+    return cut_lineage(distinct_lines(with_key(lines, clean_col), clean_col).drop("tokens"))
+
+
+def mine_similarity(lines: DataFrame, clean_col: str = "clean", trained: DataFrame | None = None, uniq: DataFrame | None = None) -> DataFrame:
     """M1b -> M2/M3 -> M4: the templates are trained over the whole log, frozen
     (written), and every line is matched to the final ones; counts per log.
-    ``trained`` gives templates of an earlier run. Distinct lines carry their
-    counts through, so no line is joined."""
-    uniq = cut_lineage(distinct_lines(with_key(lines, clean_col), clean_col).drop("tokens"))
+    ``trained`` gives templates of an earlier run, ``uniq`` the written distinct
+    lines (:func:`written_distinct`) that they come from. Distinct lines carry
+    their counts through, so no line is joined."""
+    uniq = written_distinct(lines, clean_col) if uniq is None else uniq
     frozen = cut_lineage(_drain_distinct(uniq, clean_col)) if trained is None else trained
     best = best_templates(uniq, frozen, clean_col)
     freq = (uniq.join(best, ["log_id", clean_col], "left")
@@ -217,6 +223,7 @@ SIM_THRESHOLD = 0.4  # fixed value: similarity threshold of the reference miner
 
 
 CHUNK_LINES = 50000  # distinct lines taken into Python at a time
+BATCH_ROWS = 4096  # templates of finished groups that leave a task together
 
 
 class SimilarityClusters:
@@ -266,29 +273,35 @@ class SimilarityClusters:
 
 def _drain_sorted(batches: Iterator[pa.RecordBatch], chunk_lines: int) -> Iterator[pa.RecordBatch]:
     """Cluster the key groups of a sorted partition one after the other; only
-    the templates of the group at hand are kept."""
-    def templates_of(key: tuple, clusters: list[list[str]]) -> pa.RecordBatch:
-        n = len(clusters)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int32()), pa.array([key[2]] * n, pa.string()),
-             pa.array(range(n), pa.int32()), pa.array([" ".join(c) for c in clusters], pa.string())],
-            names=[*KEY, "cluster_id", "template"])
-
-    key, clusters = None, None
+    the templates of the group at hand, and up to ``BATCH_ROWS`` of the groups
+    before it, are kept: small groups leave together, as one batch."""
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[*KEY, "cluster_id", "template"])
+
+    def templates_of(key: list, clusters: SimilarityClusters) -> list[tuple]:
+        return [(*key, i, " ".join(c)) for i, c in enumerate(clusters.templates)]
+
+    key, clusters, done = None, None, []
     for batch in batches:
         for at in range(0, batch.num_rows, chunk_lines):
             part = batch.slice(at, chunk_lines)
             for *own, toks in zip(*(part.column(c).to_pylist() for c in [*KEY, "tokens"])):
                 if own != key:
                     if clusters:
-                        yield templates_of(key, clusters.templates)
+                        done += templates_of(key, clusters)
+                    if len(done) >= BATCH_ROWS:
+                        yield batch_of(done)
+                        done = []
                     key, clusters = own, SimilarityClusters(len(toks))
                 clusters.add(toks)
     if clusters:
-        yield templates_of(key, clusters.templates)
+        done += templates_of(key, clusters)
+    if done:
+        yield batch_of(done)
 
 
-def drain_templates(lines: DataFrame, clean_col: str = "clean", chunk_lines: int = CHUNK_LINES) -> DataFrame:
+def drain_templates(lines: DataFrame, clean_col: str = "clean", chunk_lines: int = CHUNK_LINES, uniq: DataFrame | None = None) -> DataFrame:
     """Similarity-split templates per (log, key).
 
     Lines are deduplicated first (hash aggregate). The distinct lines of a key
@@ -297,9 +310,11 @@ def drain_templates(lines: DataFrame, clean_col: str = "clean", chunk_lines: int
     whatever the size of the group, and the result is that of the sequential
     rule. A line is compared with the clusters that share rare tokens with it
     only, so the time grows with the distinct lines. The rule depends on the
-    order, so one group is one task's work.
+    order, so one group is one task's work. ``uniq`` gives the distinct lines
+    where they are known.
     """
-    return _drain_distinct(distinct_lines(with_key(lines, clean_col), clean_col), clean_col, chunk_lines)
+    uniq = distinct_lines(with_key(lines, clean_col), clean_col) if uniq is None else uniq
+    return _drain_distinct(uniq, clean_col, chunk_lines)
 
 
 def _drain_distinct(uniq: DataFrame, clean_col: str, chunk_lines: int = CHUNK_LINES) -> DataFrame:

@@ -1510,8 +1510,14 @@ from logweave.streaming import nack_stream  # noqa: E402
 
 
 @shared(materialize=True)
+@shared
+def event_distinct(spark, d):
+    """The distinct event-log lines, written once for training and matching."""
+    return templates.written_distinct(event_lines(spark, d).select("log_id", "line_no", "clean"))
+
+
 def drain_tm(spark, d):
-    return templates.drain_templates(event_lines(spark, d))
+    return templates.drain_templates(event_lines(spark, d), uniq=event_distinct(spark, d))
 
 
 @query("drain_templates")
@@ -1524,7 +1530,7 @@ def q_drain_templates(spark, d):
 @shared(materialize=True)
 def similarity_freq(spark, d):
     """Train (M1b), freeze, match (M2/M3), count (M4-M6) on the event log."""
-    return templates.mine_similarity(event_lines(spark, d).select("log_id", "line_no", "clean"), trained=drain_tm(spark, d))
+    return templates.mine_similarity(event_lines(spark, d).select("log_id", "line_no", "clean"), trained=drain_tm(spark, d), uniq=event_distinct(spark, d))
 
 
 @query("drain_freq")
