@@ -9,11 +9,13 @@ comes from C2 or is supplied.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.session import cut_lineage
@@ -36,22 +38,30 @@ def cluster_majority(assign: DataFrame, cluster: str = "cluster", line: str = "l
     """Most frequent line per cluster; ties go to the line seen first.
     Two-step aggregate (counts per (cluster, line), then a top-1 per
     cluster over distinct lines) - ``mode()`` has no first-seen rule."""
-    per = assign.groupBy(*keys, cluster, line).agg(F.count(F.lit(1)).alias("line_cnt"),
-                                                   F.min(pos).alias("line_first"))
-    best = per.groupBy(*keys, cluster).agg(F.min(F.struct((-F.col("line_cnt")).alias("neg"), F.col("line_first").alias("f"),
-                                                   F.col(line).alias("l"))).alias("_b"))
+    best = _line_counts(assign, cluster, line, pos, keys).groupBy(*keys, cluster).agg(_majority(line).alias("_b"))
     return best.select(*keys, cluster, F.col("_b.l").alias("line"), (-F.col("_b.neg")).alias("line_cnt"))
 
 
+def _line_counts(assign: DataFrame, cluster: str, line: str, pos: str, keys: tuple[str, ...]) -> DataFrame:
+    return assign.groupBy(*keys, cluster, line).agg(F.count(F.lit(1)).alias("line_cnt"), F.min(pos).alias("line_first"))
+
+
+def _majority(line: str) -> Column:
+    return F.min(F.struct((-F.col("line_cnt")).alias("neg"), F.col("line_first").alias("f"), F.col(line).alias("l")))
+
+
 def cluster_report(assign: DataFrame, cluster: str = "cluster", line: str = "line",
                    pos: str = "line_no", keys: tuple[str, ...] = ()) -> DataFrame:
     """Every cluster, smallest first, with its majority line.
-    ``rank`` orders by size, then first appearance. The window holds one
-    row per cluster (k rows per key), never lines."""
-    sizes = cluster_sizes(assign, cluster, pos, keys)
-    maj = cluster_majority(assign, cluster, line, pos, keys)
+    ``rank`` orders by size, then first appearance. Sizes and majority lines
+    come from one count of the lines. The window holds one row per cluster (k
+    rows per key), never lines."""
+    known = [F.col(c).isNotNull() for c in (*keys, cluster)]
+    per = _line_counts(assign.where(reduce(Column.__and__, known)), cluster, line, pos, keys)
     w = Window.partitionBy(*keys).orderBy("size", "first_idx") if keys else Window.orderBy("size", "first_idx")
-    return sizes.join(maj, [*keys, cluster]).withColumn("rank", F.row_number().over(w))
+    report = per.groupBy(*keys, cluster).agg(F.sum("line_cnt").alias("size"), F.min("line_first").alias("first_idx"), _majority(line).alias("_b"))
+    return (report.select(*keys, cluster, "size", "first_idx", F.col("_b.l").alias("line"), (-F.col("_b.neg")).alias("line_cnt"))
+            .withColumn("rank", F.row_number().over(w)))
 
 
 def rare_clusters(assign: DataFrame, n: int = N_REPORTED, cluster: str = "cluster", line: str = "line",
