@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import clean_line
@@ -838,7 +838,7 @@ def q_event_impact_blocks(spark, d):
 # 2.6 clusters (supplied assignment: embeddings.label) and 2.7 retrieval
 # --------------------------------------------------------------------------
 
-from logweave.functions.text import whitespace_tokens  # noqa: E402,F401
+from logweave.functions.text import spaced_words  # noqa: E402
 from logweave.operators import clusters as cl  # noqa: E402
 from logweave.operators import retrieval as rt  # noqa: E402
 
@@ -1153,10 +1153,17 @@ def q_filter_sections(spark, d):
 
 @shared
 def document_md_lines(spark, d):
-    docs = table(spark, d, "documents")
-    l = logs.lines_from_texts(docs, "doc_id", "doc_id", "text", policy="none")
-    return (l.join(docs.select(F.col("doc_id").cast("string").alias("log_id"), "source"), "log_id")
-            .select(F.col("seg").alias("doc_id"), "source", F.col("line_no").alias("ord"), F.col("raw").alias("line")))
+    """The lines of the documents as markdown, dealt out by document once. Rows
+    of one id are a document: its lines are numbered on from row to row, and
+    every line comes with every number and source that its id gives it."""
+    docs = table(spark, d, "documents").where(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "source", "text", logs.count_lines(F.col("text"), "none").alias("_n"))
+    rows = docs.withColumn("_rows", F.collect_list(F.struct("_n", "source")).over(Window.partitionBy("doc_id")))
+    places = F.transform("_rows", lambda _, i: F.transform("_rows", lambda r: F.struct(
+        F.aggregate(F.slice("_rows", 1, i), F.lit(0).cast("long"), lambda n, x: n + x["_n"]).alias("first"), r["source"].alias("source"))))
+    return (rows.select("doc_id", "text", F.explode_outer(F.flatten(places)).alias("_place"))
+            .select("doc_id", "_place", F.posexplode_outer(logs.split_lines(F.col("text"), "none")).alias("_pos", "line"))
+            .select("doc_id", F.col("_place.source").alias("source"), (F.col("_place.first") + F.col("_pos")).alias("ord"), "line"))
 
 
 @query("chunk_fixed", """
@@ -1654,24 +1661,26 @@ def q_load_labels(spark, d):
 def q_embed_chunks(spark, d):
     """R4 + SNK2/SNK3: chunk the documents, embed every chunk (hashed TF-IDF,
     L2-normalised, cosine space), persist chunks and vectors as parquet in
-    the shared folder and return the vector table read back."""
+    the shared folder and return the vector table read back. Texts are cut into
+    words and hashed once: fitting and weighting read the written counts. The
+    vectors are kept as what the normaliser gives (``vector``: the numbers that
+    are not zero and their places) and laid out to 4,096 floats as they are read."""
     import uuid
 
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    from logweave.session import ensure_checkpoint_dir
+    from logweave.session import cut_lineage, ensure_checkpoint_dir
 
     chunks = q_chunk_corpus(spark, d).withColumn(
         "chunk_id", F.xxhash64("doc_id", "chunk_seq", "piece"))
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index/{uuid.uuid4().hex}"
     chunks.write.parquet(f"{base}/chunks")
-    stored = spark.read.parquet(f"{base}/chunks").withColumn("tokens", whitespace_tokens(F.col("text")))
-    pipe = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="tf", numFeatures=1 << 12),
-                            IDF(inputCol="tf", outputCol="tfidf"),
+    # a chunk is not blank, so it has words
+    stored = spark.read.parquet(f"{base}/chunks").select("chunk_id", F.split(spaced_words(F.col("text")), " ").alias("tokens"))
+    counts = cut_lineage(HashingTF(inputCol="tokens", outputCol="tf", numFeatures=1 << 12).transform(stored).drop("tokens"))
+    pipe = Pipeline(stages=[IDF(inputCol="tf", outputCol="tfidf"),
                             Normalizer(inputCol="tfidf", outputCol="unit")])
-    vec = pipe.fit(stored).transform(stored).select(
-        "chunk_id", vector_to_array("unit", "float32").alias("embedding"))
-    vec.write.parquet(f"{base}/vectors")
-    return spark.read.parquet(f"{base}/vectors")
+    pipe.fit(counts).transform(counts).select("chunk_id", F.col("unit").alias("vector")).write.parquet(f"{base}/vectors")
+    return spark.read.parquet(f"{base}/vectors").select("chunk_id", vector_to_array("vector", "float32").alias("embedding"))
