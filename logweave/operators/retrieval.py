@@ -88,7 +88,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str =
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total, pairs = users.join(df, "term", "left").agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.col("users") * F.col("df")), F.lit(0))).first()
     blocks = max(1, -(-2 * total // block_bytes))
-    tasks = pairs // (blocks * task_pairs) + 1
+    tasks = max(2, pairs // (blocks * task_pairs) + 1)
     tf = F.col("tf")
     part = (F.col("weight") * (tf * F.lit(K1 + 1))
             / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / avgdl)))
