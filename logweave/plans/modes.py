@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.text import strip_placeholders
+from logweave.session import cut_lineage
 
 # fixed values: the 13 modes as (mode, extraction, retrieval, prompt)
 MODES = (
@@ -102,6 +103,35 @@ def chunk_listing(hits: DataFrame, key: str = "query_id") -> DataFrame:
                      "\n").alias("listing"))
 
 
+#: Bytes of joined texts that a task gives out.
+TASK_BYTES = 64 << 20
+
+
+def with_texts(queries: DataFrame, texts: DataFrame, key: str, text_col: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``queries`` with the text of their ``key`` (a row of ``texts`` for each
+    key; queries without one have no row).
+
+    Very many queries may share a text. A join that streams the texts past the
+    queries makes all rows of a text at once and holds them, so the queries are
+    the streamed side at every size. What a key's rows take is counted
+    beforehand: a key beyond ``task_bytes`` is dealt to several tasks, each with
+    a copy of its text, and there are so many tasks that each gives out some
+    ``task_bytes``."""
+    texts = cut_lineage(texts.select(key, text_col))
+    size = 64 + F.coalesce(F.octet_length(text_col), F.lit(0))
+    made = queries.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(texts.select(key, size.alias("_size")), key)
+    made = cut_lineage(made.select(key, (F.col("_n") * F.col("_size")).alias("_made")))
+    tasks = made.agg(F.coalesce(F.sum("_made"), F.lit(0))).first()[0] // task_bytes + 1
+    # at most one row for ``task_bytes`` of the result
+    hot = F.broadcast(made.where(F.col("_made") > task_bytes).select(key, F.expr(f"_made div {task_bytes}").alias("_more")))
+    more = F.coalesce("_more", F.lit(0))
+    own = F.xxhash64(*[c for c in queries.columns if c != key])
+    dealt = queries.join(hot, key, "left").withColumn("_part", F.pmod(own, more + 1)).drop("_more")
+    copies = texts.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), more))).drop("_more")
+    return (dealt.repartition(tasks, key, "_part").join(copies.repartition(tasks, key, "_part").hint("merge"), [key, "_part"])
+            .select(*queries.columns, text_col))
+
+
 def validate_external_events(events: DataFrame, lines: DataFrame, text_col: str = "line") -> DataFrame:
     """P5: flag every externally supplied event line that does not occur
     verbatim in its log (semi join on (log_id, text))."""

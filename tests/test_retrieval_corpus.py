@@ -179,6 +179,33 @@ def test_bm25_scores_where_the_documents_lie(spark):
     assert len(rows) == 30 and rows == sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in many.collect())
 
 
+def test_queries_are_streamed_past_their_texts(spark):
+    queries = spark.createDataFrame([(f"q{i}", "often" if i % 5 else f"p{i % 3}") for i in range(400)] + [("none", "unknown")], "query_id string, profile string")
+    texts = spark.createDataFrame([(p, f"{p} " * 90) for p in ("often", "p0", "p1", "p2", "unused")], "profile string, context string")
+    want = sorted((r.query_id, r.profile, f"{r.profile} " * 90) for r in queries.collect() if r.profile != "unknown")
+    for task_bytes in (1 << 30, 20_000):
+        got = modes.with_texts(queries, texts, "profile", "context", task_bytes)
+        assert got.columns == ["query_id", "profile", "context"] and sorted(map(tuple, got.collect())) == want
+    many = got.where("profile = 'often'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(many) > 2 and max(r["count"] for r in many) < 320
+
+
+@pytest.mark.parametrize("name", ["chunk_listing"])
+def test_a_text_of_many_queries_is_not_joined_at_once(spark, monkeypatch, name):
+    """All queries share a profile: neither side is built whole while the texts stream past."""
+    from logweave.plans import catalog
+
+    profiles = spark.createDataFrame([(f"ue-{i}#3", "ue ue") for i in range(50)], "query_id string, profile string")
+    hits = spark.createDataFrame([("ue ue", i, i, "web", "", "", f"text {i}") for i in (1, 2)], "profile string, rank int, doc_id long, source string, h2 string, h3 string, text string")
+    monkeypatch.setattr(catalog, "mode_profiles", lambda spark, d: profiles)
+    monkeypatch.setattr(catalog, "mode_hits", lambda spark, d: hits)
+    got = catalog.QUERIES[name](spark, "")
+    rows = got.collect()
+    assert sorted(r[0] for r in rows) == sorted(f"ue-{i}#3" for i in range(50)) and len({r[1] for r in rows}) == 1 and "text 2" in rows[0][1]
+    joins = [line for line in _plan(got).splitlines() if "Join" in line and "profile" in line and "_part" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
