@@ -190,7 +190,7 @@ def test_queries_are_streamed_past_their_texts(spark):
     assert len(many) > 2 and max(r["count"] for r in many) < 320
 
 
-@pytest.mark.parametrize("name", ["chunk_listing"])
+@pytest.mark.parametrize("name", ["chunk_listing", "context_block"])
 def test_a_text_of_many_queries_is_not_joined_at_once(spark, monkeypatch, name):
     """All queries share a profile: neither side is built whole while the texts stream past."""
     from logweave.plans import catalog
