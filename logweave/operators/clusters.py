@@ -14,9 +14,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from logweave.session import cut_lineage
 
@@ -95,12 +97,20 @@ def line_vectors(lines: DataFrame, text_col: str = "clean") -> DataFrame:
 
 
 def hashed_vectors(vectors: DataFrame, num_features: int = 1 << 8) -> DataFrame:
-    """``line_vectors`` with ``features``, an ML vector of ``num_features``
-    slots that tokens share by hash: the input of the 2-D projection (C7), which
-    needs a dense covariance."""
-    slot = F.transform("vector", lambda x: F.struct(F.pmod(F.xxhash64(x["token"]), F.lit(num_features)).cast("int").alias("i"), x["weight"].alias("w")))
-    dense = F.aggregate(slot, F.array_repeat(F.lit(0.0), num_features), lambda a, x: F.transform(a, lambda v, i: F.when(i == x["i"], v + x["w"]).otherwise(v)))
-    return vectors.withColumn("features", array_to_vector(dense))
+    """``line_vectors`` with ``features`` in place of ``vector``: an ML vector of
+    ``num_features`` slots that tokens share by hash, the input of the 2-D
+    projection (C7). It holds a line's own slots only and is written, since the
+    projection reads it several times."""
+    slots = F.transform("vector", lambda x: F.struct(F.pmod(F.xxhash64(x["token"]), F.lit(num_features)).cast("int").alias("i"), x["weight"].alias("w")))
+
+    def sparse(parts: Column) -> Column:
+        own = F.sort_array(F.array_distinct(F.transform(parts, lambda x: x["i"])))
+        sums = F.transform(own, lambda i: F.aggregate(F.filter(parts, lambda x: x["i"] == i), F.lit(0.0), lambda a, x: a + x["w"]))
+        return F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(num_features).alias("size"), own.alias("indices"), sums.alias("values"))
+
+    # the lambda names the slots once; the struct is an ML vector's storage
+    rows = vectors.withColumn("features", F.get(F.transform(F.array(slots), sparse), F.lit(0))).drop("vector")
+    return cut_lineage(rows, StructType([*rows.schema.fields[:-1], StructField("features", VectorUDT())]))
 
 
 def _to_split(state: DataFrame, k: int) -> DataFrame:
@@ -276,7 +286,7 @@ def _clustered_in_rounds(state: DataFrame, text_col: str, k: int) -> DataFrame:
 
 def project_2d(vectors: DataFrame, assign: DataFrame, text_col: str = "clean") -> DataFrame:
     """2-D projection for plotting: (x, y, text, line_number, cluster label)."""
-    hashed = hashed_vectors(vectors)
+    hashed = hashed_vectors(vectors.select("log_id", text_col, "vector"))
     pca = PCA(k=2, inputCol="features", outputCol="_xy").fit(hashed)
     xy = pca.transform(hashed).select("log_id", text_col, vector_to_array("_xy").alias("_a"))
     return (assign.join(xy, ["log_id", text_col])
